@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What make gives, made once in a Python worker; a worker keeps the last few."""
+    if key not in _KEPT:
+        if len(_KEPT) > 3:
+            _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def share(spark: SparkSession, value: object) -> Callable[[Callable[[object], object]], object]:
+    """Send value to the workers: a function that gives make(value) there, made once in each."""
+    sent, key = spark.sparkContext.broadcast(pickle.dumps(value)), uuid.uuid4().hex
+    return lambda make=lambda x: x: kept(key, lambda: make(pickle.loads(sent.value)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[dict[str, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, sharding
+from . import decontam, html, langid, licenses, neardup, packing, quality, secrets, sharding, toxicity
 from .common import ready
 
 SHARDS = 24
@@ -28,15 +28,48 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, repo=F.col("source"), owner=F.col("source")))
 
 
+def fold(id_col: str, parts: int):
+    """crc32 of the id as text, modulo parts; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs, fold("doc_id", 5) != 0))
+    return langid.predict(docs, model, keep={"held_out": fold("doc_id", 5) == 0})
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Settings(words=2, percent=80))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, fold("doc_id", 4) != 2)
+    return toxicity.score(docs, model, keep={"held_out": fold("doc_id", 4) == 2})
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -45,9 +78,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+
+def _quality_sql() -> str:
+    """The base columns and the rule table in SQL."""
+    words = r"list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+    stop = ",".join("'" + w + "'" for x in quality.STOP_WORDS for w in (x, x.capitalize(), x.upper()))
+    bounds = " AND ".join(
+        f"coalesce({r.measure}, 0.0) {op} {b}" for r in quality.RULES for op, b in ((">=", r.least), ("<=", r.most)) if b is not None
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, {words} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS l FROM d),
+g AS (SELECT k, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT k, count(DISTINCT i + o) AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g), (VALUES (0), (1), (2)) AS v(o) WHERE c > 1 GROUP BY k),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(translate(t, '!', '')) AS shouts,
+  len(list_filter(w, lambda x: x IN ({stop}))) AS stops, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS uppers FROM w LEFT JOIN r USING (k)),
+q AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbol_ratio,
+  shouts / nullif(n_words, 0) AS shout_ratio, uppers / nullif(word_chars, 0) AS upper_ratio, stops / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {bounds} AS kept FROM q"""
+
+
+SQL: dict[str, str] = {"op10_quality_rules": _quality_sql()}

@@ -79,16 +79,19 @@ def mixed(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
 
 
+def base_spans(t: Column) -> Column:
+    return F.concat(spans(t, ASSIGN, 0, 2, LEAST_VALUE), F.when(t.contains("AKIA"), spans(t, ACCESS, 1)).otherwise(F.array()), spans(t, HEX, 2))
+
+
 def found(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each document: row (unique), doc_id, repo, owner, base and further (arrays of spans with value hashes)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     scanned = docs.select(F.col(f"`{id_col}`").alias("doc_id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), text.alias("_t"))
     t = F.col("_t")
-    base = F.concat(spans(t, ASSIGN, 0, 2, LEAST_VALUE), F.when(t.contains("AKIA"), spans(t, ACCESS, 1)).otherwise(F.array()), spans(t, HEX, 2))
     github, jwt, opaque = (spans(t, p, 3 + k) for k, p in enumerate(FURTHER.values()))
     further = F.concat(F.when(t.contains("gh"), github).otherwise(F.array()), F.when(t.contains("eyJ"), jwt).otherwise(F.array()), F.filter(opaque, lambda x: mixed(x["value"])))
     hashed = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash")))
-    scanned = scanned.withColumn("base", F.sort_array(base)).withColumn("further", further)
+    scanned = scanned.withColumn("base", F.sort_array(base_spans(t))).withColumn("further", further)
     free = F.filter("further", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     kept = scanned.select("doc_id", "repo", "owner", hashed(F.col("base")).alias("base"), hashed(free).alias("further"))
     return cut(kept).withColumn("row", F.monotonically_increasing_id())
@@ -138,11 +141,40 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
-    """text with each span, or run of overlapping spans, put as mark."""
-    out, at = [], 0
-    for start, end in sorted(spans):
-        if start >= at:
-            out += [text[at:start], mark]
-        at = max(at, end)
-    return "".join([*out, text[at:]])
+#: Up to so many documents with further secrets are sent to every executor; more are joined by shuffle.
+BROADCAST_DOCS = 200_000
+
+
+def put_marks(text: Column, xs: Column, mark: str) -> Column:
+    """text with each of the sorted spans xs, or run of overlapping ones, put as mark."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        parts = F.when(x["start"] >= acc["at"], F.concat(acc["parts"], F.array(piece, F.lit(mark)))).otherwise(acc["parts"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), parts.alias("parts"))
+
+    def closed(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+
+    return F.when(F.size(xs) > 0, F.aggregate(xs, start, step, closed)).otherwise(text)
+
+
+def redacted(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """docs with every secret of scan() put as mark, in the columns of docs; no row goes. Base spans are found again in
+    place; live further ones are joined by id, and by text where the id is null, and hold only where the value agrees."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.sha2(F.col(f"`{text_col}`"), 256)).alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text"), repo.alias("_repo"), owner.alias("_owner"))
+    digest = found(named, F.col("_repo"), F.col("_owner"), "_text", "_key")
+    hits = digest.select("repo", "owner", F.explode("further").alias("x")).select("repo", "owner", "x.hash")
+    live = ownership(hits, max_owners).where("live").select("hash")
+    owned = digest.select(F.col("doc_id").alias("_key"), F.explode("further").alias("x")).withColumn("hash", F.col("x.hash")).join(live, "hash")
+    spans_of = cut(owned.groupBy("_key").agg(F.collect_set(F.struct("x.start", "x.kind", "x.end", "hash")).alias("_more")))
+    small = spans_of.count() <= BROADCAST_DOCS
+    told = named.join(F.broadcast(spans_of) if small else spans_of, "_key", "left")
+    text = F.coalesce("_text", F.lit(""))
+    plain = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    agreed = F.filter("_more", lambda x: F.sha2(F.substring(F.col("_text"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), 256) == x["hash"])
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    told = told.withColumn("_spans", F.sort_array(F.concat(plain(base_spans(text)), F.coalesce(plain(agreed), none))))
+    changed = F.when(F.col("_text").isNotNull(), put_marks(F.col("_text"), F.col("_spans"), mark))
+    return told.withColumn("_new", changed).select(*[(F.col("_new") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
