@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def degree(edges: DataFrame) -> DataFrame:
     """(node, dependents): distinct neighbours that depend on a node."""
@@ -28,10 +30,14 @@ def neighbours(edges: DataFrame, node) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) of what start's nodes lead to, at the least depth; cycles end."""
+    """(node, depth) of what start's nodes lead to, at the least depth; cycles end. Every hop is cut, and the walk stops
+    when a hop finds nothing new."""
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     step, frontier = edges.select(F.col("src").alias("node"), "dst").distinct(), seen
     for d in range(1, depth + 1):
         frontier = frontier.select("node").join(step, "node").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"))
-        seen = seen.unionByName(frontier)
+        frontier = cut(frontier)
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
     return seen.join(start, "node", "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..lineage import cut
 
 K1, B = 1.2, 0.75
 # Words that a query drops unless nothing else is left.
@@ -88,6 +89,8 @@ def expand(found: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     frontier = seen
     for hop in range(1, depth + 1):
         frontier = frontier.select(F.col("node").alias("a")).join(near, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("source")).join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hops"), "source")
+        if hop < depth:
+            frontier = cut(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

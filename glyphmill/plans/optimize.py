@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -22,58 +22,64 @@ from ..operators import fragments as R
 SAVINGS = ("filtering", "deduplication", "compression", "selection")
 
 
-def _staged(docs: DataFrame, name: str, how: str, clean, noise, key, annotate: bool, budget: int | None) -> DataFrame:
-    own = docs.select("doc_id", "text", *(c for c in ("command",) if c in docs.columns))
-    profile = T.command_profile(F.col("command")) if "command" in docs.columns else F.lit("tool")
-    raw = own.select("doc_id", profile.alias("profile"), F.posexplode(R.lines_of(F.col("text")) if how == "lines" else R.blocks_of(F.col("text"))).alias("idx", "content"))
-    content = clean(F.col("content")) if clean else F.col("content")
-    kept = raw.withColumn("content", content)
-    if noise is not None:
-        kept = kept.where(~noise(F.col("content"), F.col("profile")))
-    kept = R.with_tokens(kept.withColumn("content", T.trimmed(F.col("content"))).where(~T.is_blank(F.col("content"))).select("doc_id", "idx", "content"))
-    after_filter = kept.groupBy("doc_id").agg(F.sum(F.col("tokens") + 1).alias("filtered"))
-    if key is not None:
-        kept = R.deduplicate(kept, key(F.col("content")))
-        if annotate:
-            kept = kept.withColumn("content", T.repeated(F.col("content"), F.col("repeats")))
-        kept = R.with_tokens(kept.select("doc_id", "idx", "content"))
-    after_dedup = kept.groupBy("doc_id").agg(F.sum(F.col("tokens") + 1).alias("deduplicated"))
-    chosen = kept if budget is None else R.select_prefix(kept, F.lit(budget))
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "content")))
-    final = chosen.groupBy("doc_id").agg(
-        F.sum(F.col("tokens") + 1).alias("selected"),
-        F.concat(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n" if how == "lines" else "\n\n"), F.lit("\n")).alias("optimized"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = own.select("doc_id", count_heuristic(F.col("text")).alias("original_tokens")).join(after_filter, "doc_id", "left").join(after_dedup, "doc_id", "left").join(final, "doc_id", "left")
-    return out.select(
+TOOLS = ("git", "test", "build", "tool")
+
+
+def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
+    """The staged pipelines in one pass: what a document's route asks for is chosen row by row, so all routes share one
+    scan, one grouping by fragment key and one by document. A document without fragments keeps one empty row."""
+    is_tool = route.isin(*TOOLS)
+    by_line = is_tool | (route == "log") | F.lit(lines)
+    parts = F.when(by_line, R.lines_of(F.col("text"))).otherwise(R.blocks_of(F.col("text")))
+    rows = docs.select("doc_id", route.alias("route"), (profile if profile is not None else route).alias("profile"), by_line.alias("by_line"), count_heuristic(F.col("text")).alias("original_tokens"), F.posexplode_outer(parts).alias("idx", "content"))
+    r, content = F.col("route"), F.col("content")
+    cleaned = rows.withColumn("content", F.when((r == "log") | r.isin(*TOOLS), T.strip_ansi(content)).otherwise(content))
+    noise = F.when(r == "log", T.is_progress_noise(content)).when(r.isin(*TOOLS), T.is_tool_noise(content, F.col("profile"))).otherwise(F.lit(False))
+    kept = cleaned.withColumn("content", F.when(content.isNotNull() & ~noise, T.trimmed(content)))
+    kept = kept.withColumn("content", F.when(~T.is_blank(content), content))
+    key = F.when(content.isNull(), None).when(r == "log", T.message_key(content)).when(r == "text-conservative", F.col("idx").cast("string")).otherwise(T.collapse_space(content))
+    kept = kept.withColumn("key", key).withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
+    once = kept.groupBy("doc_id", "route", "by_line", "original_tokens", "key").agg(F.min(F.struct("idx", "content")).alias("f"), F.count("*").alias("n"), F.sum("cost").alias("filtered"))
+    said = F.when(r.isin("log", *TOOLS), T.repeated(F.col("f.content"), F.col("n"))).otherwise(F.col("f.content"))
+    once = once.select("doc_id", "route", "by_line", "original_tokens", "filtered", F.col("f.idx").alias("idx"), F.when(F.col("key").isNotNull(), said).alias("content"))
+    once = once.withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
+    fits = content.isNotNull()
+    if budget is not None:
+        running = F.sum("cost").over(Window.partitionBy("doc_id").orderBy(F.coalesce("idx", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0))
+        once = once.withColumn("running", running)
+        fits = fits & (F.col("running") <= budget)
+    ordered = F.array_sort(F.collect_list(F.when(fits, F.struct("idx", "content"))))
+    whole = once.groupBy("doc_id", "route", "by_line", "original_tokens").agg(F.sum("filtered").alias("f"), F.sum("cost").alias("d"), F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)).alias("s"), ordered.alias("kept"))
+    said = F.transform("kept", lambda x: x["content"])
+    joined = F.when(F.col("by_line"), F.array_join(said, "\n")).otherwise(F.array_join(said, "\n\n"))
+    return whole.select(
         "doc_id",
-        F.lit(name).alias("optimizer"),
+        F.col("route").alias("optimizer"),
         "original_tokens",
-        (F.col("original_tokens") - zero(F.col("filtered"))).alias("filtering"),
-        (zero(F.col("filtered")) - zero(F.col("deduplicated"))).alias("deduplication"),
+        (F.col("original_tokens") - F.col("f")).alias("filtering"),
+        (F.col("f") - F.col("d")).alias("deduplication"),
         F.lit(0).cast("long").alias("compression"),
-        (zero(F.col("deduplicated")) - zero(F.col("selected"))).alias("selection"),
-        zero(F.col("selected")).alias("optimized_tokens"),
-        F.coalesce("optimized", F.lit("")).alias("text"),
+        (F.col("d") - F.col("s")).alias("selection"),
+        F.col("s").alias("optimized_tokens"),
+        F.when(F.size("kept") > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit("")).alias("text"),
     )
 
 
 def log(docs: DataFrame, budget: int | None = None) -> DataFrame:
-    return _staged(docs, "log", "lines", T.strip_ansi, lambda c, _: T.is_progress_noise(c), T.message_key, True, budget)
+    return _staged(docs, F.lit("log"), budget)
 
 
 def tool(docs: DataFrame, budget: int | None = None) -> DataFrame:
     """docs have a command column, whose profile names the noise."""
-    return _staged(docs, "tool", "lines", T.strip_ansi, T.is_tool_noise, T.collapse_space, True, budget)
+    return _staged(docs, F.lit("tool"), budget, profile=T.command_profile(F.col("command")))
 
 
 def text(docs: DataFrame, budget: int | None = None, how: str = "blocks") -> DataFrame:
-    return _staged(docs, "text", how, None, None, T.collapse_space, False, budget)
+    return _staged(docs, F.lit("text"), budget, lines=how == "lines")
 
 
 def conservative(docs: DataFrame, budget: int | None = None) -> DataFrame:
-    return _staged(docs, "text-conservative", "blocks", None, None, None, False, budget)
+    return _staged(docs, F.lit("text-conservative"), budget)
 
 
 def passthrough(docs: DataFrame, budget: int | None = None) -> DataFrame:
@@ -171,17 +177,13 @@ def route(content_type: Column, command: Column | None = None, disabled: bool =
 
 
 def optimize(docs: DataFrame, budget: int | None = None) -> DataFrame:
-    """Every document by its own pipeline: one routing column, then a branch for each pipeline."""
+    """Every document by its own pipeline: one routing column, then a pass for the staged routes, one for JSON and one
+    for what passes through."""
     command = F.col("command") if "command" in docs.columns else None
     path = F.col("path") if "path" in docs.columns else None
     routed = docs.withColumn("route", route(detect(F.col("text"), path), command))
-    if command is None:
-        routed = routed.withColumn("command", F.lit(None).cast("string"))
-    branches = {"json": json_text, "log": log, "text": text, "text-conservative": conservative, "passthrough": passthrough}
-    out = tool(routed.where(F.col("route").isin("git", "test", "build", "tool")), budget)
-    for name, pipeline in branches.items():
-        out = out.unionByName(pipeline(routed.where(F.col("route") == name), budget))
-    return out
+    staged = _staged(routed.where(~F.col("route").isin("json", "passthrough")), F.col("route"), budget)
+    return staged.unionByName(json_text(routed.where("route = 'json'"), budget)).unionByName(passthrough(routed.where("route = 'passthrough'"), budget))
 
 
 def report(optimized: DataFrame) -> DataFrame:

@@ -553,12 +553,12 @@ def s14_term_stats(spark, d):
     return search.term_stats(search.postings(docs(spark, d)))
 
 
-@query("SELECT p_partkey AS file_id, p_name AS name, CASE WHEN p_name = 'green' THEN 0 WHEN lower(p_name) LIKE 'green%' THEN 1 ELSE 2 END AS rank FROM part WHERE lower(p_name) LIKE '%green%' ORDER BY rank, length(p_name), 'src/' || p_brand || '/' || p_partkey, p_size LIMIT 50")
+@query("SELECT p_partkey AS file_id, p_name AS name, CASE WHEN p_name = 'large' THEN 0 WHEN lower(p_name) LIKE 'large%' THEN 1 ELSE 2 END AS rank FROM part WHERE lower(p_name) LIKE '%large%' ORDER BY rank, length(p_name), 'src/' || p_brand || '/' || p_partkey, p_size LIMIT 50")
 def jn1_symbol_search(spark, d):
     part = table(spark, d, "part")
     symbols = part.select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"), F.col("p_size").alias("line"))
     files = part.select(F.col("p_partkey").alias("file_id"), F.lit("src").alias("root"), F.concat_ws("/", F.lit("src"), "p_brand", F.col("p_partkey").cast("string")).alias("path"))
-    return search.symbol_search(symbols, files, "green", "src").select("file_id", "name", "rank")
+    return search.symbol_search(symbols, files, "large", "src").select("file_id", "name", "rank")
 
 
 _EDGES = "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst, 'orders' AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
@@ -843,3 +843,146 @@ def u6_relationships(spark, d):
 def s2_ignore_rules(spark, d):
     rules = S.ignore_rules(["*.log", "/src/*.py", *[f"!src/part*{k}0.{e}" for k in ("",) for e in ("log", "py")]])
     return paths(spark, d).select("path", S.is_ignored(F.col("path"), rules).alias("ignored"))
+
+
+# Stores and pages, continued
+
+
+@query("SELECT conv_id, turn, replace(text, chr(10), '|') AS content FROM conversations")
+def s9_normalize(spark, d):
+    raw = F.concat(F.lit("﻿"), F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.replace(T.normalize(raw), F.lit("\n"), F.lit("|")).alias("content"))
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region")
+def s21_json_sink(spark, d):
+    return S.as_json(table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 5 = 0 THEN 'new' ELSE l_returnflag END AS kind, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def s12_replace_derived(spark, d):
+    old = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("kind"))
+    new = old.where("file_id % 5 = 0").withColumn("kind", F.lit("new"))
+    return store.replace_derived(old, new, new.select("file_id")).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN vec_id = 5 THEN 'v7' ELSE 'v' || vec_id END AS path, label FROM embeddings WHERE vec_id <> 7")
+def s13_rename(spark, d):
+    rows = table(spark, d, "embeddings").select(F.lit("r").alias("root"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), "label")
+    return store.rename(rows, "r", "v5", "v7").select("path", "label")
+
+
+@query("SELECT vec_id, len(embedding) AS dimensions FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
+def s16_embeddings_for(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("root"), F.size("embedding").cast("long").alias("dimensions"))
+    wanted = rows.where("vec_id % 2 = 0").select("vec_id")
+    return rows.where("root = '3'").join(wanted, "vec_id", "left_semi").select("vec_id", "dimensions")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'paused' ELSE 'active' END AS status FROM customer WHERE c_nationkey < 5 ORDER BY c_nationkey, c_name LIMIT 1000000")
+def s19_projects(spark, d):
+    """Registered projects, every fourth one paused by an update."""
+    rows = table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("id"), F.lit("active").alias("status"), F.col("c_nationkey").alias("added_at"), F.col("c_name").alias("name"))
+    paused = rows.where("id % 4 = 0").withColumn("status", F.lit("paused"))
+    return store.upsert(rows, paused, ["id"], ("added_at",)).orderBy("added_at", "name").select("id", "status")
+
+
+@query("SELECT lang AS root, max(doc_id) AS last_indexed_at, count(*) AS file_count FROM documents GROUP BY lang ORDER BY root")
+def s25_index_runs(spark, d):
+    runs = docs(spark, d).groupBy(F.col("lang").alias("root")).agg(F.max("doc_id").alias("last_indexed_at"), F.count("*").alias("file_count"))
+    return store.upsert(runs, runs, ["root"]).orderBy("root")
+
+
+@query(f"SELECT * FROM ({_sums('project, operation', _at('day'))})")
+def s23_replace_rollups(spark, d):
+    events = metric_events(spark, d)
+    stale = metrics.rollup(events, "daily").withColumn("operations", F.lit(0).cast("long"))
+    return said(metrics.replace(stale, metrics.rollup(events, "daily"))).drop("granularity")
+
+
+@query("SELECT event_id AS seq, event_type AS level FROM (SELECT * FROM events WHERE event_type IN ('error', 'purchase') AND event_id > 100 ORDER BY event_id DESC LIMIT 40) ORDER BY event_id")
+def o6_log_page(spark, d):
+    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase") & (F.col("event_id") > 100))
+    return rows.orderBy(F.desc("event_id")).limit(40).orderBy("event_id").select(F.col("event_id").alias("seq"), F.col("event_type").alias("level"))
+
+
+@query("SELECT 'u' || user_id AS path, max(event_id) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, path LIMIT 100")
+def o7_change_batch(spark, d):
+    return changes(spark, d).groupBy("path").agg(F.max("seq").alias("last_seen")).orderBy(F.desc("last_seen"), "path").limit(100)
+
+
+@query("SELECT root, path, target FROM (SELECT lang AS root, CAST(doc_id AS VARCHAR) AS path, 't' || doc_id AS target, EXISTS (SELECT 1 FROM documents b WHERE b.lang = a.lang AND b.doc_id IN (a.doc_id + 1, a.doc_id + 2)) AS found FROM documents a) WHERE NOT found ORDER BY root, path, target")
+def o8_unresolved_imports(spark, d):
+    return index.unresolved(jn6_resolve_imports(spark, d))
+
+
+@query("SELECT l_orderkey AS file_id, l_returnflag AS kind, o_orderpriority AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' AND l_orderkey % 100 = 0")
+def jn3_relationships_of_files(spark, d):
+    rows = table(spark, d, "lineitem").where("l_linestatus = 'F' AND l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("kind"))
+    return rows.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("path")), "file_id")
+
+
+@query("SELECT coalesce(a.source, b.source) AS path, coalesce(a.n, 0) AS text_hits, coalesce(b.n, 0) AS symbol_hits FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' AND doc_id % 7 = 0 GROUP BY source) a FULL OUTER JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND doc_id % 9 = 0 GROUP BY source) b USING (source)")
+def jn7_merge_hits(spark, d):
+    hits = lambda lang, k, n: docs(spark, d).where(f"lang = '{lang}' AND doc_id % {k} = 0").groupBy(F.col("source").alias("path")).agg(F.count("*").alias(n))
+    return hits("fr", 7, "text_hits").join(hits("en", 9, "symbol_hits"), "path", "full_outer").na.fill(0)
+
+
+@query("SELECT d.doc_id, coalesce(round(e.embedding[1], 5), 0.0) AS similarity FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id * 2")
+def jn8_similarities(spark, d):
+    near = table(spark, d, "embeddings").select((F.col("vec_id") * 2).alias("doc_id"), F.round(F.get("embedding", F.lit(0)), 5).cast("double").alias("similarity"))
+    return docs(spark, d).select("doc_id").join(near, "doc_id", "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), 5))
+
+
+@query("SELECT src AS node, dst AS neighbour FROM e UNION SELECT dst, src FROM e".replace("FROM e", f"FROM ({_EDGES} WHERE o_custkey < 20)"))
+def u2_neighbours(spark, d):
+    e = edges(spark, d).where("src < 20")
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(e.select("dst", "src")).distinct()
+
+
+@query(f"SELECT src AS node FROM ({_EDGES}) UNION SELECT dst FROM ({_EDGES})")
+def u3_nodes(spark, d):
+    e = edges(spark, d)
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+@query()
+def p12_search_and_compile(spark, d):
+    """The best files of a search, within a budget, as one compilation."""
+    ranked = search.top_text(docs(spark, d), "license version", 20)
+    rows = ranked.join(docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", "relevance", N.count_heuristic(F.col("text")).alias("tokens"), F.lit(1).cast("long").alias("query"))
+    placed = rows.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), "doc_id")).cast("long"))
+    chosen = search.within_budget(placed, 4000).withColumn("header", T.section_header(F.lit("file"), F.col("doc_id").cast("string")))
+    return P.compile_sections(chosen.withColumnRenamed("query", "group_id"), 4000, N.count_heuristic(F.col("header")))
+
+
+@query("SELECT lang AS root, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 10 NOT IN (0, 3) UNION ALL SELECT lang, 'n' || doc_id FROM documents WHERE doc_id % 10 = 3")
+def p14_apply_changes(spark, d):
+    """A batch of deletions and additions on the stored files; applied twice it changes nothing more."""
+    stored, _ = snapshots(spark, d)
+    rows = stored.select("root", "path", "content_hash")
+    gone = rows.where("CAST(path AS BIGINT) % 10 = 0")
+    added = docs(spark, d).where("doc_id % 10 = 3").select(F.col("lang").alias("root"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("content_hash"))
+    for _ in range(2):
+        rows = store.upsert(store.delete(rows, gone, ["root", "path"]), added, ["root", "path"])
+    return rows.select("root", "path")
+
+
+@query()
+def p16_similar(spark, d):
+    """Benchmark items that are like the first ones, by hashed embeddings."""
+    items = table(spark, d, "benchmark").select("item_id", vectors.embedder(128)("text").alias("vector"))
+    asked = [(i, vectors.embed(t, 128).tolist()) for i, t in [(r["item_id"], r["text"]) for r in table(spark, d, "benchmark").orderBy("item_id").limit(5).collect()]]
+    return vectors.nearest(items, asked, 0.15, 5, "item_id", "vector")
+
+
+@query("SELECT doc_id, text AS content FROM documents WHERE doc_id IN (3, 5)")
+def p21_retrieve_original(spark, d):
+    contexts = docs(spark, d).select("doc_id", T.context_id(F.col("text")).alias("id"), F.col("text").alias("content"))
+    asked = contexts.where("doc_id IN (3, 5)").select(T.to_uri(F.col("id")).alias("reference")).select(T.parse_id(F.col("reference")).alias("id"))
+    return contexts.join(asked.distinct(), "id", "left_semi").where("doc_id IN (3, 5)").select("doc_id", "content")
+
+
+@query()
+def p10_settings_fingerprint(spark, d):
+    return spark.range(1).select(store.settings_fingerprint(budget=32000, tokenizer="heuristic", near=False).alias("fingerprint"))

@@ -289,3 +289,24 @@ def test_expressions_match_a_model_on_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("text", tokens.count_heuristic(F.col("text")).alias("n")).collect()
     random.Random(0).shuffle(docs)
     assert all(model(r["text"]) == r["n"] for r in docs)
+
+
+def test_project_file():
+    from glyphmill.sources.config import ProjectFile, root_key
+
+    assert ProjectFile.parse('name = "x"\nbudget = 5\nignore = ["*.log"]') == ProjectFile(name="x", budget=5, ignore=("*.log",))
+    with pytest.raises(ValueError, match="unknown keys: nmae"):
+        ProjectFile.parse('nmae = "x"')
+    assert root_key("file:///a/b/") == "/a/b" and root_key("C:\\x\\") == "C:/x" and root_key("/") == "/"
+
+
+def test_streaming_rollup_and_replay(spark, small, tmp_path):
+    from glyphmill.streaming import metrics as stream
+
+    raw = spark.read.parquet(f"{small}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"), F.lit("p").alias("project"), F.lit(4).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(1).cast("long").alias("duration_ms"), F.lit(False).alias("failed"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("lookups"))
+    raw.repartition(3).write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream.refresh_each_batch(events, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/v2").select("bucket", "operation", "operations", "input_tokens")
+    want = metrics.rollup(raw, "hourly").select("bucket", "operation", "operations", "input_tokens")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
