@@ -51,12 +51,16 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def equals(term: str):
+    return lambda word: word == F.lit(term)
+
+
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, relevance) of documents that hold a term. Documents are read once: the query's terms are counted in each
     text, so no posting of another word is made or shuffled; statistics are corpus-wide."""
     words = terms_of(F.col(text_col))
     counted = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).select(
-        "doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{k}") for k, t in enumerate(terms)]
+        "doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
     )
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     both = counted.where(F.greatest(F.lit(0), *[F.col(f"tf{k}") for k in range(len(terms))]) > 0).join(F.broadcast(stats), F.lit(True))
