@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontam, neardup, packing, quality, queries, secrets
-from glyphmill.llm.common import fresh_path, ready
+from glyphmill.llm.common import cut, fresh_path, ready
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the least id.
     Rows without an id are kept; of repeated rows one stays."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = cut(neardup.near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
+    size = kept.agg(F.count("*").alias("ids"), F.max("_n").alias("most")).first()
+    ids = F.broadcast(kept.select("doc_id")) if size["ids"] <= neardup.BROADCAST_IDS else kept.select("doc_id")
+    named = docs.join(ids, "doc_id", "left_semi")
+    if (size["most"] or 0) > 1:  # only then are there repeated rows, whose texts must meet
+        named = named.dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
