@@ -126,6 +126,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
+    """The rows of docs that pass, with the columns of docs. A filter would be pushed below the measures and compute each
+    anew wherever the rules name it; unfolding an array of the row, or of none, leaves them computed once."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    return judge(inner).where("kept").select("_row.*")
+    return judge(inner).select(F.inline(F.filter(F.array("_row"), lambda _: F.col("kept"))))
