@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, kept, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -38,39 +38,52 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%&*$|]*)")
 
 class WordIds:
     """The ids of texts, by the ids of their words. The tokenizer never joins what a space or line feed separates, so
-    a text's ids are those of its words in order; words repeat, so most need no tokenizer."""
+    a text's ids are those of its words in order; words repeat, so most need no tokenizer. A plain word (Latin letters,
+    then marks) is the ids of its letters in lower case and those of its marks, each kept on their own; their encoder
+    has the same model without the steps that such letters pass unchanged. All other words take the tokenizer as it is."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
+        self.parts: dict[str, bytes] = {"": b""}
         self.kept: dict[str, bytes] = {"": b""}
 
+    def learn_parts(self, parts: list[str]) -> None:
+        """Letters and marks are encoded as one text, and told apart by the ids that end a part."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(parts) and ends[-1] == len(ids):
+            data, at = ids.tobytes(), 0
+            for part, end in zip(parts, (4 * ends).tolist(), strict=True):
+                self.parts[part] = data[at:end]
+                at = end
+        else:
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+                self.parts[part] = np.array(e.ids, dtype="<u4").tobytes()
+
     def learn(self, words: list[str]) -> None:
-        """Plain words (letters, then marks) are encoded as one text and told apart by the ids that end a word; others one by one."""
-        plain, parts, other = [], [], []
+        plain, other = [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
             if m:
-                plain.append(w)
-                parts.append(1 + bool(m[2]))
+                plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(parts)
-            if len(ends) == upto[-1] and ends[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for w, e in zip(plain, (4 * ends[upto - 1]).tolist(), strict=True):
-                    self.kept[w] = data[at:e]
-                    at = e
-            else:
-                other += plain
+        if len(self.parts) > WORDS_KEPT:
+            self.parts = {"": b""}
+        if new := {p for x in plain for p in x[1:]}.difference(self.parts):
+            self.learn_parts(list(new))
+        for w, letters, end in plain:
+            self.kept[w] = self.parts[letters] + self.parts[end]
         if other:
             for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
@@ -86,17 +99,12 @@ class WordIds:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document cut every capacity ids: doc_id, start, length, ids_crc32, doc_tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _LOADED:
-            _LOADED[tokenizer_path] = WordIds(tokenizer_path)
-        coder, end = _LOADED[tokenizer_path], np.array([end_id], dtype="<u4").tobytes()
+        coder, end = kept(f"words of {tokenizer_path}", lambda: WordIds(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
         for rows in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, ids in zip(rows["doc_id"], coder.of([x or "" for x in rows["text"]]), strict=True):
