@@ -2,14 +2,14 @@
 shingle sets, and connected components by alternating large-star and small-star.
 
 Texts with equal shingle sets become one node first, so copies cost one row each. Nodes that share a band's bucket are
-candidates. All pairs of a bucket are never made: a round compares each member with one hub of its bucket, links are
-joined to components, and later rounds compare only members whose component differs from their hub's. What then still
-lies in one bucket but in several components is compared in blocks of bounded size inside tasks, which give out only
-pairs whose signatures agree; so no link between different texts is lost beyond the banding's chance (under 1e-7 for a
+candidates. All pairs of a bucket are never made: the first round compares each member with its bucket's hub, and links
+are joined to components. Members that share a bucket but not their component are compared in blocks of bounded size
+inside tasks, which give out first each member's best pair, and, once those links are joined too, every pair that is
+left and whose signatures agree; so no link between different texts is lost beyond the banding's chance (under 1e-7 for a
 link at the threshold with the defaults) and the signature's margin (4.5 standard deviations).
 
-A null or empty text has no shingles and is linked with nothing; its component is its own id. Rows that share an id are
-one node's rows, thus linked. Rows with a null id take part, and their component is null if it has no other id.
+A null or empty text has no shingles and is linked with nothing; its component is its own id. Rows that share an id but
+not their texts are judged each by its own text. Rows with a null id take part, and their component is null if it has no other id.
 Repeated rows are repeated in the result. An empty table gives an empty result; further columns are not read.
 """
 
@@ -34,8 +34,11 @@ WORDS_KEPT = 1_000_000
 NO_ID = 1 << 62
 #: Bytes of a shingle's hash that the exact check compares.
 SHINGLE_BYTES = 5
-#: Members of a block in the exhaustive comparison.
-BLOCK = 512
+#: Members of a block in the comparisons within buckets.
+BLOCK = 2048
+#: Bytes of a signature that the choice of a member's best pair looks at, and bits of a bucket that tell shared bands.
+FEW = 120
+TAG = 0x7FFFFFFF
 #: Up to so many candidate ids (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -237,43 +240,53 @@ def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def hub_pairs(members: DataFrame, round_: int) -> DataFrame:
-    """(a, b): each member of a bucket and the bucket's hub, where their components differ. The first round's hub is the
-    least node, so a group has few hubs; then every bucket has one of its own, so a member meets many."""
-    order = F.col("node") if not round_ else F.xxhash64("node", "bucket", F.lit(round_))
-    hubs = members.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), order).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"))
-    return members.join(hubs, "bucket").where("comp <> hub_comp").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket and the bucket's least node, so that a group meets few hubs."""
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"))
+    return members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of a bucket whose components differ and whose signatures agree, each from the first band that they
-    share. Members are dealt into blocks; a task compares two blocks, and its input is bounded."""
+def block_pairs(members: DataFrame, nodes: DataFrame, settings: Settings, best_only: bool) -> DataFrame:
+    """Pairs of a bucket whose components differ and whose signatures agree: for each member the best one alone, or all,
+    each from the first band that they share. Members are dealt into blocks; a task compares two, so its input is bounded."""
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     n = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sized, "bucket").withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = dealt.select("bucket", "node", "comp", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    wide = spread.join(nodes.select("node", "bands", "sig"), "node")
+    few = F.substring("sig", 1, FEW).alias("sig")
+    tags = F.transform("bands", lambda b: b.bitwiseAND(F.lit(TAG)).cast("int")).alias("tags")
+    wide = spread.join(nodes.select("node", few) if best_only else nodes.select("node", "sig", tags), "node")
     least = settings.least_equal
 
     def run(key, table):
         bucket, i, j = (k.as_py() for k in key)
         node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
-        bands = np.array(table.column("bands").to_pylist())
+        tags = None if best_only else np.array(table.column("tags").to_pylist())
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         out_a, out_b = [], []
         right = np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i):
-            ys = right[(comp[right] != comp[x]) & ((node[right] < node[x]) if i == j else True)]
-            ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= least]
-            same = bands[ys] == bands[x]
-            ys = ys[bands[ys, same.argmax(axis=1)] == bucket] if len(ys) else ys
+        for x in range(len(node)) if best_only else np.flatnonzero(block == i):
+            if best_only:
+                ys = np.flatnonzero(comp != comp[x])
+            else:
+                ys = right[(comp[right] != comp[x]) & ((node[right] < node[x]) if i == j else True)]
+            if not len(ys):
+                continue
+            equal = (sig[ys] == sig[x]).mean(axis=1)
+            if best_only:
+                ys = ys[[equal.argmax()]] if equal.max() >= least else ys[:0]
+            elif (equal >= least).any():
+                ys = ys[equal >= least]
+                ys = ys[tags[ys, (tags[ys] == tags[x]).argmax(axis=1)] == bucket & TAG]
+            else:
+                ys = ys[:0]
             out_a += [int(node[x])] * len(ys)
             out_b += node[ys].tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     made = wide.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
-    return made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -288,16 +301,20 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     members = cut(buckets.join(shared, "bucket").select("bucket", "node"))
     sets = cut(full_sets(docs, cut(members.select("node").distinct()), settings, id_col, text_col).dropDuplicates(["node", "set_key"]).join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi"))
     edges, tested, comps = None, None, None
-    for round_ in range(3):
+    for round_ in () if members.isEmpty() else ("hubs", "best", "all"):
         at = labelled(members, comps)
-        pairs = hub_pairs(at, round_) if round_ < 2 else block_pairs(at, nodes, settings)
+        pairs = hub_pairs(at) if round_ == "hubs" else block_pairs(at, nodes, settings, round_ == "best")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = cut(pairs if round_ == 2 else close(pairs, nodes, settings))
+        near = cut(close(pairs, nodes, settings) if round_ == "hubs" else pairs)
+        if near.isEmpty():
+            continue
         tested = near if tested is None else tested.unionByName(near)
         found = cut(confirmed(near, sets, settings))
+        if found.isEmpty():
+            continue
         edges = found if edges is None else edges.unionByName(found)
         comps = components(edges)
-    group = nodes.select("set_key", "node").join(comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
+    group = labelled(nodes.select("set_key", "node"), comps).select("set_key", "comp")
     placed = digest.join(group, "set_key", "left").withColumn("component_id", F.when(F.col("comp") < NO_ID, F.col("comp")).when(F.col("comp").isNull(), F.col("doc_id")))
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))
