@@ -1,9 +1,13 @@
 """Main text of web pages by site template removal.
 
 A page is parsed into a tree; every block-level subtree is hashed from its tags, classes and text. Spark counts, for each
-host, on how many pages a hash occurs; subtrees outside the article that recur on many pages of their host are
-templates and are deleted. Of what is left, the article's blocks are the text: elements that by their kind or class are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments never count.
+host, on how many distinct pages a hash occurs outside articles, and in how many distinct articles inside; subtrees that
+recur are templates and are deleted. Pages of the same text count once, and so do copies of an article. Inside, headings,
+list items, table cells and paragraphs without class or id are no templates of their own, as texts repeat themselves too;
+outside, such paragraphs must also be on a share of the host's pages. An article more than half of whose text recurs,
+such paragraphs included, is a copy of others and stays whole. Of what is left, the blocks of all outermost articles are the text, in page order, or
+those of the page if it has none: elements that by their kind or class are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or comments never count.
 
 A null html is empty, and its text is empty. A page without a host belongs to the host ''. Repeated pages are extracted
 one by one and count once each for their host. An empty table gives an empty result; further columns are not read.
@@ -22,17 +26,28 @@ from pyspark.sql import functions as F
 
 from .common import cut, share, slices
 
-#: A subtree is a template if it is on at least so many pages of its host, and on this share of them.
+#: A subtree is a template if it is on so many distinct pages of its host (inside: articles), however large the host is;
+#: on a host of fewer, if it is on all of them, but on LEAST_OUTSIDE or LEAST_INSIDE at least.
 LEAST_PAGES = 5
+LEAST_OUTSIDE = 2
+LEAST_INSIDE = 3
+#: A paragraph without class or id outside articles must also be on this share of the host's pages.
 LEAST_SHARE = 0.1
+#: Marks the hashes of subtrees inside articles, which are counted apart.
+INSIDE = 0x5BD1E9955BD1E995
 #: Up to so many template hashes are sent to every executor; more are joined by host.
 BROADCAST_HASHES = 500_000
 
+#: Kinds of counted subtrees.
+OUTSIDE, WITHIN, BARE = 0, 1, 2
+
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HASHED = BLOCKS - {"html", "body", "article", "main"}
+HASHED_INSIDE = HASHED - set("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot hr figcaption summary".split())
+TEXTUAL = frozenset("p pre blockquote address".split())
 NEVER = frozenset("script style head title noscript template iframe svg nav aside footer form button select option textarea input dialog menu object embed canvas audio video".split())
 #: A start tag of the key closes open elements of the value, up to the nearest scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -127,6 +142,12 @@ def hashed(root: Node) -> None:
             node.hash = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
+def named(node: Node) -> bool:
+    """Whether class or id name what is no main text."""
+    values = re.findall(r"(?:class|id)=([^=]*)(?=\s\S+=|$)", node.marks)
+    return any(w in NAMES for x in values for w in re.split(r"[\s_-]+", x))
+
+
 def unwanted(node: Node, inside: bool) -> bool:
     """Whether a node is, by its kind or marks, no part of the main text. inside: within the article."""
     if node.tag in NEVER or (node.tag == "header" and not inside):
@@ -134,29 +155,33 @@ def unwanted(node: Node, inside: bool) -> bool:
     if node.marks:
         if re.search(r"(?:^|\s)hidden=(?:\s|$)|aria-hidden=true|display\s*:\s*none|role=(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", node.marks):
             return True
-        named = re.findall(r"(?:class|id)=([^=]*)(?=\s\S+=|$)", node.marks)
-        return node.tag not in ("article", "main", "body", "html") and any(w in NAMES for x in named for w in re.split(r"[\s_-]+", x))
+        return node.tag not in ("article", "main", "body", "html") and named(node)
     return False
 
 
-def article(root: Node) -> Node | None:
-    """The outermost article or main element with the most text."""
-    best, most, todo = None, -1, [root]
+def articles(root: Node) -> list[Node]:
+    """The outermost article and main elements in page order; those named as comments or the like only if all are."""
+    found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in ("article", "main") and not unwanted(node, False):
-            size = sum(map(len, blocks(node, frozenset(), True)))
-            if size > most or (size == most and best is not None and best.tag != "article"):
-                best, most = node, size
-            if node.tag == "article":
-                continue
-        if node is root or not unwanted(node, False):
-            todo += [c for c in node.children if isinstance(c, Node)]
-    return best
+        if node is not root and unwanted(node, False):
+            continue
+        if node.tag in ("article", "main"):
+            found.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return [a for a in found if not named(a)] or found
+
+
+def template(node: Node, templates: frozenset[int], inside: bool, bare: bool) -> bool:
+    if inside:
+        return node.hash ^ INSIDE in templates and node.tag in HASHED_INSIDE and (bare or bool(node.marks) or node.tag not in TEXTUAL)
+    return node.hash in templates and node.tag in HASHED
 
 
-def blocks(root: Node, templates: frozenset[int], inside: bool) -> list[str]:
-    """The texts of the blocks below root in page order, without unwanted and template subtrees."""
+def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = False) -> list[str]:
+    """The texts of the blocks below root in page order, without unwanted and template subtrees; bare: nor, inside,
+    recurring paragraphs without class or id."""
     out: list[str] = []
     run: list[str] = []
 
@@ -176,7 +201,7 @@ def blocks(root: Node, templates: frozenset[int], inside: bool) -> list[str]:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif x is root or not (unwanted(x, inside) or (not inside and x.hash in templates and x.tag in HASHED)):
+        elif x is root or not (unwanted(x, inside) or (templates and template(x, templates, inside, bare))):
             if x.tag in BLOCKS:
                 close()
                 todo.append(None)
@@ -189,11 +214,47 @@ def blocks(root: Node, templates: frozenset[int], inside: bool) -> list[str]:
 
 def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     root = parse(html or "")
-    chosen = article(root)
-    if chosen is not None:
-        return "\n\n".join(blocks(chosen, templates, True))
+    if templates:
+        hashed(root)
+    chosen = articles(root)
+    if not chosen:
+        return "\n\n".join(blocks(root, templates, False))
+    out: list[str] = []
+    for a in chosen:
+        whole = blocks(a, frozenset(), True)
+        left = blocks(a, templates, True) if templates else whole
+        copied = left != whole and 2 * sum(map(len, blocks(a, templates, True, True))) < sum(map(len, whole))
+        out += whole if copied else left
+    return "\n\n".join(out)
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def occurrences(html: str | None) -> set[tuple[int, int, int]]:
+    """(hash, kind, of): the subtrees of a page and the digest of the page or article they are in; hash 0 is that itself."""
+    root = parse(html or "")
     hashed(root)
-    return "\n\n".join(blocks(root, templates, False))
+    chosen = articles(root)
+    texts = ["\n\n".join(blocks(a, frozenset(), True)) for a in chosen] or ["\n\n".join(blocks(root, frozenset(), False))]
+    page = digest("\n\n".join(texts))
+    own = {id(a): digest(t) for a, t in zip(chosen, texts, strict=False)}
+    found: set[tuple[int, int, int]] = {(0, OUTSIDE, page)}
+    todo: list[tuple[Node, int | None]] = [(root, None)]
+    while todo:
+        node, of = todo.pop()
+        if node.tag in ("article", "main"):
+            if of is None and id(node) not in own:
+                continue
+            of = own.get(id(node), node.hash)
+            found.add((0, WITHIN, of))
+        elif of is None and node.tag in HASHED:
+            found.add((node.hash, BARE if node.tag in TEXTUAL and not node.marks else OUTSIDE, page))
+        elif of is not None and node.tag in HASHED_INSIDE:
+            found.add((node.hash ^ INSIDE, WITHIN, of))
+        todo += [(c, of) for c in node.children if isinstance(c, Node)]
+    return found
 
 
 def host(url: Column) -> Column:
@@ -201,35 +262,26 @@ def host(url: Column) -> Column:
 
 
 def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash, n): on how many pages of its host a subtree outside the article is; partitions count before they
-    are merged, so a host of a third of all pages is no hot key."""
+    """(host, kind, hash, n): on how many distinct pages, or in how many distinct articles, of its host a subtree is.
+    What is counted is dealt by page and subtree and then added up, so a host of a third of all pages is no hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, 2048):
-            total: dict[tuple[str, int], int] = {}
-            for name, text in zip(rows["host"], rows["html"], strict=True):
-                root = parse(text or "")
-                hashed(root)
-                found, todo = {0}, [root]
-                while todo:
-                    node = todo.pop()
-                    if node.tag in HASHED:
-                        found.add(node.hash)
-                    if node.tag not in ("article", "main"):
-                        todo += [c for c in node.children if isinstance(c, Node)]
-                for h in found:
-                    total[name, h] = total.get((name, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([h for _, h in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["host", "hash", "n"])
+            found = list({(name, *x) for name, text in zip(rows["host"], rows["html"], strict=True) for x in occurrences(text)})
+            host, hash_, kind, of = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(hash_, pa.int64()), pa.array(kind, pa.int32()), pa.array(of, pa.int64())], names=["host", "hash", "kind", "of"])
 
     narrow = pages.select(host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    return narrow.mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    return narrow.mapInArrow(run, "host string, hash long, kind int, of long").distinct().groupBy("host", "kind", "hash").agg(F.count("*").alias("n"))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash) of the subtrees that recur. Hash 0 stands for the page itself and is never one."""
-    counts = cut(subtree_counts(pages, url_col, html_col).where((F.col("hash") == 0) | (F.col("n") >= LEAST_PAGES)))
-    whole = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(whole, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "hash")
+    """(host, hash) of the subtrees that recur. Hash 0 stands for the page or article itself and is never one."""
+    within = (F.col("kind") == WITHIN).alias("within")
+    counts = cut(subtree_counts(pages, url_col, html_col).where((F.col("hash") == 0) | (F.col("n") >= F.when(within, LEAST_INSIDE).otherwise(LEAST_OUTSIDE))))
+    whole = counts.where("hash = 0").select("host", within, F.col("n").alias("pages"))
+    need = F.greatest(F.least(F.lit(LEAST_PAGES), F.col("pages")), F.when(F.col("kind") == BARE, LEAST_SHARE * F.col("pages")).otherwise(0))
+    return counts.where("hash <> 0").withColumn("within", within).join(whole, ["host", "within"]).where(F.col("n") >= need).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

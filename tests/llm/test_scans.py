@@ -122,6 +122,23 @@ def test_site_templates_go(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+
+
+def test_templates_inside_articles_go_and_copies_stay(spark):
+    story = lambda i: f"<h2>Notes</h2><p>Story {i} is told here at some length, so that it is the most of the page</p><table><tr><td>{i}</td><td>Yes</td></tr></table><p>Les.</p>"
+    rows = [("http://a.example/", f"<article>{story(i)}<div class=x1><p>Read on: ten more</p></div></article>") for i in range(6)]
+    rows += [("http://c.example/", f"<p>chrome {i}</p><article>{story(7)}</article>") for i in range(8)]  # one article under many chromes
+    rows += [("http://d.example/", f"<article>{story(8)}<p>v{i}</p></article>") for i in range(8)]  # near copies
+    got = extracted(spark, rows)
+    kept = lambda i: f"Notes\n\nStory {i} is told here at some length, so that it is the most of the page\n\n{i}\n\nYes\n\nLes."
+    assert [got[i] for i in range(6)] == [kept(i) for i in range(6)]
+    assert all(got[6 + i] == kept(7) for i in range(8))
+    assert all(got[14 + i] == f"{kept(8)}\n\nv{i}" for i in range(8))
+
+
 def test_pages_against_their_articles(spark, small):
     import re
     from html import unescape
