@@ -139,6 +139,20 @@ def test_templates_inside_articles_go_and_copies_stay(spark):
     assert all(got[14 + i] == f"{kept(8)}\n\nv{i}" for i in range(8))
 
 
+def test_templates_are_counted_by_distinct_pages(spark):
+    rows = [("http://a.example/", "<p>One page</p><p>stored often</p>")] * 10
+    rows += [("http://big.example/", f"<div><p>Section menu</p></div><p>Own {i}</p>" if i < 6 else f"<p>Other {i}</p>") for i in range(100)]
+    rows += [("http://few.example/", f"<div><p>Menu</p></div><p>Text {i}</p>") for i in range(3)]
+    got = extracted(spark, rows)
+    assert all(got[i] == "One page\n\nstored often" for i in range(10))
+    assert [got[10 + i] for i in range(6)] == [f"Own {i}" for i in range(6)]
+    assert [got[110 + i] for i in range(3)] == [f"Text {i}" for i in range(3)]
+
+
+def test_all_outermost_articles_are_the_text():
+    assert html.main_text("<article><p>a</p></article><p>x</p><article><p>longer b</p></article><article class=comment>c</article>") == "a\n\nlonger b"
+
+
 def test_pages_against_their_articles(spark, small):
     import re
     from html import unescape
