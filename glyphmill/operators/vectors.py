@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WORD_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 1.0, 0.3, 0.5
 MAX_FEATURES = 20_000
 THRESHOLD = 0.92
+#: Query vectors that a task multiplies with its vectors at a time.
+QUERIES = 1024
 
 
 def fnv1a(data: bytes) -> int:
@@ -104,6 +107,12 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], floor: f
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_of_all(vectors: DataFrame, queries: list[tuple[int, list[float]]], floor: float, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """nearest() for any number of queries: blocks of QUERIES at a time, each of which reads the vectors once."""
+    parts = [nearest(vectors, queries[at : at + QUERIES], floor, k, id_col, vector_col) for at in range(0, len(queries), QUERIES)]
+    return reduce(DataFrame.unionByName, parts or [nearest(vectors.where("false"), [(0, [0.0])], floor, k, id_col, vector_col)])
+
+
 def collapse(v: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[int], list[int]]:
     """Greedy: each vector is compared with those kept so far; the first that is near enough takes it. Gives the kept
     rows and, for every row, the kept row it belongs to."""

@@ -634,8 +634,8 @@ def jn9_expand(spark, d):
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_inner_product(list_transform(q, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM q, embeddings) SELECT query_id, id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= 0.15) WHERE rank <= 10")
 def jn10_nearest(spark, d):
     rows = table(spark, d, "embeddings")
-    queries = [(r["vec_id"], list(r["embedding"])) for r in rows.where("vec_id % 50 = 0").orderBy("vec_id").limit(1024).collect()]
-    return vectors.nearest(rows, queries, 0.15, 10)
+    queries = [(r["vec_id"], list(r["embedding"])) for r in rows.where("vec_id % 50 = 0").orderBy("vec_id").collect()]
+    return vectors.nearest_of_all(rows, queries, 0.15, 10)
 
 
 @query("SELECT label, count(*) AS n, round(sum(list_inner_product(embedding, embedding)), 3) AS total FROM embeddings GROUP BY label")

@@ -310,3 +310,13 @@ def test_streaming_rollup_and_replay(spark, small, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out/v2").select("bucket", "operation", "operations", "input_tokens")
     want = metrics.rollup(raw, "hourly").select("bucket", "operation", "operations", "input_tokens")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_nearest_takes_every_query(spark, tmp_path):
+    from glyphmill import queries
+
+    rows = [(50 * i, [float(np.cos(i)), float(np.sin(i))]) for i in range(1100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.jn10_nearest(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {i for i, _ in rows}
+    assert max(r["rank"] for r in got) == 10 and len(got) == 11000
