@@ -970,10 +970,10 @@ def p14_apply_changes(spark, d):
 
 @query()
 def p16_similar(spark, d):
-    """Benchmark items that are like the first ones, by hashed embeddings."""
+    """Benchmark items that are like each item with an id, by hashed embeddings."""
     items = table(spark, d, "benchmark").select("item_id", vectors.embedder(128)("text").alias("vector"))
-    asked = [(i, vectors.embed(t, 128).tolist()) for i, t in [(r["item_id"], r["text"]) for r in table(spark, d, "benchmark").orderBy("item_id").limit(5).collect()]]
-    return vectors.nearest(items, asked, 0.15, 5, "item_id", "vector")
+    asked = [(r["item_id"], vectors.embed(r["text"] or "", 128).tolist()) for r in table(spark, d, "benchmark").where("item_id IS NOT NULL").orderBy("item_id").collect()]
+    return vectors.nearest_of_all(items, asked, 0.15, 5, "item_id", "vector")
 
 
 @query("SELECT doc_id, text AS content FROM documents WHERE doc_id IN (3, 5)")

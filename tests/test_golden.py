@@ -320,3 +320,11 @@ def test_nearest_takes_every_query(spark, tmp_path):
     got = queries.jn10_nearest(spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in got} == {i for i, _ in rows}
     assert max(r["rank"] for r in got) == 10 and len(got) == 11000
+
+
+def test_similar_items_are_found_for_every_item(spark, small):
+    from glyphmill import queries
+
+    items = {r["item_id"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = queries.p16_similar(spark, small).collect()
+    assert len(items) > 5 and {r["query_id"] for r in got} == items
