@@ -18,15 +18,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the least id.
-    Rows without an id are kept; of repeated rows one stays."""
-    kept = cut(neardup.near_duplicates(docs.select("doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("_n")))
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the least id, a row
+    without an id only if none has one; of equal ids, one text's. Texts are told apart by 62 bits of their hash, never by
+    doc_id. Rows without words are in no group: all stay, but repeated rows with an id once."""
+    marked = docs.withColumn("_t", F.pmod(F.xxhash64("text"), F.lit(neardup.NO_ID)))
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")
+    full = marked.where(~blank)
+    found = neardup.near_duplicates(full.select("_t", "text"), id_col="_t").groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("_c"))
+    rows = full.groupBy("_t", "doc_id").agg(F.count("*").alias("_n"))
+    firsts = rows.groupBy("_t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_t", "_n")).alias("_f"))
+    kept = cut(firsts.join(found, "_t").groupBy("_c").agg(F.min("_f").alias("_f")).select(F.col("_f.doc_id").alias("_id"), F.col("_f._t").alias("_u"), F.col("_f._n").alias("_n")))
     size = kept.agg(F.count("*").alias("ids"), F.max("_n").alias("most")).first()
-    ids = F.broadcast(kept.select("doc_id")) if size["ids"] <= neardup.BROADCAST_IDS else kept.select("doc_id")
-    named = docs.join(ids, "doc_id", "left_semi")
+    ids = F.broadcast(kept) if size["ids"] <= neardup.BROADCAST_IDS else kept
+    named = full.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_u")))
     if (size["most"] or 0) > 1:  # only then are there repeated rows, whose texts must meet
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        named = named.where("_n = 1").unionByName(named.where("_n > 1").dropDuplicates(["doc_id", "_t"]))
+    empty = marked.where(blank)
+    empty = empty.where("doc_id IS NULL").unionByName(empty.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_t"]))
+    return named.select(*docs.columns).unionByName(empty.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,17 @@ def test_stages_take_odd_rows_and_empty_tables(spark, medium):
         assert stage(spark, empty(spark), medium).count() == 0
 
 
+def test_near_duplicates_keep_rows_not_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    data = [(7, text(k)) for k in range(5)]  # one id, five documents
+    data += [(7, text(0)), (9, text(1) + " end")]  # a repeated row, and a near copy of a greater id
+    data += [(None, text(10)), (None, text(10)), (None, text(11)), (3, text(11))]  # copies without an id
+    data += [(1, ""), (1, ""), (None, None), (None, "\t")]
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in data], odd(spark).schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([*[(7, text(k)) for k in range(5)], (None, text(10)), (3, text(11)), (1, ""), (None, None), (None, "\t")], key=repr)
+
+
 def test_redaction_keeps_other_text(spark):
     docs = odd(spark).where("doc_id = 6").withColumn("text", F.lit("é a password = 'abcdefghijklmnop' b"))
     assert corpus_pipeline.secret_scan(spark, docs, "").first()["text"] == "é a [SECRET]' b"
