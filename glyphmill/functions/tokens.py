@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,8 +52,6 @@ def available() -> list[str]:
 
 def bpe_counter(ranks_path: str, pattern: str) -> Callable[[Column], Column]:
     """An exact byte-pair counter over a rank file; the vocabulary is loaded once a worker."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         coder = _coder(ranks_path, pattern)

@@ -8,6 +8,7 @@ import posixpath
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,8 +158,6 @@ def candidates(lang: str, path: str, target: str) -> list[str]:
 
 def import_candidates(found: DataFrame) -> DataFrame:
     """Imports of intelligence() with their candidate paths."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def tried(lang: pd.Series, path: pd.Series, target: pd.Series) -> pd.Series:
         return pd.Series([candidates(*x) for x in zip(lang, path, target, strict=True)])

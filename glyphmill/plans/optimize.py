@@ -25,13 +25,15 @@ SAVINGS = ("filtering", "deduplication", "compression", "selection")
 TOOLS = ("git", "test", "build", "tool")
 
 
-def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
+def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
     """The staged pipelines in one pass: what a document's route asks for is chosen row by row, so all routes share one
     scan, one grouping by fragment key and one by document. A document without fragments keeps one empty row."""
     is_tool = route.isin(*TOOLS)
     by_line = is_tool | (route == "log") | F.lit(lines)
     parts = F.when(by_line, R.lines_of(F.col("text"))).otherwise(R.blocks_of(F.col("text")))
-    rows = docs.select("doc_id", route.alias("route"), (profile if profile is not None else route).alias("profile"), by_line.alias("by_line"), count_heuristic(F.col("text")).alias("original_tokens"), F.posexplode_outer(parts).alias("idx", "content"))
+    # measured before the explosion: beside it, Spark would count the whole text once for every fragment
+    measured = docs.select("doc_id", route.alias("route"), (profile if profile is not None else route).alias("profile"), by_line.alias("by_line"), count_heuristic(F.col("text")).alias("original_tokens"), parts.alias("parts"))
+    rows = measured.select("doc_id", "route", "profile", "by_line", "original_tokens", F.posexplode_outer("parts").alias("idx", "content"))
     r, content = F.col("route"), F.col("content")
     cleaned = rows.withColumn("content", F.when((r == "log") | r.isin(*TOOLS), T.strip_ansi(content)).otherwise(content))
     noise = F.when(r == "log", T.is_progress_noise(content)).when(r.isin(*TOOLS), T.is_tool_noise(content, F.col("profile"))).otherwise(F.lit(False))
@@ -41,7 +43,7 @@ def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = Fa
     kept = kept.withColumn("key", key).withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
     once = kept.groupBy("doc_id", "route", "by_line", "original_tokens", "key").agg(F.min(F.struct("idx", "content")).alias("f"), F.count("*").alias("n"), F.sum("cost").alias("filtered"))
     said = F.when(r.isin("log", *TOOLS), T.repeated(F.col("f.content"), F.col("n"))).otherwise(F.col("f.content"))
-    once = once.select("doc_id", "route", "by_line", "original_tokens", "filtered", F.col("f.idx").alias("idx"), F.when(F.col("key").isNotNull(), said).alias("content"))
+    once = once.select("doc_id", "route", "by_line", "original_tokens", "filtered", "n", F.col("f.idx").alias("idx"), F.when(F.col("key").isNotNull(), said).alias("content"))
     once = once.withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
     fits = content.isNotNull()
     if budget is not None:
@@ -49,7 +51,9 @@ def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = Fa
         once = once.withColumn("running", running)
         fits = fits & (F.col("running") <= budget)
     ordered = F.array_sort(F.collect_list(F.when(fits, F.struct("idx", "content"))))
-    whole = once.groupBy("doc_id", "route", "by_line", "original_tokens").agg(F.sum("filtered").alias("f"), F.sum("cost").alias("d"), F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)).alias("s"), ordered.alias("kept"))
+    found = F.coalesce(F.sum(F.when(F.col("content").isNotNull(), F.col("n"))), F.lit(0)).alias("fragments")
+    apart = F.count_if(F.col("content").isNotNull()).alias("apart")
+    whole = once.groupBy("doc_id", "route", "by_line", "original_tokens").agg(found, apart, F.sum("filtered").alias("f"), F.sum("cost").alias("d"), F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)).alias("s"), ordered.alias("kept"))
     said = F.transform("kept", lambda x: x["content"])
     joined = F.when(F.col("by_line"), F.array_join(said, "\n")).otherwise(F.array_join(said, "\n\n"))
     return whole.select(
@@ -62,9 +66,15 @@ def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = Fa
         (F.col("d") - F.col("s")).alias("selection"),
         F.col("s").alias("optimized_tokens"),
         F.when(F.size("kept") > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit("")).alias("text"),
+        "fragments",
+        (F.col("fragments") - F.col("apart")).alias("duplicates"),
     )
 
 
+def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
+    return _measured(docs, route, budget, lines, profile).drop("fragments", "duplicates")
+
+
 def log(docs: DataFrame, budget: int | None = None) -> DataFrame:
     return _staged(docs, F.lit("log"), budget)
 
@@ -78,6 +88,13 @@ def text(docs: DataFrame, budget: int | None = None, how: str = "blocks") -> Dat
     return _staged(docs, F.lit("text"), budget, lines=how == "lines")
 
 
+def analyze(docs: DataFrame, how: str = "lines") -> DataFrame:
+    """doc_id, original_tokens, optimized_tokens, fragments, duplicates of the text pipeline without a budget, from its
+    one grouping; both counts are null for a document without fragments."""
+    some = lambda c: F.when(F.col("fragments") > 0, F.col(c)).alias(c)
+    return _measured(docs, F.lit("text"), None, lines=how == "lines").select("doc_id", "original_tokens", "optimized_tokens", some("fragments"), some("duplicates"))
+
+
 def conservative(docs: DataFrame, budget: int | None = None) -> DataFrame:
     return _staged(docs, F.lit("text-conservative"), budget)
 

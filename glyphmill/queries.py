@@ -320,8 +320,7 @@ def p7_optimize_all(spark, d):
     f"SELECT o.doc_id, o.original_tokens, coalesce(optimized_tokens, 0) AS optimized_tokens, fragments, duplicates FROM (SELECT doc_id, {tok('text')} AS original_tokens FROM documents) o LEFT JOIN a USING (doc_id)"
 )
 def p8_analyze(spark, d):
-    rows = docs(spark, d)
-    return P.text(rows, None, "lines").select("doc_id", "original_tokens", "optimized_tokens").join(fragments.duplicate_report(fragments.split(rows, "lines")), "doc_id", "left")
+    return P.analyze(docs(spark, d))
 
 
 @query()
@@ -375,7 +374,8 @@ def x12_headers(spark, d):
 
 @query("SELECT o_orderkey, round(o_custkey / 1e6 * 2.5, 6) AS cost FROM orders")
 def x13_cost(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.round(C.cost_estimate(F.col("o_custkey"), 2.5), 6).alias("cost"))
+    # rounded on the scaled double: round(x, 6) goes by x's decimal digits and parts from SQL's at halves
+    return table(spark, d, "orders").select("o_orderkey", (F.round(C.cost_estimate(F.col("o_custkey"), 2.5) * F.lit(1e6)) / F.lit(1e6)).alias("cost"))
 
 
 @query("SELECT p_partkey, CASE WHEN lower(p_brand) = 'brand#12' THEN 1.0 WHEN lower(p_brand) LIKE 'brand#1%' THEN 0.7 WHEN lower(p_brand) LIKE '%#1%' THEN 0.4 ELSE 0.0 END AS score FROM part")
