@@ -51,6 +51,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A key counts as heavy, and its fact is sent to every executor, if it has more than one in so many of all rows.
+HEAVY = 2000
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
+    """rows left-joined with facts (one row a key) on key. copies, a column of facts, tells how many rows have the key:
+    rows of heavy keys, of which there are fewer than HEAVY, meet their facts by broadcast and are never shuffled."""
+    total = facts.agg(F.sum(copies)).first()[0] or 0
+    heavy = facts.where(F.col(copies) * HEAVY > total)
+    found = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts, key, "left")
+    return found.unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,15 +2,18 @@
 shingle sets, and connected components by alternating large-star and small-star.
 
 Texts with equal shingle sets become one node first, so copies cost one row each. Nodes that share a band's bucket are
-candidates. All pairs of a bucket are never made: the first round compares each member with its bucket's hub, and links
-are joined to components. Members that share a bucket but not their component are compared in blocks of bounded size
-inside tasks, which give out first each member's best pair, and, once those links are joined too, every pair that is
-left and whose signatures agree; so no link between different texts is lost beyond the banding's chance (under 1e-7 for a
-link at the threshold with the defaults) and the signature's margin (4.5 standard deviations).
+candidates. All pairs of a bucket are never made: first each member is compared with its bucket's hub, and links are
+joined to components. Members that still share a bucket but not a component go into blocks of bounded size, whose full
+sets a task compares at once; it gives out only the links that join its components, so nothing of the size of the pairs
+is written. Buckets that overlap are compared as one area where that costs no more than bucket by bucket, so a large
+group is sent once for each pair of blocks, not once for each of its bands. No link between different texts is lost but
+by the banding's chance (under 1e-7 for a link at the threshold with the defaults) and, against hubs, by the
+signature's margin (4.5 standard deviations); area comparisons are exact.
 
 A null or empty text has no shingles and is linked with nothing; its component is its own id. Rows that share an id but
 not their texts are judged each by its own text. Rows with a null id take part, and their component is null if it has no other id.
-Repeated rows are repeated in the result. An empty table gives an empty result; further columns are not read.
+Very long texts are whole sets like others and fill blocks of their own. Ties do not occur: hubs and components are least
+keys. Repeated rows are repeated in the result. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,21 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, joined, slices
 
 U = np.uint64
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 1_000_000
-#: Ids that stand for rows without one; they sort behind all real ids.
-NO_ID = 1 << 62
-#: Bytes of a shingle's hash that the exact check compares.
-SHINGLE_BYTES = 5
-#: Members of a block in the comparisons within buckets.
-BLOCK = 2048
-#: Bytes of a signature that the choice of a member's best pair looks at, and bits of a bucket that tell shared bands.
-FEW = 120
-TAG = 0x7FFFFFFF
-#: Up to so many candidate ids (8 bytes each) are sent to every executor; more are joined by shuffle.
+#: Nodes of a block, and bytes of their sets, that a task compares with another block's.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Columns of a task's matrix of shared shingles, and members above which a shingle is counted by it instead of in pairs.
+COLUMNS, OFTEN = 4096, 16
+#: An area is compared as one if its pairs are at most so many times those of its buckets.
+DENSE = 2
+#: Up to so many candidate keys (8 bytes each) are sent to every executor; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _HASHES: dict[bytes, int] = {}
@@ -103,7 +103,6 @@ class Signer:
         self.s = settings
         self.a, self.b = settings.functions()
         self.buffer = np.empty((settings.minima, 1024), dtype=np.uint32)
-        self.band = np.arange(1, settings.bands + 1, dtype=U) * U(0x9E3779B97F4A7C15)
 
     def minima(self, shingle_set: np.ndarray) -> np.ndarray:
         x = ((shingle_set >> U(32)) ^ shingle_set).astype(np.uint32)
@@ -116,68 +115,65 @@ class Signer:
             np.minimum(low, made.min(axis=1), out=low)
         return low
 
-    def signed(self, shingle_set: np.ndarray) -> tuple[list[int], bytes]:
-        """The bucket of every band, and a byte of every minimum."""
-        low = self.minima(shingle_set)
-        key = self.band.copy()
-        for column in low.reshape(self.s.bands, self.s.rows).T:
-            key = mixed(key ^ column.astype(U)) * U(0x9E3779B97F4A7C15)
-        return key.view(np.int64), ((low * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8).tobytes()
+    def signed(self, shingle_set: np.ndarray) -> bytes:
+        """A byte of every minimum. A band's rows together are its bucket, so that buckets need no bytes of their own."""
+        return ((self.minima(shingle_set) * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+def set_key(shingle_set: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest() if len(shingle_set) else None
 
 
 def digests(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, set_key (of the whole set), bands, sig."""
+    """A row for each row of docs: doc_id, n_shingles, set_key (of the whole set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(settings)
         for rows in slices(batches):
-            n, keys, bands, sigs = [], [], [], []
+            n, keys, sigs = [], [], []
             for text in rows["text"]:
                 s = shingles(text, settings.words)
                 n.append(len(s))
-                band, sig = signer.signed(s) if len(s) else ([], None)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band)
-                sigs.append(sig)
+                keys.append(set_key(s))
+                sigs.append(signer.signed(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "sig"],
             )
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def node_id():
-    return F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("set_key"), F.lit(NO_ID)))
+def buckets(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(node, bucket) for every band: the hash of the band's number and its rows' bytes."""
+    r = settings.rows
+    each = F.transform(F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * r + 1, F.lit(r))))
+    return nodes.select("node", F.explode(each).alias("bucket"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The whole shingle set of each node of ids, by (node, set_key): texts are read again, as few of them are candidates."""
+def full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, shingles): the whole shingle set of each wanted (doc_id, node, n_shingles), one row a node. Texts are
+    read again, as few of them are candidates; doc_id tells the rows to read, and the set made there must be the node's."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    named = narrow.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("node"), "left_semi")
-    nameless = narrow.where(F.col("doc_id").isNull())
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select("doc_id").distinct()
+    named = narrow.join(F.broadcast(ids) if few else ids, narrow["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             sets = [shingles(t, settings.words) for t in rows["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows["doc_id"], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([(s >> U(64 - 8 * SHINGLE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes() for s in sets], pa.binary()),
-                ],
-                names=["doc_id", "set_key", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
-    made = named.unionByName(nameless).mapInArrow(run, "doc_id long, set_key binary, shingles binary")
-    return made.select(node_id().alias("node"), "set_key", "shingles")
+    made = named.mapInArrow(run, "set_key binary, shingles binary").select(node_of("set_key").alias("node"), "shingles")
+    nodes = wanted.select("node", F.col("n_shingles").alias("n"))
+    # repeated rows and copies among the ids read make the same set again
+    return made.join(F.broadcast(nodes) if few else nodes, "node").dropDuplicates(["node"]).select("node", "n", "shingles")
 
 
-def decoded(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // SHINGLE_BYTES, 8), dtype=np.uint8)
-    wide[:, :SHINGLE_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, SHINGLE_BYTES)
-    return wide.reshape(-1).view(U)
+def node_of(key: str):
+    """The 64-bit node of a set: by its content alone, so that equal sets are one node whatever their ids."""
+    return F.xxhash64(key)
 
 
 def close(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -204,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
         for batch in batches:
             fit = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
-                one, two = decoded(x), decoded(y)
+                one, two = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 fit.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
@@ -233,88 +229,141 @@ def components(edges: DataFrame) -> DataFrame:
     return held.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """members (with node) and the component of each; a node of no edge is its own."""
-    if comps is None:
-        return members.withColumn("comp", F.col("node"))
-    return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket and the bucket's least node, so that a group meets few hubs."""
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"))
-    return members.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-
-
-def block_pairs(members: DataFrame, nodes: DataFrame, settings: Settings, best_only: bool) -> DataFrame:
-    """Pairs of a bucket whose components differ and whose signatures agree: for each member the best one alone, or all,
-    each from the first band that they share. Members are dealt into blocks; a task compares two, so its input is bounded."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sized, "bucket").withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int"))
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements the sets left[i] and right[j] share, exactly. Elements of few members are counted in pairs of
+    members, those of many by products of 0/1 matrices of bounded width; elements of one member are left out."""
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    at, member = at[order], member[order]
+    often = often[at]
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    rare = (often > 1) & (often <= OFTEN)
+    e, m = at[rare], member[rare]
+    for step in range(1, OFTEN):
+        same = np.flatnonzero(e[step:] == e[:-step]) if len(e) > step else e[:0]
+        if not len(same):
+            break
+        for x, y in ((m[same], m[same + step]), (m[same + step], m[same])):
+            fit = (row[x] >= 0) & (column[y] >= 0)
+            out += np.bincount(row[x[fit]] * len(right) + column[y[fit]], minlength=len(out))
+    out = out.reshape(len(left), len(right)).astype(np.float64)
+    e, m = at[often > OFTEN], member[often > OFTEN]
+    if len(e):
+        e = np.unique(e, return_inverse=True)[1]
+        for low in range(0, int(e[-1]) + 1, COLUMNS):
+            part = slice(*np.searchsorted(e, (low, low + COLUMNS)))
+            held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            held[m[part], e[part] - low] = 1
+            out += held[left] @ held[right].T
+    return out
+
+
+def joining(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the links between left and right members of different components, as many as join the components: a forest."""
+    n = np.array([len(s) for s in sets])
+    found: list[np.ndarray] = []
+    strip = max(1, (1 << 21) // max(1, len(right)))
+    for low in range(0, len(left), strip):
+        rows = left[low : low + strip]
+        both = shared_counts(sets, rows, right)
+        fit = (100 * both >= percent * (n[rows][:, None] + n[right][None, :] - both)) & (comp[rows][:, None] != comp[right][None, :])
+        i, j = np.nonzero(fit)
+        pairs = np.stack([rows[i], right[j]], axis=1)
+        ends = np.sort(comp[pairs], axis=1)
+        found.append(pairs[np.unique(ends, axis=0, return_index=True)[1]])
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    out = []
+    for a, b in np.concatenate(found).tolist() if found else ():
+        x, y = find(int(comp[a])), find(int(comp[b]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def areas(open_: DataFrame) -> DataFrame:
+    """(kind, key, node, comp) from open_ (bucket, hub, node, comp), the members of buckets of several components: an
+    area of overlapping buckets where its pairs are at most DENSE times its buckets' pairs, else each bucket."""
+    group = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    area = open_.select("node").unionByName(open_.select(F.col("hub").alias("node"))).distinct().join(group, "node", "left").select("node", F.coalesce("comp", "node").alias("area"))
+    area = cut(area)
+    size = area.groupBy("area").agg(F.count("*").alias("m"))
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    pairs = open_.groupBy("bucket", "hub").agg(F.count("*").alias("n")).join(area.withColumnRenamed("node", "hub"), "hub").groupBy("area").agg(F.sum(square("n")).alias("pairs"))
+    dense = size.join(pairs, "area").select("area", (square("m") <= DENSE * F.col("pairs")).alias("dense"))
+    placed = open_.join(area, "node").join(dense, "area")
+    key = F.when(F.col("dense"), F.col("area")).otherwise(F.col("bucket"))
+    return placed.select(F.when(F.col("dense"), 0).otherwise(1).alias("kind"), key.alias("key"), "node", "comp").distinct()
+
+
+def block_links(placed: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join the components of each area's members (kind, key, node, comp). Members are dealt into
+    blocks of bounded size; a task compares two blocks on their full sets."""
+    percent = settings.percent
+    rows = cut(placed.join(sets.select("node", "n"), "node"))
+    sized = rows.groupBy("kind", "key").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = rows.join(sized.select("kind", "key", blocks.alias("blocks")), ["kind", "key"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("bucket", "node", "comp", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    few = F.substring("sig", 1, FEW).alias("sig")
-    tags = F.transform("bands", lambda b: b.bitwiseAND(F.lit(TAG)).cast("int")).alias("tags")
-    wide = spread.join(nodes.select("node", few) if best_only else nodes.select("node", "sig", tags), "node")
-    least = settings.least_equal
+    spread = dealt.select("kind", "key", "node", "comp", "block", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    wide = spread.join(sets.select("node", "shingles"), "node").select("kind", "key", "i", "j", "node", "comp", "block", "shingles")
 
     def run(key, table):
-        bucket, i, j = (k.as_py() for k in key)
+        _, _, i, j = (k.as_py() for k in key)
         node, comp, block = (table.column(c).to_numpy() for c in ("node", "comp", "block"))
-        tags = None if best_only else np.array(table.column("tags").to_pylist())
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        out_a, out_b = [], []
-        right = np.flatnonzero(block == j)
-        for x in range(len(node)) if best_only else np.flatnonzero(block == i):
-            if best_only:
-                ys = np.flatnonzero(comp != comp[x])
-            else:
-                ys = right[(comp[right] != comp[x]) & ((node[right] < node[x]) if i == j else True)]
-            if not len(ys):
-                continue
-            equal = (sig[ys] == sig[x]).mean(axis=1)
-            if best_only:
-                ys = ys[[equal.argmax()]] if equal.max() >= least else ys[:0]
-            elif (equal >= least).any():
-                ys = ys[equal >= least]
-                ys = ys[tags[ys, (tags[ys] == tags[x]).argmax(axis=1)] == bucket & TAG]
-            else:
-                ys = ys[:0]
-            out_a += [int(node[x])] * len(ys)
-            out_b += node[ys].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    made = wide.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
-    return made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        made = [np.frombuffer(x, dtype=U) for x in table.column("shingles").to_pylist()]
+        pairs = joining(node, comp, made, np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return wide.groupBy("kind", "key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame | None:
+    """(node, comp) of all nodes (node, n_shingles, sig, doc_id) with a link, or None if no two are linked."""
+    all_buckets = buckets(nodes, settings)
+    hubs = all_buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("bucket", "hub")
+    members = cut(all_buckets.join(hubs, "bucket").select("bucket", "hub", "node"))
+    if members.isEmpty():
+        return None
+    wanted = cut(members.select("node").distinct().join(nodes.select("node", "doc_id", "n_shingles"), "node"))
+    sets = cut(full_sets(docs, wanted, settings, id_col, text_col))
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    first = components(confirmed(cut(close(pairs, nodes, settings)), sets, settings))
+    at = members.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed_buckets = at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    open_ = cut(at.join(mixed_buckets, "bucket"))
+    if open_.isEmpty():
+        return first
+    found = cut(block_links(areas(open_), sets, settings))
+    if found.isEmpty():
+        return first
+    # links of nodes become links of components, whose own components are put in their place
+    end = lambda c: found.join(first.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_")), c, "left").select("a", "b", F.coalesce(f"{c}_", c).alias(f"{c}_"))
+    above = components(end("a").join(end("b"), ["a", "b"]).select(F.col("a_").alias("a"), F.col("b_").alias("b")).distinct())
+    lower = first.join(above.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return lower.unionByName(above.join(first, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """A row for each row of docs: doc_id, n_shingles, component_id (the least id reachable over links), kept."""
     digest = cut(digests(docs, settings, id_col, text_col))
-    full = digest.where("n_shingles > 0").withColumn("node", node_id())
-    by_set = full.groupBy("set_key").agg(F.min("node").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    # rows that share an id but not their texts: each text keeps its own row here, and the id links them
-    nodes = cut(by_set)
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "node"))
-    sets = cut(full_sets(docs, cut(members.select("node").distinct()), settings, id_col, text_col).dropDuplicates(["node", "set_key"]).join(nodes.select("node", "set_key"), ["node", "set_key"], "left_semi"))
-    edges, tested, comps = None, None, None
-    for round_ in () if members.isEmpty() else ("hubs", "best", "all"):
-        at = labelled(members, comps)
-        pairs = hub_pairs(at) if round_ == "hubs" else block_pairs(at, nodes, settings, round_ == "best")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = cut(close(pairs, nodes, settings) if round_ == "hubs" else pairs)
-        if near.isEmpty():
-            continue
-        tested = near if tested is None else tested.unionByName(near)
-        found = cut(confirmed(near, sets, settings))
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        comps = components(edges)
-    group = labelled(nodes.select("set_key", "node"), comps).select("set_key", "comp")
-    placed = digest.join(group, "set_key", "left").withColumn("component_id", F.when(F.col("comp") < NO_ID, F.col("comp")).when(F.col("comp").isNull(), F.col("doc_id")))
-    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))
+    full = digest.where("n_shingles > 0").withColumn("node", node_of("set_key"))
+    nodes = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    comps = linked(docs, nodes, settings, id_col, text_col)
+    placed = nodes.select("node", "doc_id", "copies")
+    placed = placed.withColumn("comp", F.col("node")) if comps is None else placed.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    group = cut(placed.join(least, "comp").select("node", "component_id", "copies"))
+    rows = digest.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, node_of("set_key")).alias("node"))
+    told = joined(rows, group, "node", "copies").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return told.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))
