@@ -230,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many elements the sets left[i] and right[j] share, exactly. Elements of few members are counted in pairs of
+    """How many elements two sets left[i] and right[j] share, exactly (for a set with itself, no count is right). Elements of few members are counted in pairs of
     members, those of many by products of 0/1 matrices of bounded width; elements of one member are left out."""
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -300,8 +300,8 @@ def areas(open_: DataFrame) -> DataFrame:
     size = area.groupBy("area").agg(F.count("*").alias("m"))
     square = lambda c: F.col(c).cast("double") * F.col(c)
     pairs = open_.groupBy("bucket", "hub").agg(F.count("*").alias("n")).join(area.withColumnRenamed("node", "hub"), "hub").groupBy("area").agg(F.sum(square("n")).alias("pairs"))
-    dense = size.join(pairs, "area").select("area", (square("m") <= DENSE * F.col("pairs")).alias("dense"))
-    placed = open_.join(area, "node").join(dense, "area")
+    dense = cut(size.join(pairs, "area").select("area", "m", (square("m") <= DENSE * F.col("pairs")).alias("dense")))
+    placed = joined(open_.join(area, "node"), dense, "area", "m")
     key = F.when(F.col("dense"), F.col("area")).otherwise(F.col("bucket"))
     return placed.select(F.when(F.col("dense"), 0).otherwise(1).alias("kind"), key.alias("key"), "node", "comp").distinct()
 
