@@ -7,10 +7,11 @@ list items, table cells and paragraphs without class or id are no templates of t
 outside, such paragraphs must also be on a share of the host's pages. An article more than half of whose text recurs,
 such paragraphs included, is a copy of others and stays whole. Of what is left, the blocks of all outermost articles are the text, in page order, or
 those of the page if it has none: elements that by their kind or class are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments never count.
+adverts, forms, scripts, styles or comments never count; but a paragraph within an article goes for its name only if it recurs.
 
 A null html is empty, and its text is empty. A page without a host belongs to the host ''. Repeated pages are extracted
-one by one and count once each for their host. An empty table gives an empty result; further columns are not read.
+one by one and count once each for their host. Very long or broken pages are parsed in one pass, in linear time: what a
+tag opens ends with its parent, a tag that the text ends in is dropped. Ties do not occur. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -52,13 +53,16 @@ NEVER = frozenset("script style head title noscript template iframe svg nav asid
 #: A start tag of the key closes open elements of the value, up to the nearest scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot article section div main body html blockquote nav aside header footer form".split())
+#: The end of each raw element; only ASCII letters fold, so places are the text's own.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 CLOSE_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "figcaption", "summary"}
 # Words in class or id that name what is no main text.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert comment comments disqus respond reply replies "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social newsletter subscribe subscription signup login related recommended popup modal overlay skip toolbar widget pagination pager".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote groups only behind =, and the end of the text ends any tag, so no start is scanned twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.I)
 
 
@@ -81,7 +85,7 @@ def parse(text: str) -> Node:
     closed ends with its parent."""
     root = Node("#root")
     stack = [root]
-    at, n, low = 0, len(text), ""
+    at, n = 0, len(text)
     while at < n:
         m = TOKEN.search(text, at)
         if m is None:
@@ -117,12 +121,11 @@ def parse(text: str) -> Node:
         node = Node(tag, marks(m[3]))
         stack[-1].children.append(node)
         if tag in RAW and not m[3].endswith("/"):
-            low = low or text.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
+            end = RAW_END[tag].search(text, at)
+            if end is None:
                 at = n
             else:
-                close = text.find(">", end)
+                close = text.find(">", end.end())
                 at = n if close < 0 else close + 1
         elif tag not in VOID:
             stack.append(node)
@@ -155,7 +158,8 @@ def unwanted(node: Node, inside: bool) -> bool:
     if node.marks:
         if re.search(r"(?:^|\s)hidden=(?:\s|$)|aria-hidden=true|display\s*:\s*none|role=(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", node.marks):
             return True
-        return node.tag not in ("article", "main", "body", "html") and named(node)
+        # a paragraph of the article goes for its name only where it recurs, as a template
+        return node.tag not in ("article", "main", "body", "html") and not (inside and node.tag in TEXTUAL) and named(node)
     return False
 
 
@@ -187,7 +191,7 @@ def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = Fal
 
     def close() -> None:
         if run:
-            text = " ".join(references.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 out.append(text)
             run.clear()
@@ -198,7 +202,7 @@ def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = Fal
         if x is None:
             close()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(references.unescape(x))  # each on its own: a reference ends where a tag begins
         elif x.tag == "br":
             run.append(" ")
         elif x is root or not (unwanted(x, inside) or (templates and template(x, templates, inside, bare))):

@@ -120,6 +120,43 @@ def test_site_templates_go(spark):
     assert all(got[i]["text"] == f"Story {i} is told here" for i in range(20))
     assert got[99]["text"] == "alone" and got[100]["text"] == "" and got[100]["n_chars"] == 0
     assert html.extract(pages.where("false")).count() == 0
+    far = html.BROADCAST_HASHES
+    try:
+        html.BROADCAST_HASHES = -1  # the same by a join
+        assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {k: r["text"] for k, r in got.items()}
+    finally:
+        html.BROADCAST_HASHES = far
+
+
+def test_broken_and_long_pages():
+    import time
+
+    turkish = "<p>" + "İ" * 40 + "</p><script>..</script><p>first kept</p><p>second kept</p><SCRIPT>b</Script ><p>third</p>"
+    assert html.main_text(turkish) == "İ" * 40 + "\n\nfirst kept\n\nsecond kept\n\nthird"
+    assert html.main_text("<p>a &am<b>p;lt; b</b> &lt;</p>") == "a &amp;lt; b <"
+    assert html.main_text('<p title="x > y" class=\'z\'>a</p><p data=it\'s>b</p>') == "a\n\nb"
+    for part in ("<a '\"", "<!", "<a =\"", "<a ", "<?", '<a b="', "<!--", "<script>", "</p>"):
+        at = time.time()
+        html.main_text(part * (1_000_000 // len(part)))
+        assert time.time() - at < 10, part
+    assert html.main_text('<article><p class="alert">once</p><div class="share"><p>x</p></div><p>y</p></article>') == "once\n\ny"
+
+
+def test_template_counts_match_brute_force(spark):
+    rng = random.Random(8)
+    hosts = ["a.example", "b.example"]
+    part = lambda k: f"<div class=c{k}><p>box {k} said</p></div>"
+    rows = []
+    for i in range(60):
+        inside, outside = (rng.sample(range(9), 3) for _ in range(2))
+        rows.append((f"http://{hosts[i % 2]}/{i}", "".join(map(part, outside)) + f"<article><p>own {i}</p>" + "".join(map(part, inside)) + "</article>", set(outside), set(inside)))
+    rows += [rows[0], rows[1]] * 3  # repeated pages count once
+    got = extracted(spark, [r[:2] for r in rows])
+    for k, (url, _, _, inside) in enumerate(rows):
+        own = {r[:2]: r for r in rows if r[0].split("/")[2] == url.split("/")[2]}
+        often = {x for x in range(9) if sum(x in r[3] for r in own.values()) >= html.LEAST_PAGES}
+        want = {f"box {x} said" for x in inside - often}
+        assert set(got[k].split("\n\n")[1:]) == want
 
 
 def extracted(spark, rows):
