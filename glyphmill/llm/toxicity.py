@@ -2,7 +2,8 @@
 
 A character language model (trigrams, counted over all training documents) decodes disguised words: a lattice offers,
 for each character, what leetspeak may stand for and, for a run, its shorter spellings; Viterbi's path is the likeliest
-word. Single letters with spaces or marks between them are joined and decoded likewise. The restored words are then
+word. Single letters with spaces or marks between them are one lattice, in which every gap may be nothing or a word's
+edge, so that path parts the words too. The restored words are then
 scored: features of a word are itself and its beginnings, weighed by the log ratio of their shares in toxic and clean
 training documents; a logistic regression over a document's strongest words gives the score. While it is fitted, a
 document's own counts are left out of its weights.
@@ -10,14 +11,15 @@ document's own counts are left out of its weights.
 Labels come only from a bounded sample of training rows (the SAMPLE rows of least hash). A null text is empty; a text
 without words has the score that the regression gives to no evidence. Labels that are null are ignored; without a label
 of either class the score is the share of toxic labels, or 0. Repeated rows are scored one by one, an empty table gives
-an empty result, further columns are not read. Words over LONGEST characters are scored but not decoded.
+an empty result, further columns are not read. Words and spaced
+stretches of any length are decoded, in time linear in their length; of equally likely spellings the first one offered wins.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, slices
+from .common import cut, share, slices
 
 #: Labelled rows that the classifier is fitted on.
 SAMPLE = 20_000
@@ -35,18 +37,24 @@ LEAST_SUPPORT = 2
 LEAST_WEIGHT = 1.0
 STRONG = 3.0
 STARTS = range(4, 10)
-LONGEST = 64
 WORDS_KEPT = 500_000
 
 # What leetspeak characters may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
-DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+€(]|[0-9@$!|+€(].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][*._~^-]+[^\W\d_]", re.S)
-SPACED = re.compile(r"(?<![^\s])(?:[^\s][ .*_-]{1,2}){3,}[^\s](?![^\s.,;:!?])")
+_LETTER, _LEET = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€(]")
+#: A run of three of a letter, a doubled letter at the beginning, or marks between letters.
+_BENT = re.compile(r"([^\W\d_])\1\1|^([^\W\d_])\2|[^\W\d_][*._~^-]+[^\W\d_]")
+SPACED = re.compile(r"(?<![^\s])(?:[^\s.*_-][ .*_-]{1,2}+){2,}[^\s.*_-](?![^\s.,;:!?])")
 EDGE = ".,;:!?#%&*$|<>\"'()[]{}…-_~^"
 #: Classes of the language model: 0 is a word's edge, 1-26 letters, then Latin letters with marks, and all others.
 CLASSES = 64
 OTHER = 63
 CHANNEL = 0.7  # what a substitution or a shortened run costs, in nats
+PARTED = 2.0  # what a word's edge in a narrow gap costs, or none in a wide one
+
+
+def disguised(word: str) -> bool:
+    return bool((_LETTER.search(word) and _LEET.search(word)) or _BENT.search(word))
 
 
 def letter_classes() -> np.ndarray:
@@ -104,9 +112,8 @@ class LanguageModel:
         self.look = {chr(c): int(classes[c]) for c in np.flatnonzero(classes[:0x250])}
         return self
 
-    def decode(self, word: str) -> str:
-        """The likeliest spelling of word without leetspeak, marks inside it and long runs."""
-        steps: list[list[tuple[str, float]]] = []
+    def offers(self, word: str, first: bool = True) -> Iterator[list[tuple[str, float]]]:
+        """What each run of a character may stand for, with its cost. first: word begins a word."""
         i = 0
         while i < len(word):
             j = i
@@ -122,40 +129,73 @@ class LanguageModel:
             if c in "!|$(+" and len(own[0][0]):
                 own.append(("", 2 * CHANNEL))
             if run > 1 and own != [("", CHANNEL)]:
-                own = [(x * n, p + (CHANNEL if n < run else 0.0)) for x, p in own for n in ((1, 2) if run > 2 or not c.isalpha() else (2,))]
-            steps.append(own)
+                either = run > 2 or not c.isalpha() or (first and i == 0)
+                own = [(x * n, p + (CHANNEL if n < run else 0.0)) for x, p in own for n in ((1, 2) if either else (2,))]
+            yield own
             i = j
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+
+    def spaced_offers(self, stretch: str) -> Iterator[list[tuple[str, float]]]:
+        """The same for single characters with gaps between them: a narrow gap may be an edge, a wide one may be none."""
+        at = 0
+        for gap in re.finditer(r"[ .*_-]+", stretch):
+            yield from self.offers(stretch[at : gap.start()], False)
+            wide = gap[0].count(" ") > 1
+            yield [("", PARTED if wide else 0.0), (" ", 0.0 if wide else PARTED)]
+            at = gap.end()
+        yield from self.offers(stretch[at:], False)
+
+    def likeliest(self, steps: Iterable[list[tuple[str, float]]]) -> str:
+        """Viterbi's path over steps of offers; a blank is a word's edge. Paths are linked backwards, so a step costs the same
+        at any length."""
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         cost, look = self.cost, self.look
         for own in steps:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (spent, said) in paths.items():
                 for x, p in own:
                     a2, b2, total = a, b, spent + p
                     for c in x:
+                        if c == " ":
+                            total += float(cost[a2, b2, 0])
+                            a2 = b2 = 0
+                            continue
                         k = look.get(c, OTHER)
                         total += float(cost[a2, b2, k])
                         a2, b2 = b2, k
-                    if (a2, b2) not in new or (total, said + x) < new[a2, b2]:
-                        new[a2, b2] = (total, said + x)
-            paths = new
-        return min((spent + float(cost[a, b, 0]), said) for (a, b), (spent, said) in paths.items())[1]
+                    if (a2, b2) not in new or total < new[a2, b2][0]:
+                        new[a2, b2] = (total, (said, x) if x else said)
+            low = min(spent for spent, _ in new.values())
+            paths = {s: (spent - low, said) for s, (spent, said) in new.items()}
+        said = min(((spent + float(cost[a, b, 0]), said) for (a, b), (spent, said) in paths.items()), key=lambda x: x[0])[1]
+        out = []
+        while said:
+            said, x = said
+            out.append(x)
+        return "".join(reversed(out))
+
+    def decode(self, word: str) -> str:
+        """The likeliest spelling of word without leetspeak, marks inside it and long runs."""
+        return self.likeliest(self.offers(word))
+
+    def parted(self, stretch: str) -> list[str]:
+        """The likeliest words of a spaced stretch."""
+        return self.likeliest(self.spaced_offers(stretch)).split()
 
 
 def restored(word: str, lm: LanguageModel) -> str:
     """A word in lower case without marks at its edges, decoded if it looks disguised."""
     bare = word.strip(EDGE)
-    if DISGUISED.search(word) and len(word) <= LONGEST:
+    if disguised(word):
         inner = word.strip(".,;:?#%&*|<>\"'[]{}…-_~^") if word[:1] in "$@!(|" or word[-1:] in "$!" else bare
         inner = re.sub(r"^[$!|(]{3,}|[$!|(]{3,}$|[!(]+$", "", inner)
-        if DISGUISED.search(inner):
+        if disguised(inner):
             return lm.decode(inner)
     return bare
 
 
-def joined(text: str) -> list[str]:
-    """Words that stand as single characters with spaces or marks between them."""
-    return [re.sub(r"[ .*_-]", "", m[0]) for m in SPACED.finditer(text)]
+def stretches(text: str) -> list[str]:
+    """Runs of single characters with spaces or marks between them."""
+    return [m[0] for m in SPACED.finditer(text)]
 
 
 def features(word: str) -> list[str]:
@@ -165,19 +205,20 @@ def features(word: str) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     low = (text or "").lower()
-    return low.split() + [f"\0{w}" for w in joined(low)]
+    return low.split() + [f"\0{w}" for w in stretches(low)]
 
 
 class Restorer:
     def __init__(self, lm: LanguageModel):
         self.lm, self.kept = lm.known(), {}
 
-    def __call__(self, word: str) -> str:
+    def __call__(self, word: str) -> list[str]:
+        """The restored words that word, or a spaced stretch behind a \\0, stands for."""
         got = self.kept.get(word)
         if got is None:
             if len(self.kept) > WORDS_KEPT:
                 self.kept.clear()
-            got = self.lm.decode(word[1:]) if word[0] == "\0" and len(word) <= LONGEST else restored(word.strip("\0"), self.lm)
+            got = self.lm.parted(word[1:]) if word[0] == "\0" else [restored(word, self.lm)]
             self.kept[word] = got
         return got
 
@@ -231,7 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         part = n_toxic / max(1, n_toxic + n_clean)
         return Model(lm, {}, np.zeros(5), np.ones(5), np.array([np.log((part + 1e-9) / (1 - part + 1e-9)), *[0.0] * 5]))
     ids = F.broadcast(spark.createDataFrame([(r[id_col], r["toxic"]) for r in rows], "id long, toxic int"))
-    chosen = fold.join(ids, F.col(f"`{id_col}`") == F.col("id")).select("id", "toxic", F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # one text an id, that of least hash: an id that many rows share counts once, like its label
+    least = F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("x")
+    chosen = cut(fold.join(ids, F.col(f"`{id_col}`") == F.col("id")).groupBy("id", "toxic").agg(least).select("id", "toxic", F.col("x.text").alias("text")))
     get_lm = share(spark, lm)
 
     def counted(only: int, among: set[str] | None):
@@ -239,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
             restore, total = Restorer(get_lm()), Counter()
             for rows in slices(batches):
                 for text in rows["text"]:
-                    own = {f for w in {restore(w) for w in set(words_of(text))} for f in features(w)}
+                    own = {f for w in {x for w in set(words_of(text)) for x in restore(w)} for f in features(w)}
                     total.update(own if among is None else own & among)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
 
@@ -279,7 +323,7 @@ def strengths(text: str | None, restore: Restorer, table: dict[str, float], kept
             kept.clear()
             new = distinct
         for w in new:
-            kept[w] = max((table.get(f, 0.0) for f in features(restore(w))), default=0.0)
+            kept[w] = max((table.get(f, 0.0) for x in restore(w) for f in features(x)), default=0.0)
     return [v for v in map(kept.__getitem__, distinct) if v > 0], len(words)
 
 

@@ -1,5 +1,6 @@
 """Language identification and toxicity: held-out accuracy, and the parts against brute force."""
 
+import itertools
 import random
 import zlib
 
@@ -65,7 +66,55 @@ def test_decoder_restores_disguised_words():
     lm = toxicity.LanguageModel.of(counts).known()
     for given, want in (("1d10t", "idiot"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("w0rthle$$", "worthless"), ("i.d.i.o.t", "idiot"), ("things,", "things"), ("que###", "que")):
         assert toxicity.restored(given, lm) == want, given
-    assert toxicity.joined("you i d i o t here") == ["idiot"]
+    restore = toxicity.Restorer(lm)
+    assert toxicity.stretches("you i d i o t here") == ["i d i o t"]
+    assert restore("\0i d i o t") == ["idiot"] and restore("\0t.h.e  1 d 1 0 t") == ["the", "idiot"]
+    assert toxicity.stretches("i am") == [] and toxicity.stretches("a b c") == ["a b c"]
+    assert restore("\0t h e i d i o t s a i d s t u p i d t h i n g s") == ["the", "idiot", "said", "stupid", "things"]
+    assert toxicity.restored("iidiot", lm) == "idiot" and toxicity.restored("idi" + "o" * 200 + "t", lm) == "idiot"
+    assert toxicity.restored("m0r0n" * 3000, lm) == "moron" * 3000  # any length, in linear time
+    assert toxicity.stretches("-" * 60 + "ab") == [] and not toxicity.disguised("é" + "ab" * 500_000)
+
+
+def spelled(lm, steps):
+    """The least cost of all spellings, one by one."""
+    best = None
+    for way in itertools.product(*steps):
+        a = b = 0
+        cost = sum(p for _, p in way)
+        for c in "".join(x for x, _ in way) + " ":
+            k = lm.look.get(c, 0 if c == " " else toxicity.OTHER)
+            cost += float(lm.cost[a, b, k])
+            a, b = (0, 0) if c == " " else (b, k)
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_viterbi_is_as_good_as_all_spellings():
+    rng = random.Random(6)
+    counts = np.array([rng.randrange(50) for _ in range(toxicity.CLASSES**3)])
+    lm = toxicity.LanguageModel.of(counts).known()
+    for _ in range(60):
+        word = "".join(rng.choice("abco01!$.|") for _ in range(7))
+        steps = list(lm.offers(word))
+        said = lm.likeliest(steps)
+        ways = [w for w in itertools.product(*steps) if "".join(x for x, _ in w) == said]
+        assert ways and abs(min(spelled(lm, [[c] for c in w]) for w in ways) - spelled(lm, steps)) < 1e-3, word
+    for text in ("a b  c d", "1 d  0 t"):
+        steps = list(lm.spaced_offers(text))
+        said = lm.likeliest(steps)
+        ways = [w for w in itertools.product(*steps) if "".join(x for x, _ in w) == said]
+        assert ways and abs(min(spelled(lm, [[c] for c in w]) for w in ways) - spelled(lm, steps)) < 1e-3, text
+
+
+def test_toxicity_of_an_id_that_many_rows_share(spark):
+    """The label's id is on half of all rows; the sample has one text of it."""
+    rows = [(1, f"you are an idiot {k}") for k in range(200)] + [(k, "a fine day" if k % 2 else "what an idiot you are") for k in range(2, 202)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), *((k, int(k % 2 == 0)) for k in range(2, 202))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 400 and all(r["predicted"] == 1 for r in got if r["doc_id"] == 1)
 
 
 def test_toxicity_odd_rows(spark):
