@@ -148,13 +148,13 @@ def test_template_counts_match_brute_force(spark):
     part = lambda k: f"<div class=c{k}><p>box {k} said</p></div>"
     rows = []
     for i in range(60):
-        inside, outside = (rng.sample(range(9), 3) for _ in range(2))
-        rows.append((f"http://{hosts[i % 2]}/{i}", "".join(map(part, outside)) + f"<article><p>own {i}</p>" + "".join(map(part, inside)) + "</article>", set(outside), set(inside)))
+        inside, outside = (rng.sample(range(22), 3) for _ in range(2))
+        rows.append((f"http://{hosts[i % 2]}/{i}", "".join(map(part, outside)) + f"<article><p>own {i} {'and more of it ' * 20}</p>" + "".join(map(part, inside)) + "</article>", set(outside), set(inside)))
     rows += [rows[0], rows[1]] * 3  # repeated pages count once
     got = extracted(spark, [r[:2] for r in rows])
     for k, (url, _, _, inside) in enumerate(rows):
         own = {r[:2]: r for r in rows if r[0].split("/")[2] == url.split("/")[2]}
-        often = {x for x in range(9) if sum(x in r[3] for r in own.values()) >= html.LEAST_PAGES}
+        often = {x for x in range(22) if sum(x in r[3] for r in own.values()) >= html.LEAST_PAGES}
         want = {f"box {x} said" for x in inside - often}
         assert set(got[k].split("\n\n")[1:]) == want
 
