@@ -20,12 +20,25 @@ def test_language_on_held_out_rows(spark, medium):
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(lang)
 
 
+def test_every_label_and_every_script_is_learnt(spark):
+    """More labels than the sample has room for at full size, most of them of few letters of their own."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(90):
+        letters = [chr(0x4E00 + 150 * k + i) for i in range(140)]
+        rows += [(1000 * k + i, "".join(rng.choice(letters) for _ in range(300)), f"l{k:02}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.sample(docs, F.col("doc_id") % 1000 < 3))
+    assert len(model.languages) == 90
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
+
+
 def test_cross_parsing_counts_longest_phrases():
     rng = random.Random(1)
     sample = "".join(rng.choice("abc ") for _ in range(400))
-    text = "".join(rng.choice("abcd ") for _ in range(300))
-    model = langid.Model([], {"a": 1, "b": 2, "c": 3}, [], [])
-    look = model.lookup()
+    text = "".join(rng.choice("abcd ") for _ in range(3000)) + "abc" * 700 + "".join(rng.choice("abc") for _ in range(2000))
+    look = langid.lookup({"a": 1, "b": 2, "c": 3})
     s, t = langid.classed(sample, look), langid.classed(text, look)
     data, want, at = bytes(s), 0, 0
     while at < len(t):
