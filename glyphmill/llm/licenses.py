@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
 Candidate blocks of a text are lines, or runs of near lines, that hold a license word. Each is compressed by zstandard
-alone and with every template as a raw dictionary; the share of bytes that a template saves ranks the templates. The
-best few are confirmed by exact wording differences: the words of the template that the block lacks, with the words that
-tell the license from its kin (names and version numbers), which must all be there in order.
+alone and with every template as a raw dictionary. A template is a candidate if it saves a share of the bytes that it
+needs itself, so that what else a block holds does not dilute it, and the bytes saved rank the candidates. All of them
+are confirmed in that order by exact wording differences: the words of the template that the block lacks, with the words
+that tell the license from its kin (names and version numbers), which must all be there in order. Words that one license
+covers are not looked at again, so a block gives each of its licenses; of a notice that lists several after one another
+('or', 'and'), each is scanned with the head of the notice.
 
 A null or empty text has no blocks. Long lines are split at sentence ends, so a notice within prose is found; a run of
 lines has no upper length. Repeated rows are scanned one by one, an empty table gives an empty result, further columns
-are not read. Ties go to the template that saves more bytes, then to the one that stands first.
+are not read. Ties go to the template that saves a greater share of itself, then to the one that stands first.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ TRIGGER = r"(?i)licen[cs]e|copyright|warrant(?:y|ies)|redistribut|public domain|
 #: Lines between two trigger lines of one block at most, and characters over which a line is split into sentences.
 GAP = 8
 LONG_LINE = 300
-#: How many of the best templates are confirmed, the least share of bytes saved, and the least share of words held.
-RANKED = 4
-LEAST_SAVED = 0.15
+#: The least share of a template's own bytes that it saves, and the least share of its words that a block holds.
+LEAST_SAVED = 0.3
 LEAST_HELD = 0.85
+#: Words that a matched stretch may have beyond twice its template's, and words behind it that may bar it.
+SLACK = 20
+BEHIND = 2
 
 
 @dataclass(frozen=True)
@@ -74,6 +79,22 @@ _UNLICENSE = "This is free and unencumbered software released into the public do
 _CC0 = "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is released under CC0 1.0 Universal."
 
 
+# Names of licenses that carry a version, and the words that Creative Commons codes stand for.
+VERSIONED = (
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("EPL-1.0", "Eclipse Public License 1.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("EUPL-1.1", "European Union Public Licence 1.1"),
+    ("EUPL-1.2", "European Union Public Licence 1.2"),
+)
+SPELLED = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+#: Heads of notices that may list several licenses, and words that part them.
+HEADS = (("licensed", "under"), ("released", "under"), ("distributed", "under"), ("available", "under"), ("spdx", "license", "identifier"))
+PARTS = ("or", "and", "either")
+
+
 def _gnu(name: str) -> str:
     return (
         f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version %s of the License, or (at your "
@@ -94,11 +115,11 @@ def all_templates() -> tuple[Template, ...]:
         Template("Unlicense", _UNLICENSE, ("free", "unencumbered", "public", "domain")),
         Template("CC0-1.0", _CC0, ("cc0",)),
     ]
-    for code, name, words, bars in (("GPL", "General Public License", ("gnu", "general", "public", "license"), ("lesser", "affero")), ("LGPL", "Lesser General Public License", ("gnu", "lesser", "general", "public", "license"), ()), ("AGPL", "Affero General Public License", ("gnu", "affero", "general", "public", "license"), ())):
+    for code, name, gnu, bars in (("GPL", "General Public License", ("gnu", "general", "public", "license"), ("lesser", "affero")), ("LGPL", "Lesser General Public License", ("gnu", "lesser", "general", "public", "license"), ()), ("AGPL", "Affero General Public License", ("gnu", "affero", "general", "public", "license"), ())):
         for version in ("2", "2.1", "3"):
             spdx = f"{code}-{version if '.' in version else version + '.0'}"
-            out.append(Template(spdx, _gnu(name) % version, (*words, "version", version), bars))
-            out.append(Template(spdx, f"This work is licensed under the GNU {name}, version {version}.", (*words, version), bars))
+            out.append(Template(spdx, _gnu(name) % version, (*gnu, "version", version), bars))
+            out.append(Template(spdx, f"This work is licensed under the GNU {name}, version {version}.", (*gnu, version), bars))
             out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", spdx.split("-")[0].lower(), spdx.split("-")[1])))
     for code in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         parts = tuple(code.lower().split("-"))
@@ -106,12 +127,21 @@ def all_templates() -> tuple[Template, ...]:
         for version in ("3.0", "4.0"):
             out.append(Template(f"CC-{code}-{version}", f"Licensed under CC {code} {version}.", ("cc", *parts, version), bars))
             out.append(Template(f"CC-{code}-{version}", f"This work is licensed under a Creative Commons {code} {version} International License.", ("creative", "commons", *parts, version), bars))
-    for spdx, name in (("MIT", "MIT License"), ("ISC", "ISC License"), ("Unlicense", "Unlicense")):
+            spelled = tuple(SPELLED[x] for x in parts)
+            barred = tuple(w for x in ("nc", "sa", "nd") if x not in parts for w in (SPELLED[x], SPELLED[x].replace("derivatives", "derivs")))
+            out.append(Template(f"CC-{code}-{version}", f"This work is licensed under a Creative Commons {'-'.join(spelled)} {version} International License.", ("creative", "commons", *spelled, version), barred))
+            out.append(Template(f"CC-{code}-{version}", f"SPDX-License-Identifier: CC-{code}-{version}", ("spdx", "license", "identifier", "cc", *parts, version), bars))
+    for spdx, name in (("MIT", "MIT License"), ("ISC", "ISC License"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License")):
         out.append(Template(spdx, f"Released under the {name}.", tuple(name.lower().split())))
+        out.append(Template(spdx, f"Licensed under the {name}.", tuple(name.lower().split())))
         out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", spdx.lower())))
-    for spdx, name, key in (("Apache-2.0", "Apache License, Version 2.0", ("apache", "license", "version", "2.0")), ("MPL-2.0", "Mozilla Public License 2.0", ("mozilla", "public", "license", "2.0"))):
+    for spdx, name in VERSIONED:
+        key = tuple(words(name))
+        version = spdx.rsplit("-", 1)[1]
         out.append(Template(spdx, f"Licensed under the {name}.", key))
-        out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", spdx.split("-")[0].lower(), "2.0")))
+        out.append(Template(spdx, f"Distributed under the {name}.", key))
+        out.append(Template(spdx, name, key))
+        out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", spdx.split("-")[0].lower(), version)))
     for n, bars in ((2, ("3",)), (3, ("2",))):
         out.append(Template(f"BSD-{n}-Clause", f"Licensed under the BSD {n}-Clause License.", ("bsd", str(n), "clause"), bars))
         out.append(Template(f"BSD-{n}-Clause", f"SPDX-License-Identifier: BSD-{n}-Clause", ("spdx", "license", "identifier", "bsd", str(n), "clause"), bars))
@@ -127,42 +157,91 @@ def in_order(key: tuple[str, ...], ws: list[str]) -> bool:
     return all(k in rest for k in key)
 
 
+def alternatives(ws: list[str]) -> list[list[str]]:
+    """Each license of a list behind the head of a notice, with that head: what follows a word that parts them, up to the
+    next one. A head's list ends at the next head."""
+    out = []
+    heads = [k for k in range(len(ws)) for h in HEADS if tuple(ws[k : k + len(h)]) == h]
+    for at, end in zip(heads, [*heads[1:], len(ws)], strict=False):
+        size = next(len(h) for h in HEADS if tuple(ws[at : at + len(h)]) == h)
+        part: list[str] = []
+        parts = [part]
+        for w in ws[at + size : end]:
+            if w in PARTS:
+                part = []
+                parts.append(part)
+            else:
+                part.append(w)
+        if len(parts) > 1:
+            spdx = ws[at] == "spdx"
+            out += [[*ws[at : at + size], *([] if spdx or p[0] == "the" else ["the"]), *p] for p in parts if p]
+    return out
+
+
 class Scanner:
     def __init__(self, templates: tuple[Template, ...] | None = None, level: int = 9):
         self.templates = templates or all_templates()
         self.words = [words(t.text) for t in self.templates]
         form = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**form)
-        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **form) for t in self.templates]
+        self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **form) for w in self.words]
         self.empty = len(self.plain.compress(b""))
+        self.own = [self.size(" ".join(w).encode()) for w in self.words]
         self.trigger = re.compile(TRIGGER)
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of bytes saved, template) of the templates, best first. Blank space is evened out before."""
-        data = " ".join(block.split()).encode()
-        alone = max(1, len(self.plain.compress(data)) - self.empty)
-        saved = [(1 - (len(c.compress(data)) - self.empty) / alone, k) for k, c in enumerate(self.given)]
-        return sorted((s for s in saved if s[0] >= LEAST_SAVED), key=lambda s: (-s[0], s[1]))
-
-    def confirm(self, block: str, template: int) -> tuple[float, str, str] | None:
-        """Share of the template's words that the block holds in order, the words it lacks and the words it adds within
-        the matched stretch; None if the license is another one."""
-        own, ws, t = self.words[template], words(block), self.templates[template]
-        if not in_order(t.key, ws) or any(b in ws for b in t.bars):
+    def size(self, data: bytes) -> int:
+        return max(1, len(self.plain.compress(data)) - self.empty)
+
+    def ranked(self, ws: list[str]) -> list[tuple[int, float, int]]:
+        """(bytes saved, share of the template's own bytes, template) of the candidates, best first. Block and templates
+        are compressed as words, so that case, blanks and comment marks cost nothing."""
+        data = " ".join(ws).encode()
+        alone = self.size(data)
+        saved = [(alone - (len(c.compress(data)) - self.empty), k) for k, c in enumerate(self.given)]
+        fit = [(n, n / self.own[k], k) for n, k in saved if n > 0 and n >= LEAST_SAVED * self.own[k]]
+        return sorted(fit, key=lambda x: (-x[0], -x[1], x[2]))
+
+    def confirm(self, ws: list[str], template: int) -> tuple[float, str, str, int, int] | None:
+        """Share of the template's words that the words hold in order, those it lacks and those it adds within the matched
+        stretch, and that stretch; None if the license is another one."""
+        own, t = self.words[template], self.templates[template]
+        if not in_order(t.key, ws):
             return None
         match = difflib.SequenceMatcher(None, own, ws, autojunk=False)
+        anchor = match.find_longest_match()
+        low = max(0, anchor.b - anchor.a - len(own) - SLACK)
+        near = ws[low : anchor.b + 2 * len(own) + SLACK]
+        match.set_seq2(near)
         same = [m for m in match.get_matching_blocks() if m.size]
         held = sum(m.size for m in same) / len(own)
         if held < LEAST_HELD:
             return None
         lo, hi = same[0].b, same[-1].b + same[-1].size
+        stretch = near[lo:hi]
+        if len(stretch) > 2 * len(own) + SLACK or not in_order(t.key, stretch) or any(b in near[lo : hi + BEHIND] for b in t.bars):
+            return None
         lacks, adds = [], []
         for op, a, b, c, d in match.get_opcodes():
             if op != "equal":
                 lacks += own[a:b]
                 if c >= lo and d <= hi:
-                    adds += ws[c:d]
-        return held, " ".join(lacks), " ".join(adds)
+                    adds += near[c:d]
+        return held, " ".join(lacks), " ".join(adds), low + lo, low + hi
+
+    def told(self, block: str) -> list[tuple[str, float, float, str, str]]:
+        """(license, saved, held, lacks, adds) of each license of a block, once."""
+        out: list[tuple[str, float, float, str, str]] = []
+        whole = words(block)
+        for ws in (whole, *alternatives(whole)):
+            left = list(ws)
+            for _, share, k in self.ranked(ws):
+                got = self.confirm(left, k)
+                if got:
+                    held, lacks, adds, lo, hi = got
+                    left[lo:hi] = [""]  # covered; no template has an empty word
+                    if not any(x[0] == self.templates[k].license for x in out):
+                        out.append((self.templates[k].license, share, held, lacks, adds))
+        return out
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Spans of candidate blocks: trigger lines, run together over gaps of some lines and on to the next blank line;
@@ -194,14 +273,9 @@ class Scanner:
         with the same license is not told again."""
         out: list[tuple[int, int, str, float, float, str, str]] = []
         for start, end in self.blocks(text):
-            block = text[start:end]
-            for saved, k in self.ranked(block)[: RANKED * 3]:
-                got = self.confirm(block, k)
-                if got:
-                    name = self.templates[k].license
-                    if not any(s <= start and end <= e and n == name for s, e, n, *_ in out):
-                        out.append((start, end, name, saved, *got))
-                    break
+            for name, *rest in self.told(text[start:end]):
+                if not any(s <= start and end <= e and n == name for s, e, n, *_ in out):
+                    out.append((start, end, name, *rest))
         return out
 
 

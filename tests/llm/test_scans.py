@@ -94,6 +94,35 @@ def test_license_kin_are_told_apart():
     assert name(f"/*\n * Copyright 2020 A\n{wrapped}\n */\nint x;")[:1] == ["MIT"]
 
 
+def test_all_licenses_of_a_block():
+    name = lambda t: {x[2] for x in licenses.Scanner().scan(t)}
+    assert name("Licensed under the MIT License or the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert name("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert name("SPDX-License-Identifier: MIT OR Apache-2.0") == {"MIT", "Apache-2.0"}
+    assert name(licenses._MIT + "\n\n" + licenses._APACHE) == {"MIT", "Apache-2.0"}
+    assert name("Boost Software License, Version 1.0") == {"BSL-1.0"}
+    assert name("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.") == {"CC-BY-NC-4.0"}
+    assert name("\n".join(f"Copyright (c) {k} someone{k}" for k in range(1000)) + "\n" + licenses._MIT) == {"MIT"}
+
+
+def test_ranking_is_by_bytes_saved():
+    """Every template's saving, compressed anew; the order is that of the saving."""
+    import zstandard
+
+    scanner, ws = licenses.Scanner(), licenses.words("x y z " + licenses._ISC + " and more")
+    form = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    data, want = " ".join(ws).encode(), []
+    for k, t in enumerate(scanner.templates):
+        own = " ".join(licenses.words(t.text)).encode()
+        given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **form)
+        alone = zstandard.ZstdCompressor(**form)
+        saved, full = len(alone.compress(data)) - len(given.compress(data)), len(alone.compress(own)) - len(alone.compress(b""))
+        if saved > 0 and saved >= licenses.LEAST_SAVED * full:
+            want.append((-saved, -saved / full, k))
+    assert [k for _, _, k in scanner.ranked(ws)] == [k for _, _, k in sorted(want)]
+    assert scanner.templates[scanner.ranked(ws)[0][2]].license == "ISC"
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan(odd(spark, license="x")).count() == 0 and licenses.scan(empty(spark)).count() == 0
 
