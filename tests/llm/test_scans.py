@@ -63,6 +63,21 @@ def test_edited_items_match_brute_force():
             assert not got
 
 
+def test_repetitive_texts_and_short_items(monkeypatch):
+    import time
+
+    at = time.time()
+    index = decontam.Index([(1, "a" * 2000), (2, "ab " * 700), (3, "0" * 300)])
+    got = {m[1]: m for m in decontam.matches(index, ["x " + "a" * 8000, "ab " * 3000, "0 " * 900 + "0" * 299 + "1"])}
+    assert got[1][4] == 0 and got[2][4] == 0 and got[3][4] == 1 and got[3][0] == 2
+    assert time.time() - at < 30
+    monkeypatch.setattr(decontam, "HITS", 1000)  # the same counts, few at a time
+    assert {m[1]: m for m in decontam.matches(index, ["x " + "a" * 8000, "ab " * 3000, "0 " * 900 + "0" * 299 + "1"])} == got
+    index = decontam.Index([(1, "Is it?"), (None, "cat"), (3, "?!"), (4, "42"), (5, "cat")])
+    got = decontam.matches(index, ["so IS  it 42", "concatenate 421", "", "a cat"])
+    assert [(m[0], m[1], m[2], m[3]) for m in got] == [(0, 1, 3, 9), (0, 4, 10, 12), (3, None, 2, 5), (3, 5, 2, 5)]
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "the one text without an id"), (2, None), (3, ""), (4, "short")], "item_id long, text string")
     got = decontam.leaks(odd(spark, start="x", item_id=3), bench).collect()
