@@ -27,7 +27,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where the master is local, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="glyphmill-")
     spark.sparkContext.setCheckpointDir(own)
     return f"file://{own}"
@@ -55,7 +57,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 HEAVY = 2000
 
 
-def joined(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:
     """rows left-joined with facts (one row a key) on key. copies, a column of facts, tells how many rows have the key:
     rows of heavy keys, of which there are fewer than HEAVY, meet their facts by broadcast and are never shuffled."""
     total = facts.agg(F.sum(copies)).first()[0] or 0

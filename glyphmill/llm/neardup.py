@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, joined, slices
+from .common import cut, slices, with_facts
 
 U = np.uint64
 #: Words whose hashes a worker keeps.
@@ -301,7 +301,7 @@ def areas(open_: DataFrame) -> DataFrame:
     square = lambda c: F.col(c).cast("double") * F.col(c)
     pairs = open_.groupBy("bucket", "hub").agg(F.count("*").alias("n")).join(area.withColumnRenamed("node", "hub"), "hub").groupBy("area").agg(F.sum(square("n")).alias("pairs"))
     dense = cut(size.join(pairs, "area").select("area", "m", (square("m") <= DENSE * F.col("pairs")).alias("dense")))
-    placed = joined(open_.join(area, "node"), dense, "area", "m")
+    placed = with_facts(open_.join(area, "node"), dense, "area", "m")
     key = F.when(F.col("dense"), F.col("area")).otherwise(F.col("bucket"))
     return placed.select(F.when(F.col("dense"), 0).otherwise(1).alias("kind"), key.alias("key"), "node", "comp").distinct()
 
@@ -365,5 +365,5 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     group = cut(placed.join(least, "comp").select("node", "component_id", "copies"))
     rows = digest.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, node_of("set_key")).alias("node"))
-    told = joined(rows, group, "node", "copies").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    told = with_facts(rows, group, "node", "copies").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return told.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()).alias("kept"))

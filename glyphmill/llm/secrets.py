@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidates with their places; each candidate's value is hashed, and the hashes are counted over the
-whole corpus by distinct repositories and owners. A value that many owners hold is a copied example; one that few hold
-is a live-looking credential of theirs. Base kinds are reported always; the further kinds are reported where their
+whole corpus by distinct repositories and owners. A value that many owners hold, or that is in many repositories for each
+owner, is a copied example; one that few hold is a live-looking credential of theirs. Base kinds are reported always; the further kinds are reported where their
 value is owner-specific and no base span covers them.
 
 A null text is empty. A null repository or owner is a value of its own. Repeated rows are scanned one by one; their
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, with_facts
 
 # The patterns of the base kinds.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,6 +31,8 @@ FURTHER = {
 KINDS = ("assign", "access", "hex", *FURTHER)
 #: A value with at most so many distinct owners looks live; more widely copied ones are examples.
 MAX_OWNERS = 3
+#: So many repositories for each allowed owner still count as that owner's own use.
+REPOS_AN_OWNER = 10
 BLOCK = 512
 
 
@@ -102,7 +104,7 @@ def ownership(hits: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     repository and owner, so a value that is everywhere shrinks before it is dealt out."""
     once = hits.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
     counted = once.groupBy("hash").agg(F.sum("n").alias("n_hits"), F.count_distinct(F.coalesce("repo", F.lit("\0"))).alias("n_repos"), F.count_distinct(F.coalesce("owner", F.lit("\0"))).alias("n_owners"))
-    return counted.withColumn("live", F.col("n_owners") <= max_owners)
+    return counted.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_owners * REPOS_AN_OWNER))
 
 
 def scan(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text", id_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -110,8 +112,8 @@ def scan(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text", i
     kind). base holds the base kinds alone, spans the owner-specific further ones too."""
     digest = found(docs, repo, owner, text_col, id_col)
     hits = digest.select("row", "repo", "owner", F.explode(F.concat("base", "further")).alias("x")).select("row", "repo", "owner", "x.*")
-    verdict = ownership(hits, max_owners)
-    told = hits.join(verdict, "hash").select("row", F.struct("start", "kind", "end", "hash", "n_repos", "n_owners", "live").alias("x"))
+    verdict = cut(ownership(hits, max_owners))
+    told = with_facts(hits, verdict, "hash", "n_hits").select("row", F.struct("start", "kind", "end", "hash", "n_repos", "n_owners", "live").alias("x"))
     by_row = told.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     none = F.array().cast(dict(by_row.dtypes)["xs"])
     xs = F.coalesce("xs", none)
@@ -141,8 +143,8 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-#: Up to so many documents with further secrets are sent to every executor; more are joined by shuffle.
-BROADCAST_DOCS = 200_000
+#: Up to so many further secrets (of about 100 bytes each) are sent to every executor; more are joined by shuffle.
+BROADCAST_SPANS = 200_000
 
 
 def put_marks(text: Column, xs: Column, mark: str) -> Column:
@@ -166,10 +168,10 @@ def redacted(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.sha2(F.col(f"`{text_col}`"), 256)).alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text"), repo.alias("_repo"), owner.alias("_owner"))
     digest = found(named, F.col("_repo"), F.col("_owner"), "_text", "_key")
     hits = digest.select("repo", "owner", F.explode("further").alias("x")).select("repo", "owner", "x.hash")
-    live = ownership(hits, max_owners).where("live").select("hash")
-    owned = digest.select(F.col("doc_id").alias("_key"), F.explode("further").alias("x")).withColumn("hash", F.col("x.hash")).join(live, "hash")
+    verdict = cut(ownership(hits, max_owners).select("hash", "n_hits", "live"))
+    owned = with_facts(digest.select(F.col("doc_id").alias("_key"), F.explode("further").alias("x")).withColumn("hash", F.col("x.hash")), verdict, "hash", "n_hits").where("live")
     spans_of = cut(owned.groupBy("_key").agg(F.collect_set(F.struct("x.start", "x.kind", "x.end", "hash")).alias("_more")))
-    small = spans_of.count() <= BROADCAST_DOCS
+    small = (spans_of.agg(F.sum(F.size("_more"))).first()[0] or 0) <= BROADCAST_SPANS
     told = named.join(F.broadcast(spans_of) if small else spans_of, "_key", "left")
     text = F.coalesce("_text", F.lit(""))
     plain = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
