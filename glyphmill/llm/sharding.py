@@ -5,9 +5,12 @@ slot, and a versioned table maps slots to shards. Version 0 deals the slots out
 moving single slots from the fullest to the emptiest shard, and stores the result as the next version. Only the map
 changes: a record never changes its slot. The law is `bytes`: sizes are near equal.
 
-The slot is the hash of doc_id and text, so even one doc_id that a third of all rows share spreads over slots, unless
-its texts are equal too; an equal row cannot be told apart and goes to the same slot. A null text has no bytes, a null
-doc_id hashes like a value of its own, repeated rows are placed one by one, an empty table gives an empty result.
+The slot is the hash of doc_id and text, so even one doc_id that a third of all rows share spreads over slots. Equal texts
+under different ids are parted likewise. A row that is repeated so often that it would fill a slot (one in HEAVY_ROWS of
+all rows) is dealt over all slots by its place in the table; of equal rows none is told from another, so which one lies
+where says nothing. A null text has no bytes, a null doc_id hashes like a value of its own, repeated rows are placed one by
+one, very long texts count with all their bytes, ties in a slot are equal rows, an empty table gives an empty result, and
+further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import cut, fresh_path
 
 SLOTS = 4096
 RECORD_BYTES = 8
+#: A row is repeated too often for one slot if it is more than one in so many of all rows.
+HEAVY_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -84,13 +89,20 @@ class SlotMap:
 
 
 def sized(docs: DataFrame, slots: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, vslot of every row, kept in the shared folder. Rows that are repeated too often for one
+    slot, at most HEAVY_ROWS different ones, are told from their counts and dealt anew."""
     text = F.col(f"`{text_col}`")
-    return docs.select(
+    rows = cut(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(slots)).cast("int").alias("vslot"),
-    )
+        F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"),
+    ))
+    counts = rows.groupBy("h").agg(F.count("*").alias("n"))
+    heavy = counts.where(F.col("n") * HEAVY_ROWS > rows.count()).where("n > 1").select("h", F.lit(True).alias("often"))
+    spread = F.when(F.col("often"), F.xxhash64("h", "_place")).otherwise(F.col("h"))
+    placed = rows.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(heavy), "h", "left")
+    return placed.select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def per_slot(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
@@ -121,7 +133,7 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS, path: str | None = N
     """Every row's doc_id, size, text_crc32, vslot, shard and slot (its place in the shard), with sizes near equal.
     The map's versions are kept at path, in the shared folder if none is given; a map that is already there is edited."""
     spark = docs.sparkSession
-    records = cut(sized(docs, slots))
+    records = sized(docs, slots)
     size, rows = per_slot(records, slots)
     if path is None:
         path = fresh_path(spark, "slot-map")

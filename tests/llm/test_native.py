@@ -110,10 +110,29 @@ def check_shards(docs, got, even=None):
         assert len(loads) == 24 and max(loads) - min(loads) <= even * sum(loads) / 24
 
 
+def test_one_value_in_every_row(spark):
+    """A copied example on all rows and a live one on a third of them, joined to their verdicts by broadcast and by shuffle."""
+    copied, live = "password = EXAMPLEexample0123", "token: Zq9Zq9Zq9Zq9Zq9Zq9"
+    rows = [(i, f"{copied} and {live if i % 3 == 0 else 'no more'}", f"s{0 if i % 3 == 0 else i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(docs, repo=F.col("source"), owner=F.col("source")).collect()
+    assert len(got) == 3000
+    for r in got:
+        assert [x["live"] for x in r["base"]] == ([False, True] if r["doc_id"] % 3 == 0 else [False])
+    many = spark.createDataFrame([("h", f"r{i}", "o") for i in range(31)] + [("g", f"r{i}", "o") for i in range(30)], "hash string, repo string, owner string")
+    assert {r["hash"]: r["live"] for r in secrets.ownership(many).collect()} == {"h": False, "g": True}
+
+
 def test_sharding_is_even_and_gapless(spark, medium):
     check_shards(spark.read.parquet(f"{medium}/documents.parquet").collect(), queries.op7_sharding(spark, medium).collect(), 0.02)
 
 
+def test_sharding_spreads_a_repeated_row(spark):
+    rows = [(7, "the same row " * 40)] * 2000 + [(100 + k, f"own {k} " * (k % 90)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    check_shards(docs.collect(), sharding.shard(docs, 24).collect(), 0.05)
+
+
 def test_sharding_odd_rows(spark):
     docs = odd(spark, slot="x", shard="y", vslot=1, size=3)
     check_shards(docs.collect(), sharding.shard(docs, 24).collect())
