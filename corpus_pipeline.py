@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity 0.8) stays: that of the least id, a row
-    without an id only if none has one; of equal ids, one text's. Texts are told apart by 62 bits of their hash, never by
+    without an id only if none has one; of equal ids, one text's. Texts are told apart by 64 bits of their hash, never by
     doc_id. Rows without words are in no group: all stay, but repeated rows with an id once."""
-    marked = docs.withColumn("_t", F.pmod(F.xxhash64("text"), F.lit(neardup.NO_ID)))
+    marked = docs.withColumn("_t", F.xxhash64("text"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")
     full = marked.where(~blank)
     found = neardup.near_duplicates(full.select("_t", "text"), id_col="_t").groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("_c"))
