@@ -37,6 +37,8 @@ WORDS_KEPT = 1_000_000
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Columns of a task's matrix of shared shingles, and members above which a shingle is counted by it instead of in pairs.
 COLUMNS, OFTEN = 4096, 16
+#: Edges of a partition while components are found.
+EDGES = 250_000
 #: An area is compared as one if its pairs are at most so many times those of its buckets.
 DENSE = 2
 #: Up to so many candidate keys (8 bytes each) are sent to every executor; more are joined by shuffle.
@@ -212,7 +214,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that is reachable over edges (a, b), for every node of an edge, by alternating
-    large-star and small-star until nothing changes. Every round is cut."""
+    large-star and small-star until nothing changes. Every round is cut. Partitions are as many as the edges need, as
+    rounds have many exchanges, and each leaves a file of every map task."""
     held = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
@@ -220,12 +223,14 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+        parts = -(-mark[0] // EDGES)
+        held = held.coalesce(parts)
         near = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        held = cut(small.distinct())
+        held = cut(small.coalesce(parts).distinct().coalesce(parts))
     return held.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
