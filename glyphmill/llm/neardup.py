@@ -32,11 +32,11 @@ from .common import cut, slices, with_facts
 
 U = np.uint64
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 400_000
 #: Nodes of a block, and bytes of their sets, that a task compares with another block's.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Columns of a task's matrix of shared shingles, and members above which a shingle is counted by it instead of in pairs.
-COLUMNS, OFTEN = 4096, 16
+COLUMNS, OFTEN = 1024, 16
 #: Edges of a partition while components are found.
 EDGES = 250_000
 #: An area is compared as one if its pairs are at most so many times those of its buckets.
