@@ -62,7 +62,17 @@ def remember(memories: DataFrame, new: DataFrame) -> DataFrame:
 
 def newest_memories(memories: DataFrame, project: str | None, n: int) -> DataFrame:
     rows = memories if project is None else memories.where(F.col("project_id") == project)
-    return rows.orderBy(F.desc("updated_at"), "key").limit(n)
+    return rows.orderBy(F.desc("updated_at"), "key", "project_id").limit(n)
+
+
+def recall(memories: DataFrame, project: str, key: str) -> DataFrame:
+    """The note of that key, or no row."""
+    return memories.where((F.col("project_id") == project) & (F.col("key") == key))
+
+
+def forget(memories: DataFrame, project: str, key: str) -> DataFrame:
+    """memories without the note of that key."""
+    return memories.where(~((F.col("project_id") == project) & (F.col("key") == key)))
 
 
 def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:

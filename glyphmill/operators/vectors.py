@@ -24,6 +24,21 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def fnv1a_all(features: list[bytes]) -> np.ndarray:
+    """fnv1a of every feature, a byte place of all of them at a time, longest first."""
+    order = sorted(range(len(features)), key=lambda k: -len(features[k]))
+    lengths = np.array([len(features[k]) for k in order])
+    data = np.frombuffer(b"".join(features[k] for k in order), dtype=np.uint8)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
+    h = np.full(len(features), 0xCBF29CE484222325, dtype=np.uint64)
+    for place in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -place, side="left"))  # so many are longer than place
+        h[:n] = (h[:n] ^ data[starts[:n] + place].astype(np.uint64)) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def tokenize(text: str) -> list[str]:
     """Lower-case words; identifiers split at case changes and at all but letters and digits."""
     out: list[str] = []
@@ -53,9 +68,11 @@ def embed(text: str, dims: int = 256) -> np.ndarray:
             break
     features += [(f"{a} {b}", PAIR_WEIGHT) for a, b in zip(words, words[1:], strict=False)][: max(0, MAX_FEATURES - len(features))]
     v = np.zeros(dims, dtype=np.float32)
-    for f, w in features[:MAX_FEATURES]:
-        h = fnv1a(f.encode())
-        v[h % dims] += -w if h >> 63 else w
+    features = features[:MAX_FEATURES]
+    if features:
+        h = fnv1a_all([f.encode("utf-8", "surrogatepass") for f, _ in features])
+        weight = np.array([w for _, w in features], dtype=np.float32)
+        np.add.at(v, (h % np.uint64(dims)).astype(np.int64), np.where(h >> np.uint64(63), -weight, weight))
     v = np.sign(v) * np.sqrt(np.abs(v))
     norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
     return v / np.float32(norm) if norm else v

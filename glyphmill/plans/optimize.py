@@ -7,8 +7,11 @@ savings that sum to the total), optimized_tokens and text.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from ..functions import text as T
 from ..functions.detect import detect
 from ..functions.tokens import count_heuristic
 from ..operators import fragments as R
+from ..operators import vectors
 
 SAVINGS = ("filtering", "deduplication", "compression", "selection")
 
@@ -25,9 +29,10 @@ SAVINGS = ("filtering", "deduplication", "compression", "selection")
 TOOLS = ("git", "test", "build", "tool")
 
 
-def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
-    """The staged pipelines in one pass: what a document's route asks for is chosen row by row, so all routes share one
-    scan, one grouping by fragment key and one by document. A document without fragments keeps one empty row."""
+def _fragments(docs: DataFrame, route: Column, lines: bool = False, profile: Column | None = None, near: float | None = None) -> DataFrame:
+    """The distinct fragments of each document, which also has its route, by_line and original_tokens: idx, content, cost,
+    filtered (cost before duplicates went) and n. What a document's route asks for is chosen row by row, so all routes
+    share one scan and one grouping by fragment key. A document without fragments keeps one empty row."""
     is_tool = route.isin(*TOOLS)
     by_line = is_tool | (route == "log") | F.lit(lines)
     parts = F.when(by_line, R.lines_of(F.col("text"))).otherwise(R.blocks_of(F.col("text")))
@@ -44,15 +49,39 @@ def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool =
     once = kept.groupBy("doc_id", "route", "by_line", "original_tokens", "key").agg(F.min(F.struct("idx", "content")).alias("f"), F.count("*").alias("n"), F.sum("cost").alias("filtered"))
     said = F.when(r.isin("log", *TOOLS), T.repeated(F.col("f.content"), F.col("n"))).otherwise(F.col("f.content"))
     once = once.select("doc_id", "route", "by_line", "original_tokens", "filtered", "n", F.col("f.idx").alias("idx"), F.when(F.col("key").isNotNull(), said).alias("content"))
-    once = once.withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
+    once = once.withColumn("apart", content.isNotNull())
+    if near is not None:
+        alike = once.where((r == "text") & content.isNotNull()).groupBy("doc_id").applyInPandas(_collapsed(near, once.schema), once.schema)
+        once = once.where((r != "text") | content.isNull()).unionByName(alike)
+    return once.withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
+
+
+def _collapsed(threshold: float, schema):
+    """For one document's fragments in order: those that say the same as an earlier one lose their content, and that one
+    says how many went. Documents are the groups, as likeness is only looked for within one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx").reset_index(drop=True)
+        _, owner = vectors.collapse(np.stack([vectors.embed(x) for x in pdf["content"]]).astype(np.float64), threshold)
+        n = np.bincount(owner, minlength=len(pdf))
+        own = [o == k for k, o in enumerate(owner)]
+        pdf["content"] = [x if o and m == 1 else f"{x}\n\n({m - 1} more alike)" if o else None for x, o, m in zip(pdf["content"], own, n, strict=True)]
+        return pdf[schema.names]
+
+    return run
+
+
+def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None, near: float | None = None) -> DataFrame:
+    """The staged pipelines in one pass, with one more grouping by document."""
+    once, content = _fragments(docs, route, lines, profile, near), F.col("content")
     fits = content.isNotNull()
     if budget is not None:
         running = F.sum("cost").over(Window.partitionBy("doc_id").orderBy(F.coalesce("idx", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0))
         once = once.withColumn("running", running)
         fits = fits & (F.col("running") <= budget)
     ordered = F.array_sort(F.collect_list(F.when(fits, F.struct("idx", "content"))))
-    found = F.coalesce(F.sum(F.when(F.col("content").isNotNull(), F.col("n"))), F.lit(0)).alias("fragments")
-    apart = F.count_if(F.col("content").isNotNull()).alias("apart")
+    found = F.coalesce(F.sum(F.when(F.col("apart"), F.col("n"))), F.lit(0)).alias("fragments")
+    apart = F.count_if("apart").alias("apart")
     whole = once.groupBy("doc_id", "route", "by_line", "original_tokens").agg(found, apart, F.sum("filtered").alias("f"), F.sum("cost").alias("d"), F.coalesce(F.sum(F.when(fits, F.col("cost"))), F.lit(0)).alias("s"), ordered.alias("kept"))
     said = F.transform("kept", lambda x: x["content"])
     joined = F.when(F.col("by_line"), F.array_join(said, "\n")).otherwise(F.array_join(said, "\n\n"))
@@ -71,8 +100,8 @@ def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool =
     )
 
 
-def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None) -> DataFrame:
-    return _measured(docs, route, budget, lines, profile).drop("fragments", "duplicates")
+def _staged(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None, near: float | None = None) -> DataFrame:
+    return _measured(docs, route, budget, lines, profile, near).drop("fragments", "duplicates")
 
 
 def log(docs: DataFrame, budget: int | None = None) -> DataFrame:
@@ -84,8 +113,9 @@ def tool(docs: DataFrame, budget: int | None = None) -> DataFrame:
     return _staged(docs, F.lit("tool"), budget, profile=T.command_profile(F.col("command")))
 
 
-def text(docs: DataFrame, budget: int | None = None, how: str = "blocks") -> DataFrame:
-    return _staged(docs, F.lit("text"), budget, lines=how == "lines")
+def text(docs: DataFrame, budget: int | None = None, how: str = "blocks", near: float | None = None) -> DataFrame:
+    """near: fragments whose hashed embeddings are that alike count as duplicates too, after the exact ones."""
+    return _staged(docs, F.lit("text"), budget, lines=how == "lines", near=near)
 
 
 def analyze(docs: DataFrame, how: str = "lines") -> DataFrame:
@@ -109,16 +139,30 @@ def passthrough(docs: DataFrame, budget: int | None = None) -> DataFrame:
 LADDER = ((100, 512), (50, 256), (20, 128), (10, 64), (5, 32), (2, 32))
 
 
+def _refused(word: str):
+    raise ValueError(word)
+
+
+def _finite(digits: str) -> float:
+    x = float(digits)
+    return x if math.isfinite(x) else _refused(digits)
+
+
+def _loads(data: str):
+    """JSON and nothing beside it: no NaN or Infinity, and no number too large for a double."""
+    return json.loads(data, parse_constant=_refused, parse_float=_finite)
+
+
 def parse_json(data: str) -> list | None:
-    """The values of a JSON text or of JSON lines; None if it is neither."""
+    """The values of a JSON text or of JSON lines, which end at line feeds alone; None if it is neither."""
     try:
-        return [json.loads(data)]
-    except ValueError:
+        return [_loads(data)]
+    except (ValueError, RecursionError):
         pass
     try:
-        values = [json.loads(x) for x in data.splitlines() if x.strip()]
+        values = [_loads(x) for x in data.split("\n") if x.strip()]
         return values or None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -224,3 +268,43 @@ def compile_sections(sections: DataFrame, budget: int, header_tokens: Column) ->
 
     start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<position:bigint,allowance:bigint,used:bigint>>").alias("out"))
     return grouped.select("group_id", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x")).select("group_id", "x.*")
+
+
+def compile_documents(docs: DataFrame, budget: int) -> DataFrame:
+    """One document for each group_id of docs (group_id, position, doc_id, label, text): sections by position, each under
+    a header that names its label and reference, optimised as text within what the sections before it left. Gives
+    group_id, text, original_tokens, optimized_tokens (of the whole document, headers included), the stages' merged savings
+    and sections (position, label, reference, original_tokens, optimized_tokens). Fragments are made and counted for all
+    documents at once; only the recurrence of allowances is folded, over one request's sections."""
+    named = docs.withColumn("reference", T.to_uri(T.context_id(F.col("text")))).withColumn("header", T.section_header(F.col("label"), F.col("reference")))
+    keyed = named.withColumn("doc_id", F.struct("group_id", "position"))
+    once = _fragments(keyed, F.lit("text"))
+    running = F.sum("cost").over(Window.partitionBy("doc_id").orderBy(F.coalesce("idx", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct(F.col("running").alias("upto"), "content"))))
+    per = once.withColumn("running", running).groupBy("doc_id", "original_tokens").agg(F.sum("filtered").alias("f"), F.sum("cost").alias("d"), pieces.alias("pieces"))
+    heads = keyed.select("doc_id", "label", "reference", "header", count_heuristic(F.concat("header", F.lit("\n"))).alias("head"))
+    rows = per.join(heads, "doc_id").select(F.col("doc_id.group_id").alias("group_id"), F.struct(F.col("doc_id.position").alias("position"), "label", "reference", "header", "head", "original_tokens", "f", "d", "pieces").alias("s"))
+    grouped = rows.groupBy("group_id").agg(F.array_sort(F.collect_list("s"), lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0)).alias("rows"))
+
+    def step(acc, r):
+        room = F.greatest(acc["left"] - r["head"], F.lit(0).cast("long"))
+        used = F.coalesce(F.array_max(F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= room), lambda p: p["upto"])), F.lit(0).cast("long"))
+        return F.struct(F.greatest(acc["left"] - r["head"] - used, F.lit(0).cast("long")).alias("left"), F.concat(acc["used"], F.array(used)).alias("used"))
+
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("used"))
+    told = grouped.withColumn("used", F.aggregate("rows", start, step, lambda a: a["used"]))
+    part = lambda r, u: F.when(u > 0, F.concat(r["header"], F.lit("\n"), F.array_join(F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= u), lambda p: p["content"]), "\n\n"), F.lit("\n")))
+    whole = F.array_join(F.array_compact(F.zip_with("rows", "used", part)), "\n")
+    total = lambda value: F.aggregate(F.zip_with("rows", "used", value), F.lit(0).cast("long"), lambda a, x: a + x)
+    section = lambda r, u: F.struct(r["position"].alias("position"), r["label"].alias("label"), r["reference"].alias("reference"), r["original_tokens"].alias("original_tokens"), u.alias("optimized_tokens"))
+    return told.withColumn("text", whole).select(
+        "group_id",
+        "text",
+        total(lambda r, u: r["original_tokens"]).alias("original_tokens"),
+        count_heuristic(F.col("text")).alias("optimized_tokens"),
+        total(lambda r, u: r["original_tokens"] - r["f"]).alias("filtering"),
+        total(lambda r, u: r["f"] - r["d"]).alias("deduplication"),
+        F.lit(0).cast("long").alias("compression"),
+        total(lambda r, u: r["d"] - u).alias("selection"),
+        F.zip_with("rows", "used", section).alias("sections"),
+    )

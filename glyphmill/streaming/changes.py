@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +32,36 @@ def merged_kind(first: str, then: str) -> str:
 
 def sessions(changes: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int | None = LONGEST_MS) -> DataFrame:
     """(path, first_seen, last_seen, changes, kind): bursts of a path, ended by a quiet time or when longest_ms have
-    passed since the first change. Changes of one path are folded in order; a burst's own rows are its only state."""
-    gap = (F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(Window.partitionBy("path").orderBy("ts", "seq")))) > quiet_ms
-    marked = changes.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
-    numbered = marked.withColumn("_burst", F.sum("_new").over(Window.partitionBy("path").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)))
-    if longest_ms is not None:
-        start = F.min(F.unix_millis("ts")).over(Window.partitionBy("path", "_burst"))
-        numbered = numbered.withColumn("_part", F.floor((F.unix_millis("ts") - start) / (longest_ms + 1)))
-    else:
-        numbered = numbered.withColumn("_part", F.lit(0).cast("long"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "kind")))
-    grouped = numbered.groupBy("path", "_burst", "_part").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("changes"), ordered.alias("_all"))
-    kind = F.aggregate(F.slice("_all", F.lit(2), F.size("_all")), F.get("_all", F.lit(0))["kind"], lambda a, x: merged(a, x["kind"]))
-    return grouped.select("path", "first_seen", "last_seen", "changes", kind.alias("kind"))
+    passed since the first change; the next change then begins a burst, and its own longest_ms. Changes are dealt by path
+    and sorted, and a task folds them as they stream by, so a burst of any size is a few numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # path, first, last, changes, kind
+        done: list[list] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [()] * 5
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "first", "last", "changes", "kind"])
+            done.clear()
+            return batch
+
+        for batch in batches:
+            for path, kind, at in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "at")), strict=True):
+                ms = at // 1000
+                if held and held[0] == path and ms - held[2] // 1000 <= quiet_ms and (longest_ms is None or ms - held[1] // 1000 <= longest_ms):
+                    held[2:] = [at, held[3] + 1, merged_kind(held[4], kind)]
+                else:
+                    if held:
+                        done.append(held)
+                    held = [path, at, at, 1, kind]
+            yield out()
+        if held:
+            done.append(held)
+        yield out()
+
+    rows = changes.select("path", "kind", F.unix_micros("ts").alias("at"), "seq").repartition("path").sortWithinPartitions("path", "at", "seq").select("path", "kind", "at")
+    folded = rows.mapInArrow(run, "path string, first long, last long, changes long, kind string")
+    return folded.select("path", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"), "changes", "kind")
 
 
 def affected_paths(changes: DataFrame) -> DataFrame:
@@ -52,16 +70,21 @@ def affected_paths(changes: DataFrame) -> DataFrame:
 
 
 def pair_renames(events: DataFrame, within_ms: int = RENAME_MS) -> DataFrame:
-    """Departures and arrivals in order of time: an arrival right after a departure within the time is a rename."""
+    """Departures and arrivals in order of time, whatever else happens between them: one departure waits at a time, the
+    next arrival takes it, and is a rename if that is within the time. A departure that no arrival takes in time, or that
+    another one overtakes, is a deletion; other arrivals are creations. Only departures and arrivals meet in windows."""
+    moves = events.where(F.col("kind").isin("departed", "arrived"))
     w = Window.partitionBy("root").orderBy("ts", "seq")
-    prev_kind, prev_path, prev_ts = (F.lag(c).over(w) for c in ("kind", "path", "ts"))
-    next_kind, next_ts = F.lead("kind").over(w), F.lead("ts").over(w)
+    last = F.lag(F.struct("kind", "path", "ts")).over(w)
+    after = F.lead(F.struct("kind", "ts")).over(w)
     near = lambda a, b: (F.unix_millis(b) - F.unix_millis(a)) <= within_ms
-    tagged = events.select("*", prev_kind.alias("pk"), prev_path.alias("pp"), prev_ts.alias("pt"), next_kind.alias("nk"), next_ts.alias("nt"))
-    arrived = (F.col("kind") == "arrived") & (F.col("pk") == "departed") & near(F.col("pt"), F.col("ts"))
-    paired = (F.col("kind") == "departed") & (F.col("nk") == "arrived") & near(F.col("ts"), F.col("nt"))
-    kind = F.when(arrived, "renamed").when(F.col("kind") == "arrived", "created").when(F.col("kind") == "departed", "deleted").otherwise(F.col("kind"))
-    return tagged.where(~F.coalesce(paired, F.lit(False))).select("root", "path", F.coalesce(kind, F.lit("created")).alias("kind"), F.when(arrived, F.col("pp")).alias("from_path"), "ts", "seq")
+    tagged = moves.withColumn("_last", last).withColumn("_next", after)
+    arrived = F.coalesce((F.col("kind") == "arrived") & (F.col("_last.kind") == "departed") & near(F.col("_last.ts"), F.col("ts")), F.lit(False))
+    taken = F.coalesce((F.col("kind") == "departed") & (F.col("_next.kind") == "arrived") & near(F.col("ts"), F.col("_next.ts")), F.lit(False))
+    kind = F.when(arrived, "renamed").when(F.col("kind") == "arrived", "created").otherwise("deleted")
+    paired = tagged.where(~taken).select("root", "path", kind.alias("kind"), F.when(arrived, F.col("_last.path")).alias("from_path"), "ts", "seq")
+    others = events.where(~F.coalesce(F.col("kind").isin("departed", "arrived"), F.lit(False)))
+    return paired.unionByName(others.select("root", "path", F.coalesce("kind", F.lit("created")).alias("kind"), F.lit(None).cast("string").alias("from_path"), "ts", "seq"))
 
 
 def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:

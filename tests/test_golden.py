@@ -276,6 +276,81 @@ def test_rename_pairing(spark):
     assert [(r["kind"], r["path"], r["from_path"]) for r in changes.pair_renames(rows).orderBy("seq").collect()] == [("renamed", "new", "old"), ("deleted", "gone", None), ("created", "late", None)]
 
 
+def test_the_longest_delay_starts_anew_after_a_release(spark):
+    rows = [("a", "modified", 200 * k) for k in range(26)] + [("a", "modified", 5300 + 200 * k) for k in range(25)]
+    assert [r["changes"] for r in changes.sessions(feed(spark, rows)).orderBy("first_seen").collect()] == [26, 25]
+
+
+def test_one_departure_waits_whatever_else_happens(spark):
+    data = [("r", "a", "departed", 0, 0), ("r", "z", "modified", 10, 1), ("r", "b", "arrived", 20, 2), ("r", "c", "departed", 30, 3), ("r", "d", "departed", 40, 4), ("r", "e", "arrived", 50, 5), ("r", "f", "arrived", 60, 6), ("q", "g", "departed", 60, 7)]
+    rows = spark.createDataFrame(data, "root string, path string, kind string, ms long, seq long").withColumn("ts", F.timestamp_millis("ms"))
+    got = [(r["kind"], r["path"], r["from_path"]) for r in changes.pair_renames(rows).orderBy("seq").collect()]
+    assert got == [("modified", "z", None), ("renamed", "b", "a"), ("deleted", "c", None), ("renamed", "e", "d"), ("created", "f", None), ("deleted", "g", None)]
+
+
+def test_a_text_is_measured_once(spark):
+    """Twice the lines take at most about twice the time, not four times."""
+    import time
+
+    def spent(n):
+        docs = spark.createDataFrame([(1, "\n".join(f"line {i} of many words" for i in range(n)))], "doc_id long, text string")
+        at = time.time()
+        assert optimize.text(docs, 300, "lines").collect()[0]["original_tokens"] > n
+        return time.time() - at
+
+    spent(500)
+    assert spent(8000) < 4 * max(1.0, spent(4000))
+
+
+def test_json_refuses_what_is_none():
+    for bad in ("NaN", "[Infinity]", "[-Infinity]", "[1e400]", "{'a': 1}", '{"a": NaN}\n1'):
+        assert optimize.parse_json(bad) is None, bad
+    assert optimize.parse_json('{"a":"x\u2028y"}\n{"b":1}') == [{"a": "x\u2028y"}, {"b": 1}]
+
+
+def test_near_duplicates_of_the_text_pipeline(spark):
+    text = "open the user session store\n\nthe session store of a user, open\n\nbanana bread with walnuts\n\nOpen the user session store!"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    plain = {r["doc_id"]: r for r in optimize.text(docs).collect()}
+    near = {r["doc_id"]: r for r in optimize.text(docs, near=0.9).collect()}
+    assert plain[1]["text"].count("session") == 3
+    assert near[1]["text"] == "open the user session store\n\n(1 more alike)\n\nthe session store of a user, open\n\nbanana bread with walnuts\n"
+    for r in (*plain.values(), *near.values()):
+        assert r["original_tokens"] == sum(r[c] for c in optimize.SAVINGS) + r["optimized_tokens"]
+    assert near[2]["text"] == near[3]["text"] == ""
+
+
+def test_compiled_documents_match_a_model(spark):
+    """Sections within what those before left, the whole measured anew, savings summed; against single optimisations."""
+    rng = random.Random(4)
+    rows = [(g, p, f"s{p}", "\n\n".join(f"part {rng.randrange(6)} of the text {p}" for _ in range(rng.randrange(0, 9)))) for g in range(4) for p in range(5)]
+    docs = spark.createDataFrame(rows, "group_id long, position long, label string, text string")
+    got = {r["group_id"]: r for r in optimize.compile_documents(docs, 150).collect()}
+    count = lambda t: spark.createDataFrame([(t,)], "t string").select(tokens.count_heuristic(F.col("t"))).first()[0]
+    for g in range(4):
+        left, parts, sums = 150, [], dict.fromkeys(("original_tokens", *optimize.SAVINGS), 0)
+        for r in sorted(r for r in rows if r[0] == g):
+            header = f"=== {r[2]} ({[s for s in got[g]['sections'] if s['position'] == r[1]][0]['reference']}) ===\n"
+            one = optimize.text(spark.createDataFrame([(1, r[3])], "doc_id long, text string"), max(0, left - count(header))).first()
+            sums = {c: n + one[c] for c, n in sums.items()}
+            if one["text"].strip():
+                parts.append(header + one["text"])
+            left = max(0, left - count(header) - one["optimized_tokens"])
+        assert got[g]["text"] == "\n".join(parts)
+        assert {c: got[g][c] for c in sums} == sums and got[g]["optimized_tokens"] == count(got[g]["text"])
+
+
+def test_features_are_hashed_alike():
+    data = [b"", b"a", b"authenticate", "é".encode(), b"a" * 40]
+    assert vectors.fnv1a_all(data).tolist() == [vectors.fnv1a(x) for x in data]
+
+
+def test_notes_are_recalled_and_forgotten(spark):
+    notes = spark.createDataFrame([("p", "k", "a"), ("p", "l", "b"), ("q", "k", "c")], "project_id string, key string, value string")
+    assert [r["value"] for r in store.recall(notes, "p", "k").collect()] == ["a"] and store.recall(notes, "p", "x").count() == 0
+    assert sorted(r["value"] for r in store.forget(notes, "p", "k").collect()) == ["b", "c"]
+
+
 def test_expressions_match_a_model_on_documents(spark, small):
     """Token counts and line keys against plain Python over every document."""
 
