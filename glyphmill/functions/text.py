@@ -59,9 +59,21 @@ def starts_any(line: Column, *prefixes: str) -> Column:
     return out
 
 
+# How lines of git begin that only give advice, and one such whole line.
+GIT_NOISE = ('(use "git ', "(commit or discard", "nothing added to commit but untracked files present")
+GIT_NOISE_LINE = 'no changes added to commit (use "git add" and/or "git commit -a")'
+# How lines of test runners begin or end that tell of passed tests alone.
+TEST_NOISE, TEST_PASSED, TEST_OK = ("✓ ", "PASS ", "--- PASS", "=== RUN"), " PASSED", ("test ", " ... ok")
+# Programs that make a command a test or a build, alone or with a second word.
+NODE_TOOLS = ("npm", "pnpm", "yarn", "bun")
+TEST_TOOLS = ("pytest", "jest", "vitest", "gotestsum", "phpunit", "rspec")
+BUILD_TOOLS = ("make", "gradle", "mvn", "tsc", "webpack", "vite", "docker")
+BUILD_WORDS = {"cargo": ("build", "check", "clippy", "run"), "go": ("build", "vet"), "node": ("install", "ci", "run", "build")}
+
+
 def is_git_noise(line: Column) -> Column:
     t = F.trim(line)
-    return starts_any(t, '(use "git ', "(commit or discard", "nothing added to commit but untracked files present") | (t == 'no changes added to commit (use "git add" and/or "git commit -a")')
+    return starts_any(t, *GIT_NOISE) | (t == GIT_NOISE_LINE)
 
 
 # How lines of build tools begin that tell of progress alone.
@@ -74,21 +86,18 @@ def is_build_noise(line: Column) -> Column:
 
 def is_test_noise(line: Column) -> Column:
     t = F.trim(line)
-    return (t.startswith("test ") & t.endswith(" ... ok")) | starts_any(t, "✓ ", "PASS ", "--- PASS", "=== RUN") | t.endswith(" PASSED") | is_build_noise(line)
+    return (t.startswith(TEST_OK[0]) & t.endswith(TEST_OK[1])) | starts_any(t, *TEST_NOISE) | t.endswith(TEST_PASSED) | is_build_noise(line)
 
 
 def command_profile(command: Column) -> Column:
     """git, test, build or tool, by the first two words of a command."""
     ws = F.split(F.trim(command), r"\s+")
     first, second = F.coalesce(F.get(ws, F.lit(0)), F.lit("")), F.coalesce(F.get(ws, F.lit(1)), F.lit(""))
-    node = first.isin("npm", "pnpm", "yarn", "bun")
-    test = first.isin("pytest", "jest", "vitest", "gotestsum", "phpunit", "rspec") | ((first.isin("cargo", "go") | node) & (second == "test"))
-    build = (
-        first.isin("make", "gradle", "mvn", "tsc", "webpack", "vite", "docker")
-        | ((first == "cargo") & second.isin("build", "check", "clippy", "run"))
-        | ((first == "go") & second.isin("build", "vet"))
-        | (node & second.isin("install", "ci", "run", "build"))
-    )
+    node = first.isin(*NODE_TOOLS)
+    test = first.isin(*TEST_TOOLS) | ((first.isin("cargo", "go") | node) & (second == "test"))
+    build = first.isin(*BUILD_TOOLS) | (node & second.isin(*BUILD_WORDS["node"]))
+    for tool in ("cargo", "go"):
+        build = build | ((first == tool) & second.isin(*BUILD_WORDS[tool]))
     return F.when(first == "git", "git").when(test, "test").when(build, "build").otherwise("tool")
 
 
