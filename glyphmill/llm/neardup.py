@@ -142,6 +142,7 @@ def digests(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
                 [pa.array(rows["doc_id"], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "sig"],
             )
+        _HASHES.clear()  # workers go on to other stages
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
@@ -166,6 +167,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings, id_col: st
         for rows in slices(batches):
             sets = [shingles(t, settings.words) for t in rows["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
+        _HASHES.clear()
 
     made = named.mapInArrow(run, "set_key binary, shingles binary").select(node_of("set_key").alias("node"), "shingles")
     nodes = wanted.select("node", F.col("n_shingles").alias("n"))
