@@ -1,11 +1,12 @@
-"""Symbols, imports and calls of source files. Python is parsed; other languages are matched line by line, which is
-approximate and labelled so."""
+"""Symbols, imports and calls of source files. Python is parsed; in other languages comments and strings are blanked,
+heads of definitions matched and their braces followed, which is approximate and labelled so."""
 
 from __future__ import annotations
 
 import ast
 import posixpath
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,9 +42,9 @@ def _python(source: str) -> Iterator[tuple[str, str, str | None, str | None, int
                 own, cls = child.name, isinstance(child, ast.ClassDef)
             elif isinstance(child, ast.Import):
                 for a in child.names:
-                    yield "import", "imports", owner, a.name, child.lineno, child.lineno
+                    yield "import", "imports", None, a.name, child.lineno, child.lineno
             elif isinstance(child, ast.ImportFrom):
-                yield "import", "imports", owner, "." * child.level + (child.module or ""), child.lineno, child.lineno
+                yield "import", "imports", None, "." * child.level + (child.module or ""), child.lineno, child.lineno
             elif isinstance(child, ast.Call):
                 f = child.func
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
@@ -52,36 +53,140 @@ def _python(source: str) -> Iterator[tuple[str, str, str | None, str | None, int
             todo.append((child, own, cls))
 
 
-_PATTERNS: dict[str, list[tuple[str, str, str]]] = {
-    "rust": [("symbol", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("symbol", "struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("symbol", "enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("symbol", "trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("import", "imports", r"^\s*(?:pub\s+)?use\s+([\w:]+)")],
-    "typescript": [("symbol", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("symbol", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("symbol", "interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("symbol", "function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"), ("import", "imports", r"""^\s*(?:import|export)\b[^'"]*['"]([^'"]+)['"]""")],
-    "go": [("symbol", "method", r"^func\s+\([^)]*\)\s+(\w+)"), ("symbol", "function", r"^func\s+(\w+)"), ("symbol", "struct", r"^type\s+(\w+)\s+struct"), ("symbol", "interface", r"^type\s+(\w+)\s+interface"), ("import", "imports", r"""^(?:import\s+|\s+)(?:\w+\s+)?"([^"]+)"$""")],
+# What a reader of symbols must not see: comments and strings. Unclosed ones reach to the end, so a scan is linear.
+_BLOCK, _LINE, _QUOTED = r"/\*(?s:.*?)(?:\*/|\Z)", r"//[^\n]*", r'"(?:\\(?s:.)|[^"\\])*(?:"|\Z)'
+_HIDDEN = {
+    "rust": (_BLOCK, _LINE, r'\br(?P<h>#*)"(?s:.*?)(?:"(?P=h)|\Z)', _QUOTED, r"'(?:\\[^\n']*[^\n]|[^\\\n'])'"),
+    "typescript": (_BLOCK, _LINE, r'"(?:\\(?s:.)|[^"\\\n])*"?', r"'(?:\\(?s:.)|[^'\\\n])*'?", r"`(?:\\(?s:.)|[^`\\])*(?:`|\Z)"),
+    "go": (_BLOCK, _LINE, r"`[^`]*(?:`|\Z)", r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\[^\n']*[^\n]|[^\\\n'])'"),
 }
-_PATTERNS["tsx"] = _PATTERNS["javascript"] = _PATTERNS["typescript"]
-_CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*\(")
-_KEYWORDS = frozenset("if for while switch match return fn func function catch await typeof sizeof loop".split())
-
-
-def _lines(lang: str, source: str) -> Iterator[tuple[str, str, str | None, str | None, int, int]]:
-    patterns = [(w, k, re.compile(p)) for w, k, p in _PATTERNS[lang]]
-    owner = None
-    for n, line in enumerate(source.split("\n"), 1):
-        hit = next(((w, k, m[1]) for w, k, p in patterns if (m := p.search(line))), None)
-        if hit:
-            yield hit[0], hit[1], None if hit[0] == "symbol" else owner, hit[2], n, n
-            if hit[0] == "symbol":
-                owner = hit[2]
+# (kind, pattern of a definition's head): the name is the last group that matched.
+_HEADS = {
+    "rust": (
+        ("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("type", r"\btype\s+(\w+)"), ("constant", r"\b(?:const|static)\s+(?:mut\s+)?(?!fn\b|unsafe\b|async\b|extern\b)(\w+)\s*:"),
+        ("module", r"\bmod\s+(\w+)"), ("function", r"\bmacro_rules!\s*(\w+)"), ("class", r"^[ \t]*(?:unsafe\s+)?impl\b(?:\s*<[^{;]*?>)?\s+(?:[^{;]*?\bfor\s+)?(?:\w+::)*(\w+)"),
+    ),
+    "typescript": (
+        ("function", r"\bfunction\s*\*?\s*([\w$]+)"), ("class", r"\bclass\s+([\w$]+)"), ("interface", r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+([\w$]+)"), ("type", r"^[ \t]*(?:export\s+)?(?:declare\s+)?type\s+([\w$]+)\s*(?:<[^=\n]*>)?\s*="), ("enum", r"\benum\s+([\w$]+)\s*\{"),
+        ("function", r"\b(?:const|let)\s+([\w$]+)\s*(?::[^=\n]*)?=\s*(?:async\s*)?(?:function\b|(?:\([^()\n]*\)|[\w$]+)\s*(?::[^=\n]*)?=>)"),
+        ("method", r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*[*#]?([\w$]+)\s*(?:<[^>\n]*>)?\("),
+    ),
+    "go": (
+        ("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^(?:type[ \t]+|[ \t]+)(\w+)[ \t]+struct\b"), ("interface", r"^(?:type[ \t]+|[ \t]+)(\w+)[ \t]+interface\b"), ("type", r"^type[ \t]+(\w+)[ \t]+(?!struct\b|interface\b)=?"), ("constant", r"^const[ \t]+(\w+)"),
+    ),
+}
+_IMPORTS = {
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]*\w)",
+    "typescript": r"""^[ \t]*(?:import\s*|(?:import|export)\b(?:(?!\n[ \t]*(?:import|export)\b)[^'";=()])*?\bfrom\s*)['"]([^'"\n]+)['"]""",
+    "go": r"""^(?:import[ \t]+|[ \t]+)(?:[\w.]+[ \t]+)?"([^"\n]+)"[ \t]*$""",
+}
+_GO_CONSTANTS = re.compile(r"^const\s*\(([^)]*)\)", re.M)
+for _all in (_HIDDEN, _HEADS, _IMPORTS):
+    _all["tsx"] = _all["javascript"] = _all["typescript"]
+_CALL = re.compile(r"(?<![\w$!])([A-Za-z_$][\w$]*)(?:::<[^>\n]*>)?\(")
+_NEW = re.compile(r"\bnew\s+\Z")
+_KEYWORDS = frozenset("if for while switch match return fn func function catch await typeof sizeof loop in of do else constructor super struct interface import".split())
+#: Kinds of definitions that own the calls inside them.
+_OWNERS = ("function", "method")
+
+
+def _hide(lang: str, source: str) -> tuple[str, str]:
+    """(source without comments, source without comments and strings), every place and line kept."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    hidden = re.compile("|".join(_HIDDEN[lang]))
+    return hidden.sub(lambda m: blank(m) if m[0].startswith(("//", "/*")) else m[0], source), hidden.sub(blank, source)
+
+
+def _braces(bare: str) -> dict[int, int]:
+    """The closing brace of every opening one; unclosed ones reach to the end."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out | dict.fromkeys(open_, max(0, len(bare) - 1))
+
+
+def _ends(bare: str, closing: dict[int, int], starts: list[int]) -> list[tuple[int, int]]:
+    """(start of body, last place) of the definitions whose heads end at starts, in order: the body is the first brace
+    outside parentheses; a semicolon or the end of an outer block before it ends one that has none. One pass over the
+    places that matter, as a head waits only until its body begins."""
+    out: list[tuple[int, int]] = [(-1, -1)] * len(starts)
+    marks = sorted([(m.start(), m[0]) for m in re.finditer(r"[{}();\[\]]", bare)] + [(at, k) for k, at in enumerate(starts)], key=lambda x: (x[0], isinstance(x[1], str)))
+    waiting: list[tuple[int, int]] = []  # definition, depth of parentheses at its head
+    depth = 0
+    for at, mark in marks:
+        if isinstance(mark, int):
+            waiting.append((mark, depth))
+        elif mark in "([":
+            depth += 1
+        elif mark in ")]":
+            depth -= 1
         else:
-            for m in _CALL.finditer(line):
-                if m[1] not in _KEYWORDS:
-                    yield "call", "calls", owner, m[1], n, n
+            while waiting and waiting[-1][1] >= depth:
+                k, _ = waiting.pop()
+                out[k] = (at, closing[at]) if mark == "{" else (at, at if mark == ";" else max(starts[k], at - 1))
+            depth = depth if mark == ";" else 0 if mark == "{" and not waiting else depth
+    for k, _ in waiting:
+        out[k] = (starts[k], starts[k])
+    return out
+
+
+def _braced(lang: str, source: str) -> Iterator[tuple[str, str, str | None, str | None, int, int]]:
+    code, bare = _hide(lang, source)
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    line = lambda at: bisect_left(breaks, at) + 1
+    closing = _braces(bare)
+    heads = sorted((m.start(1), m.end(1), kind, m[1]) for kind, p in _HEADS[lang] for m in re.finditer(p, bare, re.M) if m[1] not in _KEYWORDS or kind == "method" and m[1] == "constructor")
+    spans = _ends(bare, closing, [h[1] for h in heads])
+    found = [(at, kind, name, body, end) for (at, _, kind, name), (body, end) in zip(heads, spans, strict=True)]
+    if lang in ("typescript", "tsx", "javascript"):  # methods stand right inside a class's braces and have a body
+        classes = {body for _, kind, _, body, _ in found if kind == "class"}
+        around, open_ = {}, []
+        for at, what in sorted([(m.start(), m[0]) for m in re.finditer(r"[{}]", bare)] + [(f[0], "name") for f in found if f[1] == "method"]):
+            if what == "{":
+                open_.append(at)
+            elif what == "}":
+                open_ = open_[:-1] if open_ else open_
+            else:
+                around[at] = open_[-1] if open_ else None
+        found = [f for f in found if f[1] != "method" or (around[f[0]] in classes and f[3] in closing)]
+    one_line = {"go": ("type", "constant")}.get(lang, ())
+    own = [(at, kind, name, body, at if kind in one_line else end) for at, kind, name, body, end in found]
+    for m in _GO_CONSTANTS.finditer(bare) if lang == "go" else ():
+        own += [(m.start(1) + n.start(1), "constant", n[1], -1, m.start(1) + n.start(1)) for n in re.finditer(r"^[ \t]*(\w+)", m[1], re.M)]
+    for at, kind, name, _, end in sorted(own):
+        yield "symbol", kind, None, name, line(at), max(line(at), line(end))
+    blocks = [m.span() for m in re.finditer(r"^import\s*\([^)]*\)", bare, re.M)]
+    for m in re.finditer(_IMPORTS[lang], code, re.M):
+        at = m.start() + len(m[0]) - len(m[0].lstrip())
+        if lang != "go" or code.startswith("import", at) or any(a < at < b for a, b in blocks):
+            yield "import", "imports", None, m[1], line(at), line(at)
+    names = {f[0] for f in found}
+    calls = [(m.start(1), m[1]) for m in _CALL.finditer(bare) if m[1] not in _KEYWORDS and m.start(1) not in names and not (lang in ("typescript", "tsx", "javascript") and _NEW.search(bare, max(0, m.start(1) - 12), m.start(1)))]
+    owners = sorted((body, end, name) for _, kind, name, body, end in found if kind in _OWNERS and body in closing)
+    # what interfaces declare are heads, not calls
+    silent = sorted((body, end) for _, kind, _, body, end in found if kind == "interface" and body in closing)
+    inside: list[tuple[int, str]] = []
+    k = 0
+    for at, name in calls:
+        s = bisect_left(silent, (at, 0)) - 1
+        if s >= 0 and at < silent[s][1]:
+            continue
+        while k < len(owners) and owners[k][0] < at:
+            inside.append((owners[k][1], owners[k][2]))
+            k += 1
+        while inside and inside[-1][0] < at:
+            inside.pop()
+        yield "call", "calls", inside[-1][1] if inside else None, name, line(at), line(at)
 
 
 def extract(lang: str | None, source: str) -> list[tuple[str, str, str | None, str | None, int, int]]:
     """(what, kind, from_symbol, name, start_line, end_line) of a source's symbols, imports and calls, each once."""
     if lang is None:
         return []
-    found = _python(source) if lang == "python" else _lines(lang, source)
+    found = _python(source) if lang == "python" else _braced(lang, source)
     return list(dict.fromkeys(found))
 
 

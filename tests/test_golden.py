@@ -3,6 +3,7 @@
 import ast
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -185,6 +186,85 @@ def test_code_extraction():
     assert ast.parse(PYTHON)
 
 
+RUST = """use crate::store::{A, B};
+// fn hidden() {}
+pub struct Point(u8, u8);
+pub trait Shape {
+    fn area(&self) -> f64;
+    fn name(&self) -> String { label("{") }
+}
+impl<T: Ord> Shape for Point {
+    fn area(&self) -> f64 {
+        let q = |x| { helper(x) };
+        self.scale(q('}'))
+    }
+}
+mod tests {
+    fn outer() {
+        fn inner() { deep(); }
+        shallow::call();
+    }
+}
+pub fn last(x: [u8; 4]) -> u8 { pick(x) }
+"""
+TYPESCRIPT = """import {
+  a,
+} from "./x.js";
+export class Store extends Base {
+  constructor(x) { super(x); setup(); }
+  async get(id: string): Promise<string> {
+    if (id) { return this.load(id); }
+    return `}${id}`;
+  }
+}
+export const arrow = (x: number) => {
+  return twice(new Thing(x));
+};
+interface Shape { area(): number }
+"""
+GO = """package main
+import (
+\t"fmt"
+\tx "a/b"
+)
+type Reader interface {
+\tRead(p []byte) int
+}
+const (
+\tTwo = 2
+)
+func (s *Store) Get(id string) string {
+\treturn fmt.Sprint(load(id), "}")
+}
+"""
+
+
+def test_braces_give_ends_and_owners():
+    def told(lang, source):
+        got = code.extract(lang, source)
+        return [(k, n, a, b) for w, k, _, n, a, b in got if w == "symbol"], [(f, n) for w, _, f, n, *_ in got if w == "call"], [n for w, _, _, n, *_ in got if w == "import"]
+
+    symbols, calls, imports = told("rust", RUST)
+    assert symbols == [
+        ("struct", "Point", 3, 3), ("trait", "Shape", 4, 7), ("function", "area", 5, 5), ("function", "name", 6, 6), ("class", "Point", 8, 13),
+        ("function", "area", 9, 12), ("module", "tests", 14, 19), ("function", "outer", 15, 18), ("function", "inner", 16, 16), ("function", "last", 20, 20),
+    ]
+    assert calls == [("name", "label"), ("area", "helper"), ("area", "scale"), ("area", "q"), ("inner", "deep"), ("outer", "call"), ("last", "pick")] and imports == ["crate::store"]
+    symbols, calls, imports = told("typescript", TYPESCRIPT)
+    assert symbols == [("class", "Store", 4, 10), ("method", "constructor", 5, 5), ("method", "get", 6, 9), ("function", "arrow", 11, 13), ("interface", "Shape", 14, 14)]
+    assert calls == [("constructor", "setup"), ("get", "load"), ("arrow", "twice")] and imports == ["./x.js"]
+    symbols, calls, imports = told("go", GO)
+    assert symbols == [("interface", "Reader", 6, 8), ("constant", "Two", 10, 10), ("method", "Get", 12, 14)]
+    assert calls == [("Get", "Sprint"), ("Get", "load")] and imports == ["fmt", "a/b"]
+
+
+@pytest.mark.parametrize(("lang", "piece"), [("rust", "fn a(\n"), ("rust", "{"), ("typescript", "import\n"), ("go", '"'), ("rust", 'r#"'), ("typescript", "x = new "), ("rust", "fn f() { g() }\n")])
+def test_odd_sources_are_read_in_linear_time(lang, piece):
+    began = time.time()
+    code.extract(lang, piece * (200_000 // len(piece)))
+    assert time.time() - began < 10
+
+
 def test_import_candidates():
     assert "src/a.ts" in code.candidates("typescript", "src/main.ts", "./a.js") and code.candidates("typescript", "src/main.ts", "react") == []
     assert code.candidates("python", "pkg/mod.py", ".db")[0] == "pkg/db.py" and "pkg/db/__init__.py" in code.candidates("python", "pkg/mod.py", ".db")
@@ -290,7 +370,6 @@ def test_one_departure_waits_whatever_else_happens(spark):
 
 def test_a_text_is_measured_once(spark):
     """Twice the lines take at most about twice the time, not four times."""
-    import time
 
     def spent(n):
         docs = spark.createDataFrame([(1, "\n".join(f"line {i} of many words" for i in range(n)))], "doc_id long, text string")
