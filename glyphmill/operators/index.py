@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+from .vectors import embedder
+
 DECISIONS = ("unchanged", "touched", "parsed", "removed")
 
 
@@ -49,6 +52,16 @@ def stale(embedded: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(embedded.select("root", "path", "content_hash"), ["root", "path", "content_hash"], "left_anti")
 
 
+def embed_files(files: DataFrame, embedded: DataFrame, provider: str, dims: int) -> tuple[DataFrame, DataFrame]:
+    """files: root, path, content_hash, content. (vectors after the pass, its (embedded, skipped)). Only content that has
+    no vector of this provider and size is embedded; vectors of other files stay."""
+    known = embedded.where((F.col("provider") == provider) & (F.col("dimensions") == dims))
+    todo = stale(known, files)
+    new = todo.select("root", "path", F.lit(provider).alias("provider"), F.lit(dims).alias("dimensions"), embedder(dims)("content").alias("vector"), "content_hash")
+    work = todo.agg(F.count("*").alias("embedded")).join(files.agg(F.count("*").alias("all")), F.lit(True)).select("embedded", (F.col("all") - F.col("embedded")).alias("skipped"))
+    return store.put_embeddings(embedded.select(*new.columns), new), work
+
+
 def deduplicate_symbols(symbols: DataFrame) -> DataFrame:
     """One symbol for each file, line and name: that of the most specific kind."""
     order = F.when(F.col("kind") == "method", 0).when(F.col("kind").isin("class", "struct", "enum", "interface", "trait"), 1).when(F.col("kind") == "function", 2).when(F.col("kind") == "constant", 3).otherwise(4)

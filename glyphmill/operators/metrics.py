@@ -1,10 +1,14 @@
 """Operation metrics: hourly and daily rollups, summaries, gap-free series and retention.
 
-Events have ts, operation, project, input_tokens, output_tokens, duration_ms, failed, hits, lookups.
+Events have ts, operation, project, input_tokens, output_tokens, duration_ms, failed, hits, lookups, and may have
+estimated: whether their tokens are estimates, which rollups then count and summaries tell.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,39 @@ from ..functions import scores
 
 SUMS = ("operations", "failures", "input_tokens", "output_tokens", "saved_tokens", "duration_ms", "hits", "lookups")
 BUCKETS = {"hourly": "HOUR", "daily": "DAY"}
+SPANS = {"hourly": timedelta(hours=1), "daily": timedelta(days=1)}
+
+
+@dataclass(frozen=True)
+class Span:
+    """start <= time < end in UTC; None is without a bound. One that runs backwards is refused."""
+
+    start: datetime | None = None
+    end: datetime | None = None
+
+    def __post_init__(self) -> None:
+        if self.start and self.end and self.start > self.end:
+            raise ValueError(f"a span from {self.start.isoformat()} to {self.end.isoformat()} runs backwards")
+
+    @staticmethod
+    def last_days(days: int, now: datetime | None = None) -> Span:
+        now = now or datetime.now(UTC)
+        return Span(now - timedelta(days=days), now)
+
+    @staticmethod
+    def all_time() -> Span:
+        return Span()
+
+    def aligned(self, granularity: str) -> Span:
+        """Begins with a whole bucket; the end stays, as the last bucket may still grow."""
+        if self.start is None:
+            return self
+        since = self.start - datetime(1970, 1, 1, tzinfo=self.start.tzinfo)
+        return Span(self.start - since % SPANS[granularity], self.end)
+
+    def of(self, rows: DataFrame, column: str, **equal) -> DataFrame:
+        """The rows within; the filters reach the scan."""
+        return in_window(rows, column, self.start and F.lit(self.start), self.end and F.lit(self.end), **equal)
 
 
 def rollup(events: DataFrame, granularity: str) -> DataFrame:
@@ -28,6 +65,7 @@ def rollup(events: DataFrame, granularity: str) -> DataFrame:
             F.max("duration_ms").alias("max_duration_ms"),
             F.sum(F.least("hits", "lookups")).alias("hits"),
             F.sum("lookups").alias("lookups"),
+            *([F.count_if("estimated").alias("estimated")] if "estimated" in events.columns else []),
         )
         .select(F.lit(granularity).alias("granularity"), "*")
     )
@@ -35,7 +73,8 @@ def rollup(events: DataFrame, granularity: str) -> DataFrame:
 
 def merge(rollups: DataFrame, *keys: str) -> DataFrame:
     """Totals of rollups: sums of sums, the maximum of maxima."""
-    return rollups.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], F.max("max_duration_ms").alias("max_duration_ms"))
+    extra = [F.sum("estimated").alias("estimated")] if "estimated" in rollups.columns else []
+    return rollups.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], F.max("max_duration_ms").alias("max_duration_ms"), *extra)
 
 
 def both(events: DataFrame) -> DataFrame:
@@ -46,8 +85,8 @@ def both(events: DataFrame) -> DataFrame:
 
 
 def summary(totals: DataFrame, rate_per_million: float | None = None) -> DataFrame:
-    """Ratios from sums: none where there is nothing to divide by."""
-    t = totals
+    """Ratios from sums: none where there is nothing to divide by. estimated becomes whether any token count was one."""
+    t = totals.withColumn("estimated", F.col("estimated") > 0) if "estimated" in totals.columns else totals
     return t.select(
         "*",
         F.round(scores.reduction_ratio(F.col("input_tokens"), F.col("output_tokens")), 6).alias("reduction"),
@@ -67,7 +106,7 @@ def timeseries(rollups: DataFrame, start: Column, end: Column, step: str) -> Dat
     spark = rollups.sparkSession
     every = spark.range(1).select(F.explode(F.sequence(start, end, F.expr(f"INTERVAL 1 {step}"))).alias("bucket"))
     totals = merge(rollups, "bucket")
-    zeros = {c: F.coalesce(c, F.lit(0)).cast("long") for c in (*SUMS, "max_duration_ms")}
+    zeros = {c: F.coalesce(c, F.lit(0)).cast("long") for c in (*SUMS, "max_duration_ms", "estimated") if c in totals.columns}
     return F.broadcast(every).join(totals, "bucket", "left").withColumns(zeros)
 
 
@@ -92,6 +131,11 @@ def prune(rows: DataFrame, column: str, cutoff: Column) -> DataFrame:
     return rows.where(F.col(column) >= cutoff)
 
 
+def pruned(rows: DataFrame, column: str, cutoff: Column) -> DataFrame:
+    """How many rows prune takes away."""
+    return rows.agg(F.count_if(F.col(column) < cutoff).alias("removed"))
+
+
 def in_window(rows: DataFrame, column: str, start: Column | None = None, end: Column | None = None, **equal) -> DataFrame:
     """start <= column < end, and equality for every filter that is not None; all of them reach the scan."""
     if start is not None:

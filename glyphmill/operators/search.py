@@ -99,6 +99,24 @@ def expand(found: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     return seen
 
 
+def retrieve(texts: DataFrame, symbols: DataFrame, edges: DataFrame, ages: DataFrame, query: str, depth: int = 1, hits: int = 50, limit: int = 20) -> DataFrame:
+    """(path, score, hops, related_to): what a query finds by text and by symbol, and what hangs together with it. texts:
+    path, text; symbols: path, name; edges: src, dst of paths; ages: path, age_days of all files that may be found. At most
+    hits files come by text and hits by symbol, those of the best match; so what graph and ranking then meet is bounded by
+    hits and their neighbours."""
+    terms = Query.parse(query).terms
+    found = bm25(texts, list(terms), "path", "text").select(F.col("doc_id").alias("path"), F.round("relevance", 6).alias("relevance")).orderBy(F.desc("relevance"), "path").limit(hits)
+    scored = symbols.select("path", scores.symbol_score(F.col("name"), list(terms)).alias("symbol")).where("symbol > 0")
+    named = scored.groupBy("path").agg(F.max("symbol").alias("symbol")).orderBy(F.desc("symbol"), "path").limit(hits)
+    direct = cut(found.join(named, "path", "full_outer"))
+    near = expand(direct.select(F.col("path").alias("node")), edges, depth)
+    dependents = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("dependents"))
+    all_ = near.withColumnRenamed("node", "path").join(ages, "path").join(direct, "path", "left").join(dependents, "path", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    candidates = cut(all_.select("path", zero("relevance").cast("double").alias("relevance"), zero("symbol").cast("double").alias("symbol"), zero("dependents").alias("dependents"), F.col("age_days").cast("double").alias("age_days"), "hops", F.when(F.col("hops") > 0, F.col("source")).alias("related_to")))
+    return rank(candidates, limit=limit).join(candidates.select("path", "hops", "related_to"), "path").orderBy(F.desc("score"), "path")
+
+
 def rank(candidates: DataFrame, weights: dict[str, float] = scores.WEIGHTS, half_life_days: float = 30.0, limit: int = 20) -> DataFrame:
     """candidates: path, relevance, symbol, dependents, age_days, hops. Signals are normalised by the maxima over all
     candidates, weighed, and decayed by hops; what scores 0 is dropped."""

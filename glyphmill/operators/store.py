@@ -35,6 +35,52 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], keep_first: tup
     return latest(both, keys, F.col("_n"), keep_first).drop("_n")
 
 
+def point(rows: DataFrame, **key) -> DataFrame:
+    """The row of that key, or none; the filters reach the scan."""
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
+def paths(files: DataFrame, root: str) -> DataFrame:
+    return point(files, root=root).select("path").orderBy("path")
+
+
+def fingerprints(files: DataFrame, root: str) -> DataFrame:
+    """What a scan compares: size, time and content by path."""
+    return point(files, root=root).select("path", "size", "mtime_ms", "content_hash")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """All rows or none: files appear when the whole job commits."""
+    rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "1").parquet(path)
+
+
+def put_embeddings(embeddings: DataFrame, new: DataFrame) -> DataFrame:
+    """One vector a file; another provider's or size takes the place of what was there."""
+    return upsert(embeddings, new, ["root", "path"])
+
+
+def embeddings_of(embeddings: DataFrame, root: str, provider: str, dimensions: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Vectors that can be compared: a root's, by one provider and of one size; of wanted paths alone if there are any given."""
+    rows = point(embeddings, root=root, provider=provider, dimensions=dimensions)
+    return rows if wanted is None else rows.join(wanted.select("path").distinct(), "path", "left_semi").select(*embeddings.columns)
+
+
+def set_project_status(projects: DataFrame, project: str, status: str) -> DataFrame:
+    return projects.withColumn("status", F.when(F.col("id") == project, F.lit(status)).otherwise(F.col("status")))
+
+
+def remove_project(projects: DataFrame, settings: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """A project goes with its settings."""
+    return projects.where(F.col("id") != project), settings.where(F.col("project_id") != project)
+
+
+def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
+    """A null value takes a setting back."""
+    return upsert(settings, new, ["project_id", "key"]).where(F.col("value").isNotNull())
+
+
 def delete(existing: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return existing.join(keys.select(*on).distinct(), on, "left_anti")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -482,6 +483,20 @@ def a7_summary(spark, d):
     return metrics.summary(metrics.merge(metrics.rollup(metric_events(spark, d), "hourly"), "project"), 3.0)
 
 
+@query(f"SELECT operation, operations, saved_tokens, estimated FROM ({_sums('operation', '1')}) JOIN (SELECT operation, bool_or(event_id % 1000 = 7) AS estimated FROM ({_EVENTS}) GROUP BY operation) USING (operation)")
+def a7_estimated(spark, d):
+    """Summaries tell whether any token count in them was an estimate."""
+    events = metric_events(spark, d).withColumn("estimated", F.col("event_id") % 1000 == 7)
+    return metrics.summary(metrics.merge(metrics.both(events).where("granularity = 'daily'"), "operation")).select("operation", "operations", "saved_tokens", "estimated")
+
+
+@query(f"SELECT event_id, operation FROM ({_EVENTS}) WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 15:30:00'")
+def x22_aligned_window(spark, d):
+    """A window of events from within a day, widened to that whole day."""
+    at = lambda *x: datetime(2024, 1, *x, tzinfo=UTC)
+    return metrics.Span(at(10, 17, 5), at(12, 15, 30)).aligned("daily").of(metric_events(spark, d), "ts").select("event_id", "operation")
+
+
 @query(
     f"SELECT strftime(b.bucket, '%Y-%m-%d %H:%M:%S') AS bucket, coalesce(operations, 0) AS operations, coalesce(input_tokens, 0) AS input_tokens FROM (SELECT unnest(range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-01-11', INTERVAL 1 HOUR)) AS bucket) b "
     f"LEFT JOIN (SELECT date_trunc('hour', ts) AS bucket, count(*) AS operations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM ({_EVENTS}) WHERE project = 'p3' GROUP BY 1) USING (bucket)"
@@ -594,6 +609,22 @@ def p11_hybrid_rank(spark, d):
     return search.rank(candidates)
 
 
+@query(
+    f"WITH r AS ({_bm25(['license', 'src12'])}), t AS (SELECT doc_id, relevance FROM r ORDER BY relevance DESC, doc_id::VARCHAR LIMIT 50), sy AS (SELECT doc_id, CASE WHEN source = 'src12' THEN 1.0 WHEN starts_with(source, 'src12') THEN 0.7 ELSE 0.4 END AS symbol FROM documents WHERE contains(source, 'src12') ORDER BY symbol DESC, doc_id::VARCHAR LIMIT 50), "
+    f"hit AS (SELECT doc_id, coalesce(relevance, 0.0) AS relevance, coalesce(symbol, 0.0) AS symbol FROM t FULL JOIN sy USING (doc_id)), e AS ({_EDGES}), "
+    "near AS (SELECT dst AS doc_id, src AS a FROM e JOIN hit ON src = hit.doc_id UNION SELECT src, dst FROM e JOIN hit ON dst = hit.doc_id), dg AS (SELECT dst AS doc_id, count(*) AS dependents FROM (SELECT DISTINCT src, dst FROM e) GROUP BY dst), "
+    "found AS (SELECT doc_id, relevance, symbol, 0 AS hops, CAST(NULL AS VARCHAR) AS related_to FROM hit UNION ALL SELECT doc_id, 0.0, 0.0, 1, min(a::VARCHAR) FROM near WHERE doc_id NOT IN (SELECT doc_id FROM hit) GROUP BY doc_id), "
+    "c AS (SELECT found.doc_id, relevance, symbol, hops, related_to, coalesce(dependents, 0) AS dependents, found.doc_id % 90 AS age FROM found JOIN documents USING (doc_id) LEFT JOIN dg USING (doc_id)), m AS (SELECT max(relevance) AS best, max(dependents) AS most FROM c), "
+    "s AS (SELECT doc_id::VARCHAR AS path, round(pow(0.4, hops) * (1.0 * CASE WHEN best > 0 THEN relevance / best ELSE 0 END + 1.5 * symbol + 0.5 * CASE WHEN most > 0 THEN ln(1 + dependents) / ln(1 + most) ELSE 0 END + 0.3 * pow(0.5, age / 30.0)), 6) AS score, CAST(hops AS INT) AS hops, related_to FROM c, m) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 20"
+)
+def p11_retrieve(spark, d):
+    """Text and symbol hits, what hangs together with them over the graph, ranked."""
+    rows = docs(spark, d).withColumn("path", F.col("doc_id").cast("string"))
+    links = edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    ages = rows.select("path", (F.col("doc_id") % 90).alias("age_days"))
+    return search.retrieve(rows.select("path", "text"), rows.select("path", F.col("source").alias("name")), links, ages, "license src12")
+
+
 @query(
     f"WITH r AS ({_bm25(['license', 'version'])}), p AS (SELECT doc_id, row_number() OVER (ORDER BY relevance DESC, doc_id) AS position FROM r), t AS (SELECT doc_id, position, {tok('text')} AS tokens FROM p JOIN documents USING (doc_id)), "
     "b AS (SELECT *, CAST(coalesce(sum(tokens) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM t) SELECT doc_id, position, least(tokens, 2000 - before) AS allowed FROM b WHERE before < 2000"
@@ -768,6 +799,14 @@ def p15_stale_embeddings(spark, d):
     return index.stale(stored, scanned).select("root", "path")
 
 
+@query()
+def p15_embed_files(spark, d):
+    """Vectors of all benchmark items after a pass that finds every third one's already there."""
+    files = table(spark, d, "benchmark").select(F.lit("r").alias("root"), F.col("item_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
+    before, _ = index.embed_files(files.where("item_id % 3 = 0"), spark.createDataFrame([], "root string, path string, provider string, dimensions int, vector array<float>, content_hash string"), "hashed", 64)
+    return index.embed_files(files, before, "hashed", 64)[0]
+
+
 @query("SELECT lang AS root, CAST(doc_id AS VARCHAR) AS path, 't' || doc_id AS target, CASE WHEN EXISTS (SELECT 1 FROM documents b WHERE b.lang = a.lang AND b.doc_id = a.doc_id + 1) THEN CAST(doc_id + 1 AS VARCHAR) WHEN EXISTS (SELECT 1 FROM documents b WHERE b.lang = a.lang AND b.doc_id = a.doc_id + 2) THEN CAST(doc_id + 2 AS VARCHAR) END AS target_path FROM documents a")
 def jn6_resolve_imports(spark, d):
     files = docs(spark, d).select(F.col("lang").alias("root"), F.col("doc_id").cast("string").alias("path"), "doc_id")
@@ -828,6 +867,22 @@ def jn12_pair_renames(spark, d):
     return G.pair_renames(moves, 3_600_000).drop("ts")
 
 
+@query(
+    "WITH e AS (SELECT event_id, ts, CASE event_id % 6 WHEN 0 THEN 'created' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed' WHEN 3 THEN 'metadata' WHEN 4 THEN 'renamed_both' ELSE 'renamed_to' END AS event, "
+    "event_id % 5 = 0 AS hidden FROM events) SELECT event_id AS seq, CASE WHEN event = 'renamed_both' THEN 'b' ELSE 'a' END || event_id AS path, "
+    "CASE WHEN event IN ('created', 'modified') THEN event WHEN event = 'removed' THEN 'deleted' WHEN event = 'renamed_to' THEN 'arrived' WHEN hidden THEN 'modified' ELSE 'renamed' END AS kind, "
+    "CASE WHEN event = 'renamed_both' AND NOT hidden THEN 'a' || event_id END AS from_path FROM e WHERE event <> 'metadata' AND NOT (hidden AND event <> 'renamed_both')"
+)
+def st4_translated(spark, d):
+    """A watcher's events as changes; what lies in build/ is ignored, so half of some renames is."""
+    e, hidden = F.col("event_id"), F.col("event_id") % 5 == 0
+    event = F.get(F.array(*map(F.lit, ("created", "modified", "removed", "metadata", "renamed_both", "renamed_to"))), e % 6)
+    first = F.concat(F.when(hidden, "build/a").otherwise("a"), e.cast("string"))
+    paths = F.when(e % 6 == 4, F.array(first, F.concat(F.lit("b"), e.cast("string")))).otherwise(F.array(first))
+    raw = table(spark, d, "events").select(F.lit("r").alias("root"), event.alias("event"), paths.alias("paths"), F.col("ts").cast("timestamp").alias("ts"), e.alias("seq"))
+    return G.translated(raw, S.ignore_rules(S.DEFAULT_IGNORES)).select("seq", "path", "kind", "from_path")
+
+
 @query(f"SELECT {_at('hour')} AS bucket, operation, count(*) AS operations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM ({_EVENTS}) GROUP BY 1, 2")
 def st5_streaming_hourly(spark, d):
     """The hourly sums by Structured Streaming over all files that are there, kept in a memory table."""
@@ -904,9 +959,9 @@ def s13_rename(spark, d):
 
 @query("SELECT vec_id, len(embedding) AS dimensions FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
 def s16_embeddings_for(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("root"), F.size("embedding").cast("long").alias("dimensions"))
-    wanted = rows.where("vec_id % 2 = 0").select("vec_id")
-    return rows.where("root = '3'").join(wanted, "vec_id", "left_semi").select("vec_id", "dimensions")
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("root"), F.col("vec_id").cast("string").alias("path"), F.lit("hashed").alias("provider"), F.size("embedding").alias("dimensions"))
+    size = rows.select("dimensions").first()["dimensions"]
+    return store.embeddings_of(rows, "3", "hashed", size, rows.where("vec_id % 2 = 0")).select("vec_id", F.col("dimensions").cast("long").alias("dimensions"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'paused' ELSE 'active' END AS status FROM customer ORDER BY c_nationkey, c_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import IO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ DEFAULT_IGNORES = (
 # Marker files of languages and package managers.
 MARKERS = {"Cargo.toml": "rust", "pyproject.toml": "python", "requirements.txt": "python", "setup.py": "python", "package.json": "javascript", "tsconfig.json": "typescript", "go.mod": "go"}
 
+# Frameworks by package, and (ecosystem, markers, manager by lock file, usual manager).
+FRAMEWORKS = {"next": "next.js", "nuxt": "nuxt", "react": "react", "vue": "vue", "svelte": "svelte", "@angular/core": "angular", "express": "express", "fastify": "fastify", "@nestjs/core": "nestjs", "astro": "astro"}
+MANAGERS = (
+    ("rust", ("Cargo.toml",), {}, "cargo"),
+    ("go", ("go.mod",), {}, "go"),
+    ("python", ("pyproject.toml", "requirements.txt", "setup.py"), {"poetry.lock": "poetry", "uv.lock": "uv", "Pipfile.lock": "pipenv"}, "pip"),
+    ("node", ("package.json",), {"pnpm-lock.yaml": "pnpm", "yarn.lock": "yarn", "bun.lockb": "bun", "package-lock.json": "npm"}, "npm"),
+)
+
 
 def glob_regex(pattern: str) -> str:
     """A glob as a regular expression: * stays in a path part, ** crosses parts, ? is one character but a slash."""
@@ -92,6 +102,46 @@ def from_text(rows: DataFrame, text_col: str = "text", path_col: str | None = No
     return rows.withColumn("content", content).withColumns({"id": T.context_id(F.col("content")), "content_type": detect(F.col("content"), F.col(path_col) if path_col else None), "byte_len": F.octet_length("content").cast("long")})
 
 
+def from_reader(spark: SparkSession, reader: IO[bytes], max_bytes: int = MAX_READ) -> DataFrame:
+    """One context of what a stream such as sys.stdin.buffer gives: no row for binary data or invalid UTF-8; more than
+    max_bytes is an error, as cut text would be another text."""
+    data = reader.read(max_bytes + 1)
+    if len(data) > max_bytes:
+        raise ValueError(f"more than {max_bytes} bytes to read")
+    return from_text(from_bytes(spark.createDataFrame([(bytearray(data),)], "data binary")), "content")
+
+
+def _objects_keys(text: Column, *paths: str) -> Column:
+    """Names within the JSON objects at paths; none where text is no JSON or holds something else there."""
+    return F.concat(*[F.coalesce(F.json_object_keys(F.get_json_object(text, p)), F.array().cast("array<string>")) for p in paths])
+
+
+def describe_projects(files: DataFrame) -> DataFrame:
+    """files: root, path, content (needed of package.json only). (root, languages, frameworks, package_manager, git) of
+    roots with a marker file or a .git folder. One manager counts, in the order of MANAGERS; a lock file tells which of a
+    language's it is, and a manifest that names its own is right."""
+    at_root = files.where(~F.col("path").contains("/") | F.col("path").startswith(".git/"))
+    seen = at_root.groupBy("root").agg(
+        F.collect_set(F.when(F.col("path").isin(*MARKERS, *[x for _, _, locks, _ in MANAGERS for x in locks]), F.col("path"))).alias("marks"),
+        F.bool_or((F.col("path") == ".git") | F.col("path").startswith(".git/")).alias("git"),
+        F.max(F.when(F.col("path") == "package.json", F.col("content"))).alias("manifest"),
+    )
+    has = lambda *names: F.arrays_overlap("marks", F.array(*map(F.lit, names)))
+    needs = _objects_keys(F.col("manifest"), "$.dependencies", "$.devDependencies")
+    languages = [F.when(F.array_contains("marks", m), F.lit(lang)) for m, lang in MARKERS.items()] + [F.when(F.array_contains("needs", "typescript"), F.lit("typescript"))]
+    tools = []
+    for _, markers, locks, usual in MANAGERS:
+        tool = F.lit(usual)
+        for lock, name in reversed(locks.items()):
+            tool = F.when(F.array_contains("marks", lock), name).otherwise(tool)
+        tools.append(F.when(has(*markers), tool))
+    declared = F.nullif(F.substring_index(F.get_json_object("manifest", "$.packageManager"), "@", 1), F.lit(""))
+    known = [F.when(F.array_contains("needs", package), F.lit(name)) for package, name in FRAMEWORKS.items()]
+    named = lambda found: F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    told = seen.withColumn("needs", needs).select("root", named(languages).alias("languages"), named(known).alias("frameworks"), F.coalesce(declared, *tools).alias("package_manager"), "git")
+    return told.where((F.size("languages") > 0) | F.col("git"))
+
+
 def detect_projects(files: DataFrame) -> DataFrame:
     """(root, languages) by the marker files at each root."""
     known = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])

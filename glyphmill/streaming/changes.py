@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import is_ignored
+
 QUIET_MS, LONGEST_MS, RENAME_MS = 300, 5_000, 200
 
 
@@ -69,12 +71,33 @@ def affected_paths(changes: DataFrame) -> DataFrame:
     return changes.select(F.explode(F.array_compact(F.array("from_path", "path"))).alias("path")).distinct()
 
 
+def translated(events: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
+    """events: root, event, paths, ts, seq, as a watcher of files tells them. (root, path, kind, from_path, ts, seq,
+    place) for pair_renames: paths that rules ignore go first, so half of a rename into an ignored place is a plain
+    change. New folders, metadata, reads and what has no class tell nothing; a rename with both ends is one row."""
+    kept = events.withColumn("paths", F.filter("paths", lambda p: ~is_ignored(p, rules)))
+    kind = F.col("event")
+    whole = (kind == "renamed_both") & (F.size("paths") >= 2)
+    told = (
+        F.when(kind.isin("created", "modified"), kind)
+        .when(kind.isin("removed", "removed_folder"), "deleted")
+        .when(kind == "renamed_from", "departed")
+        .when(kind == "renamed_to", "arrived")
+        .when(whole, "renamed")
+        .when(kind == "renamed_both", "modified")
+    )
+    places = F.when(whole, F.slice("paths", 2, 1)).otherwise(F.col("paths"))
+    rows = kept.where(told.isNotNull()).select("root", told.alias("kind"), F.when(whole, F.get("paths", F.lit(0))).alias("from_path"), "ts", "seq", F.posexplode(places).alias("place", "path"))
+    return rows.select("root", "path", "kind", "from_path", "ts", "seq", "place")
+
+
 def pair_renames(events: DataFrame, within_ms: int = RENAME_MS) -> DataFrame:
     """Departures and arrivals in order of time, whatever else happens between them: one departure waits at a time, the
     next arrival takes it, and is a rename if that is within the time. A departure that no arrival takes in time, or that
-    another one overtakes, is a deletion; other arrivals are creations. Only departures and arrivals meet in windows."""
+    another one overtakes, is a deletion; other arrivals are creations. Only departures and arrivals meet in windows. Events
+    of one seq go by place, if they have one; other changes keep their from_path."""
     moves = events.where(F.col("kind").isin("departed", "arrived"))
-    w = Window.partitionBy("root").orderBy("ts", "seq")
+    w = Window.partitionBy("root").orderBy("ts", "seq", *(["place"] if "place" in events.columns else []))
     last = F.lag(F.struct("kind", "path", "ts")).over(w)
     after = F.lead(F.struct("kind", "ts")).over(w)
     near = lambda a, b: (F.unix_millis(b) - F.unix_millis(a)) <= within_ms
@@ -84,7 +107,7 @@ def pair_renames(events: DataFrame, within_ms: int = RENAME_MS) -> DataFrame:
     kind = F.when(arrived, "renamed").when(F.col("kind") == "arrived", "created").otherwise("deleted")
     paired = tagged.where(~taken).select("root", "path", kind.alias("kind"), F.when(arrived, F.col("_last.path")).alias("from_path"), "ts", "seq")
     others = events.where(~F.coalesce(F.col("kind").isin("departed", "arrived"), F.lit(False)))
-    return paired.unionByName(others.select("root", "path", F.coalesce("kind", F.lit("created")).alias("kind"), F.lit(None).cast("string").alias("from_path"), "ts", "seq"))
+    return paired.unionByName(others.select("root", "path", F.coalesce("kind", F.lit("created")).alias("kind"), (F.col("from_path") if "from_path" in events.columns else F.lit(None).cast("string").alias("from_path")), "ts", "seq"))
 
 
 def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:

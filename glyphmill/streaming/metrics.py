@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import store
 from ..operators.metrics import replace, rollup
 
+#: Events that wait to be written, and events that a slow subscriber can still read.
+PENDING, SLOTS = 4_096, 256
+
 
 def hourly(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """A streaming frame of hourly sums; events later than lateness are dropped with their state."""
@@ -29,7 +35,7 @@ def refresh_each_batch(events: DataFrame, path: str, checkpoint: str, granularit
         try:
             old = spark.read.parquet(f"{path}/v{batch_id - 1}")
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            if batch_id > 0 or "PATH_NOT_FOUND" not in str(e):  # only the first batch has nothing before it
                 raise
             old = new.limit(0)
         keys = ["granularity", "bucket", "project", "operation"]
@@ -39,3 +45,45 @@ def refresh_each_batch(events: DataFrame, path: str, checkpoint: str, granularit
         replace(old, joined).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Collector:
+    """Events of this process that wait to be written: the oldest go when there is no room, and are counted. What a flush
+    could not write waits again, before newer events. For a few events a second; bulk events come as frames."""
+
+    def __init__(self, schema: str, capacity: int = PENDING, enabled: bool = True) -> None:
+        self.schema, self.capacity, self.enabled = schema, max(1, capacity), enabled
+        self.waiting: deque[tuple] = deque()
+        self.dropped = 0
+
+    def record(self, event: tuple) -> None:
+        if self.enabled:
+            self.waiting.append(event)
+            self._fit()
+
+    def flush(self, spark: SparkSession, path: str) -> int:
+        """Appends all that wait, or nothing; how many were written."""
+        events, self.waiting = list(self.waiting), deque()
+        if not events:
+            return 0
+        try:
+            store.append(spark.createDataFrame(events, self.schema).coalesce(1), path)
+        except Exception:
+            self.waiting.extendleft(reversed(events))
+            self._fit()
+            raise
+        return len(events)
+
+    def _fit(self) -> None:
+        while len(self.waiting) > self.capacity:
+            self.waiting.popleft()
+            self.dropped += 1
+
+
+def since(events: DataFrame, seen: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """What a subscriber that has read up to seq seen gets, in order: of the newest slots events those it does not know;
+    and (lost), how many it will never see."""
+    newer = events.where(F.col("seq") > seen)
+    page = newer.orderBy(F.desc("seq")).limit(slots)
+    lost = newer.agg(F.greatest(F.count("*") - slots, F.lit(0)).cast("long").alias("lost"))
+    return page.orderBy("seq"), lost

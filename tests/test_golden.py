@@ -1,9 +1,11 @@
 """Small cases with known answers, and invariants."""
 
 import ast
+import io
 import random
 import re
 import time
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -482,3 +484,139 @@ def test_similar_items_are_found_for_every_item(spark, small):
     items = {r["item_id"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
     got = queries.p16_similar(spark, small).collect()
     assert len(items) > 5 and {r["query_id"] for r in got} == items
+
+
+def test_spans_and_estimates(spark):
+    at = lambda *x: datetime(2024, 1, *x, tzinfo=UTC)
+    assert metrics.Span(at(2, 3, 4), at(3)).aligned("hourly") == metrics.Span(at(2, 3), at(3)) and metrics.Span(at(2, 3, 4)).aligned("daily") == metrics.Span(at(2))
+    assert metrics.Span.last_days(2, at(9)) == metrics.Span(at(7), at(9)) and metrics.Span.all_time().aligned("daily") == metrics.Span()
+    with pytest.raises(ValueError, match="runs backwards"):
+        metrics.Span(at(3), at(2))
+    rows = spark.createDataFrame([(1, at(1)), (2, at(2)), (3, at(3)), (4, None)], "n int, ts timestamp")
+    assert [r["n"] for r in metrics.Span(at(1), at(3)).of(rows, "ts").collect()] == [1, 2] and metrics.Span.all_time().of(rows, "ts").count() == 4
+    assert metrics.pruned(rows, "ts", F.lit(at(3))).first()["removed"] == 2
+
+
+def test_projects_are_described(spark):
+    manifest = '{"dependencies": {"react": "1", "x": {"y": 1}}, "devDependencies": {"typescript": "5", "vue": "3"}, "packageManager": "pnpm@9"}'
+    rows = [
+        ("a", "package.json", manifest), ("a", "yarn.lock", None), ("a", "sub/go.mod", None), ("b", "package.json", "{ not json"), ("b", "yarn.lock", None), ("b", ".git/HEAD", ""),
+        ("c", "Cargo.toml", None), ("c", "setup.py", None), ("c", "uv.lock", None), ("d", "README.md", ""), ("e", "setup.py", None), ("e", "uv.lock", None), ("f", "package.json", '{"dependencies": [1]}'), ("g", ".git", None),
+    ]
+    got = {r["root"]: (r["languages"], r["frameworks"], r["package_manager"], r["git"]) for r in files.describe_projects(spark.createDataFrame(rows, "root string, path string, content string")).collect()}
+    assert got == {
+        "a": (["javascript", "typescript"], ["react", "vue"], "pnpm", False), "b": (["javascript"], [], "yarn", True), "c": (["python", "rust"], [], "cargo", False),
+        "e": (["python"], [], "uv", False), "f": (["javascript"], [], "npm", False), "g": ([], [], None, True),
+    }
+
+
+def test_a_reader_gives_one_context(spark):
+    assert files.from_reader(spark, io.BytesIO(b"a\r\nb")).select("content", "byte_len").first() == ("a\nb", 3)
+    assert files.from_reader(spark, io.BytesIO(b"\xff")).count() == 0
+    with pytest.raises(ValueError, match="more than 3 bytes"):
+        files.from_reader(spark, io.BytesIO(b"abcd"), 3)
+
+
+def test_store_writes(spark, tmp_path):
+    vectors_ = spark.createDataFrame([("r", "a", "p", 2, "1"), ("r", "b", "q", 2, "1"), ("s", "a", "p", 2, "1")], "root string, path string, provider string, dimensions int, content_hash string")
+    put = store.put_embeddings(vectors_, spark.createDataFrame([("r", "b", "p", 2, "2"), ("r", "c", "p", 3, "2")], vectors_.schema))
+    assert {(r["path"], r["content_hash"]) for r in store.embeddings_of(put, "r", "p", 2).collect()} == {("a", "1"), ("b", "2")}
+    assert store.embeddings_of(put, "r", "p", 2, spark.createDataFrame([("b",), ("z",)], "path string")).first()["path"] == "b"
+    settings = spark.createDataFrame([("1", "k", "a"), ("1", "l", "b"), ("2", "k", "c")], "project_id string, key string, value string")
+    after = store.put_settings(settings, spark.createDataFrame([("1", "k", None), ("1", "m", "d")], settings.schema))
+    assert sorted(map(tuple, after.collect())) == [("1", "l", "b"), ("1", "m", "d"), ("2", "k", "c")]
+    projects = spark.createDataFrame([("1", "active"), ("2", "active")], "id string, status string")
+    assert sorted(map(tuple, store.set_project_status(projects, "2", "paused").collect())) == [("1", "active"), ("2", "paused")]
+    assert [x.count() for x in store.remove_project(projects, settings, "1")] == [1, 1]
+    store.append(projects, f"{tmp_path}/p")
+    broken = projects.select(F.when(F.col("id") == "2", F.raise_error("no")).otherwise(F.col("id")).alias("id"), "status")
+    with pytest.raises(Exception, match="no"):
+        store.append(broken, f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 2
+
+
+def test_events_are_translated_and_paired(spark):
+    raw = [
+        ("created", ["a"]), ("metadata", ["a"]), ("renamed_from", ["a"]), ("modified", ["build/x", "m"]), ("renamed_to", ["b"]), ("renamed_both", ["c", "d"]), ("renamed_both", ["build/c", "e"]),
+        ("created_folder", ["f"]), ("removed_folder", ["f"]), ("renamed_from", ["g", "h"]), ("renamed_to", ["i"]), ("created", ["build/y"]), ("accessed", ["a"]), ("created", []), (None, ["n"]),
+    ]
+    rows = spark.createDataFrame([("r", e, p, i) for i, (e, p) in enumerate(raw)], "root string, event string, paths array<string>, seq long").withColumn("ts", F.timestamp_millis("seq"))
+    told = changes.pair_renames(changes.translated(rows, files.ignore_rules(["build/"]))).orderBy("seq", "path")
+    want = [("created", "a", None), ("modified", "m", None), ("renamed", "b", "a"), ("renamed", "d", "c"), ("modified", "e", None), ("deleted", "f", None), ("deleted", "g", None), ("renamed", "i", "h")]
+    assert [(r["kind"], r["path"], r["from_path"]) for r in told.collect()] == want
+
+
+def test_collector_and_subscribers(spark, tmp_path):
+    from glyphmill.streaming.metrics import Collector, since
+
+    held = Collector("seq long, name string", capacity=3)
+    for k in range(5):
+        held.record((k, "x"))
+    assert [e[0] for e in held.waiting] == [2, 3, 4] and held.dropped == 2
+    (tmp_path / "file").write_text("")
+    with pytest.raises(Exception):  # noqa: B017
+        held.flush(spark, f"{tmp_path}/file/below")
+    assert [e[0] for e in held.waiting] == [2, 3, 4]
+    assert held.flush(spark, f"{tmp_path}/out") == 3 and held.flush(spark, f"{tmp_path}/out") == 0 and spark.read.parquet(f"{tmp_path}/out").count() == 3
+    off = Collector("seq long", enabled=False)
+    off.record((1,))
+    assert not off.waiting
+    events = spark.range(1, 11).select(F.col("id").alias("seq"))
+    page, lost = since(events, 3, slots=4)
+    assert [r["seq"] for r in page.collect()] == [7, 8, 9, 10] and lost.first()["lost"] == 3
+    page, lost = since(events, 8, slots=4)
+    assert [r["seq"] for r in page.collect()] == [9, 10] and lost.first()["lost"] == 0
+
+
+def test_supervisor_replays_and_scans(spark, tmp_path):
+    from glyphmill.streaming import supervisor
+
+    disk = {"a": "1", "b": "1", "c": "1"}
+    schema = "root string, path string, content_hash string"
+    there = lambda: spark.createDataFrame([("r", p, h) for p, h in disk.items()], schema)
+    now, broken = [0.0], [False]
+
+    def read(touched):
+        if broken[0]:
+            raise RuntimeError("busy")
+        return there().join(touched, ["root", "path"], "left_semi")
+
+    step = supervisor.Supervisor(f"{tmp_path}/t", schema, read, there, every=300, clock=lambda: now[0])
+    state = lambda: {r["path"]: r["content_hash"] for r in step.files(spark).collect()}
+    batch = lambda *rows: spark.createDataFrame([("r", p, k, f, i) for i, (p, k, f) in enumerate(rows)], "root string, path string, kind string, from_path string, seq long").withColumn("ts", F.timestamp_millis("seq"))
+    step(batch(), 0)
+    assert state() == disk
+    disk |= {"a": "2", "d": "1"}
+    del disk["c"]
+    change = batch(("a", "modified", None), ("a", "modified", None), ("d", "renamed", "c"))
+    broken[0] = True
+    with pytest.raises(RuntimeError, match="busy"):
+        step(change, 1)
+    broken[0] = False
+    step(change, 1)
+    step(change, 1)
+    assert state() == disk
+    disk["z"] = "9"
+    step(batch(), 2)
+    assert "z" not in state()
+    now[0] = 301.0
+    step(batch(), 3)
+    assert state() == disk
+    raw = batch(("b", "deleted", None))
+    del disk["b"]
+    raw.write.parquet(f"{tmp_path}/in")
+    again = supervisor.Supervisor(f"{tmp_path}/u", schema, read, there)
+    supervisor.supervise(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in"), again, f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    assert {r["path"] for r in again.files(spark).collect()} == set(disk)
+
+
+def test_only_new_content_is_embedded(spark, small):
+    from glyphmill import queries
+
+    items = {str(r["item_id"]): r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    got = {r["path"]: r["vector"] for r in queries.p15_embed_files(spark, small).collect()}
+    assert set(got) == set(items) and all(np.allclose(v, vectors.embed(items[k], 64)) for k, v in got.items())
+    known = spark.createDataFrame([("r", "a", "p", 8, [0.0] * 8, "1"), ("r", "b", "q", 8, [0.0] * 8, "1")], "root string, path string, provider string, dimensions int, vector array<float>, content_hash string")
+    now = spark.createDataFrame([("r", "a", "1", "x"), ("r", "b", "1", "y"), ("r", "c", "1", None)], "root string, path string, content_hash string, content string")
+    after, work = index.embed_files(now, known, "p", 8)
+    assert tuple(work.first()) == (2, 1) and {(r["path"], r["provider"]) for r in after.collect()} == {("a", "p"), ("b", "p"), ("c", "p")}
