@@ -615,14 +615,14 @@ def p11_hybrid_rank(spark, d):
     "near AS (SELECT dst AS doc_id, src AS a FROM e JOIN hit ON src = hit.doc_id UNION SELECT src, dst FROM e JOIN hit ON dst = hit.doc_id), dg AS (SELECT dst AS doc_id, count(*) AS dependents FROM (SELECT DISTINCT src, dst FROM e) GROUP BY dst), "
     "found AS (SELECT doc_id, relevance, symbol, 0 AS hops, CAST(NULL AS VARCHAR) AS related_to FROM hit UNION ALL SELECT doc_id, 0.0, 0.0, 1, min(a::VARCHAR) FROM near WHERE doc_id NOT IN (SELECT doc_id FROM hit) GROUP BY doc_id), "
     "c AS (SELECT found.doc_id, relevance, symbol, hops, related_to, coalesce(dependents, 0) AS dependents, found.doc_id % 90 AS age FROM found JOIN documents USING (doc_id) LEFT JOIN dg USING (doc_id)), m AS (SELECT max(relevance) AS best, max(dependents) AS most FROM c), "
-    "s AS (SELECT doc_id::VARCHAR AS path, round(pow(0.4, hops) * (1.0 * CASE WHEN best > 0 THEN relevance / best ELSE 0 END + 1.5 * symbol + 0.5 * CASE WHEN most > 0 THEN ln(1 + dependents) / ln(1 + most) ELSE 0 END + 0.3 * pow(0.5, age / 30.0)), 6) AS score, CAST(hops AS INT) AS hops, related_to FROM c, m) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 20"
+    "s AS (SELECT doc_id::VARCHAR AS path, round(pow(0.4, hops) * (1.0 * CASE WHEN best > 0 THEN relevance / best ELSE 0 END + 1.5 * symbol + 0.5 * CASE WHEN most > 0 THEN ln(1 + dependents) / ln(1 + most) ELSE 0 END + 0.3 * pow(0.5, age / 30.0)), 6) AS score, CAST(hops AS INT) AS hops, related_to FROM c, m) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 100"
 )
 def p11_retrieve(spark, d):
     """Text and symbol hits, what hangs together with them over the graph, ranked."""
     rows = docs(spark, d).withColumn("path", F.col("doc_id").cast("string"))
     links = edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     ages = rows.select("path", (F.col("doc_id") % 90).alias("age_days"))
-    return search.retrieve(rows.select("path", "text"), rows.select("path", F.col("source").alias("name")), links, ages, "license src12")
+    return search.retrieve(rows.select("path", "text"), rows.select("path", F.col("source").alias("name")), links, ages, "license src12", limit=100)
 
 
 @query(
