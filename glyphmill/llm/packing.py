@@ -8,7 +8,9 @@ best new pattern from the duals. Pattern counts are rounded down, the rest is pu
 pieces of each class take the patterns' places in order. The classes round lengths up, so a pattern always fits.
 
 A null text is empty and is one piece of the end id alone. A row with a null doc_id is packed too. Repeated rows are
-packed one by one, an empty table gives an empty result, further columns are not read.
+packed one by one, and ranked apart by the partition they came in, so a row that is a third of the table is in no one
+task's window; which sequence a piece gets therefore depends on the partitions. An empty table gives an empty result,
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -210,8 +212,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, step: i
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     cuts = cut(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("class", F.ceil(F.col("length") / step).cast("int")))
+    # one row repeated a million times has one hash: the checkpoint's partition, which no retry changes, parts its rows
     salts = int(min(max(cuts.count() // ROWS_A_SALT, SALTS[0]), SALTS[1]))
-    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(salts)).cast("int"))
     counts = sorted((r["class"], r["salt"], r["count"]) for r in cuts.groupBy("class", "salt").count().collect())
     histogram: dict[int, int] = {}
     before = []

@@ -44,6 +44,12 @@ def test_packing_odd_rows(spark):
     assert packing.pack(empty(spark), queries.tokenizer_path()).count() == 0
 
 
+def test_one_row_as_a_third_of_the_table(spark):
+    rows = [(7, "the same row " * 40)] * 400 + [(k, f"word {k} " * (k % 90)) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    check_packed(docs.collect(), packing.pack(docs, queries.tokenizer_path()).collect())
+
+
 def test_words_the_fast_way_misses():
     coder, t = packing.WordIds(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
     t.encode_special_tokens = True
