@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
@@ -67,6 +67,32 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> Data
     return found.unionByName(rest)
 
 
+#: Groups whose offsets are sent to every executor; more of them are joined by shuffle.
+BROADCAST_GROUPS = 200_000
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """rows with their place in their group, counted from 0 in the given order, as a column of that name, and, if size names
+    one, a column with how many rows the group has. Rows are sorted over partitions by range, equal ones by where they stood, so a group or a row repeated without end is parted over many
+    tasks; a place is that within the partition, shifted by how many rows of the group the partitions before hold. rows
+    are best cut already: their ranges are sampled first."""
+    by = [*(F.col(f"`{g}`").asc_nulls_first() for g in group), *order, F.col("_stood")]
+    spread = rows.withColumn("_stood", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_stood")
+    at = F.monotonically_increasing_id()
+    placed = cut(spread).withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND((1 << 33) - 1))
+    keys = [F.col(f"`{g}`") for g in group]
+    held = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = [F.sum("_n").over(whole).alias(size)] if size else []
+    shifts = cut(held.select(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"), *total))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_g{i}"))
+    few = F.broadcast(shifts) if shifts.count() <= BROADCAST_GROUPS else shifts
+    return placed.join(few, same).withColumn(name, F.col("_at") + F.col("_shift")).select(*[F.col(f"`{c}`") for c in rows.columns], name, *([size] if size else []))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
