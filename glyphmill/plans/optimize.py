@@ -20,6 +20,7 @@ from ..functions import scores
 from ..functions import text as T
 from ..functions.detect import detect
 from ..functions.tokens import count_heuristic
+from ..lineage import cut
 from ..operators import fragments as R
 from ..operators import vectors
 
@@ -198,25 +199,42 @@ def json_ladder(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, valid boolean, steps array<string>")
 
 
-def json_text(docs: DataFrame, budget: int | None = None) -> DataFrame:
-    """Compact JSON; over a budget the first step of the ladder that fits, else the last. What is no JSON is unchanged."""
+def json_choices(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and more) with original_tokens, compact (the cost of the compact text; null for what is no JSON)
+    and choices (need, cost, text): the text is that of the first choice whose need fits a budget, else of the last. A text
+    ends with a line feed, which costs a token; whether a step of the ladder fits is asked without it. What is no JSON
+    keeps its lines that are not blank, at the cost it had."""
     made = json_ladder(docs).withColumn("original_tokens", count_heuristic(F.col("text")))
-    cost = F.transform("steps", lambda s: F.struct(count_heuristic(s).alias("n"), s.alias("s")))
-    made = made.withColumn("costs", cost)
-    first = F.get("costs", F.lit(0))
-    fit = F.get(F.filter("costs", lambda x: x["n"] <= budget), F.lit(0)) if budget is not None else first
-    chosen = F.coalesce(fit, F.element_at("costs", -1))
-    made = made.withColumn("first", first).withColumn("chosen", chosen)
+    at = F.transform("steps", lambda s, k: F.struct((count_heuristic(s) + F.when(k == 0, 1).otherwise(0)).alias("need"), (count_heuristic(s) + 1).alias("cost"), F.concat(s, F.lit("\n")).alias("text")))
+    lines = R.lines_of(F.col("text"))
+    kept = F.when(F.size(lines) > 0, F.concat(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\r+$", "")), "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("need"), F.col("original_tokens").alias("cost"), kept.alias("text")))
+    made = made.withColumn("choices", F.when(F.col("valid"), at).otherwise(one))
+    return made.select("doc_id", "original_tokens", F.when(F.col("valid"), F.col("choices")[0]["cost"]).alias("compact"), "choices")
+
+
+def chosen(choices: Column, room: Column) -> Column:
+    """The first choice that fits in room, else the last."""
+    return F.coalesce(F.get(F.filter(choices, lambda x: x["need"] <= room), F.lit(0)), F.element_at(choices, -1))
+
+
+def json_text(docs: DataFrame, budget: int | None = None) -> DataFrame:
+    """Compact JSON; over a budget the first step of the ladder that fits, else the last. What is no JSON is unchanged but
+    for its blank lines."""
+    made = json_choices(docs)
+    first = F.get("choices", F.lit(0))
+    made = made.withColumn("chosen", chosen(F.col("choices"), F.lit(budget).cast("long")) if budget is not None else first)
+    base = F.coalesce("compact", "original_tokens")
     return made.select(
         "doc_id",
         F.lit("json").alias("optimizer"),
         "original_tokens",
         F.lit(0).cast("long").alias("filtering"),
         F.lit(0).cast("long").alias("deduplication"),
-        (F.col("original_tokens") - F.col("first.n")).alias("compression"),
-        (F.col("first.n") - F.col("chosen.n")).alias("selection"),
-        F.col("chosen.n").alias("optimized_tokens"),
-        F.col("chosen.s").alias("text"),
+        (F.col("original_tokens") - base).alias("compression"),
+        (base - F.col("chosen.cost")).alias("selection"),
+        F.col("chosen.cost").alias("optimized_tokens"),
+        F.col("chosen.text").alias("text"),
     )
 
 
@@ -237,14 +255,19 @@ def route(content_type: Column, command: Column | None = None, disabled: bool =
     )
 
 
+def routed(docs: DataFrame) -> DataFrame:
+    """docs with their route, which is told once and kept: each route's branch reads its own rows from there."""
+    command = F.col("command") if "command" in docs.columns else None
+    path = F.col("path") if "path" in docs.columns else None
+    return cut(docs.withColumn("route", route(detect(F.col("text"), path), command)))
+
+
 def optimize(docs: DataFrame, budget: int | None = None) -> DataFrame:
     """Every document by its own pipeline: one routing column, then a pass for the staged routes, one for JSON and one
     for what passes through."""
-    command = F.col("command") if "command" in docs.columns else None
-    path = F.col("path") if "path" in docs.columns else None
-    routed = docs.withColumn("route", route(detect(F.col("text"), path), command))
-    staged = _staged(routed.where(~F.col("route").isin("json", "passthrough")), F.col("route"), budget)
-    return staged.unionByName(json_text(routed.where("route = 'json'"), budget)).unionByName(passthrough(routed.where("route = 'passthrough'"), budget))
+    told = routed(docs)
+    staged = _staged(told.where(~F.col("route").isin("json", "passthrough")), F.col("route"), budget)
+    return staged.unionByName(json_text(told.where("route = 'json'"), budget)).unionByName(passthrough(told.where("route = 'passthrough'"), budget))
 
 
 def report(optimized: DataFrame) -> DataFrame:
@@ -271,40 +294,72 @@ def compile_sections(sections: DataFrame, budget: int, header_tokens: Column) ->
 
 
 def compile_documents(docs: DataFrame, budget: int) -> DataFrame:
-    """One document for each group_id of docs (group_id, position, doc_id, label, text): sections by position, each under
-    a header that names its label and reference, optimised as text within what the sections before it left. Gives
-    group_id, text, original_tokens, optimized_tokens (of the whole document, headers included), the stages' merged savings
-    and sections (position, label, reference, original_tokens, optimized_tokens). Fragments are made and counted for all
-    documents at once; only the recurrence of allowances is folded, over one request's sections."""
-    named = docs.withColumn("reference", T.to_uri(T.context_id(F.col("text")))).withColumn("header", T.section_header(F.col("label"), F.col("reference")))
-    keyed = named.withColumn("doc_id", F.struct("group_id", "position"))
-    once = _fragments(keyed, F.lit("text"))
+    """One document for each group_id of docs (group_id, position, label, text, and command and path where there are any):
+    sections by position, each under a header that names its label and reference, optimised by its own route within what
+    the sections before it left. Gives group_id, text, original_tokens, optimized_tokens (of the whole document, headers
+    included), the stages' merged savings and sections (position, label, reference, optimizer, original_tokens,
+    optimized_tokens).
+
+    What an allowance buys is only known in the recurrence, so each section comes with all it may cost: the running costs of
+    its fragments as far as the budget can reach, or the steps of its JSON, or its whole text. Sections behind the headers
+    that use up the budget by themselves bring no fragments and only the last of their choices, so what a group's fold holds
+    is bounded by the budget but for texts that no budget shortens."""
+    base = docs.withColumn("doc_id", F.struct("group_id", "position"))
+    named = base.withColumn("reference", T.to_uri(T.context_id(F.col("text")))).withColumn("header", T.section_header(F.col("label"), F.col("reference")))
+    headed = named.withColumn("head", count_heuristic(F.concat("header", F.lit("\n"))))
+    in_order = Window.partitionBy("group_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    told = routed(headed.withColumn("room", F.greatest(F.lit(budget) - F.sum("head").over(in_order), F.lit(0).cast("long"))))
+    pieces_type, choices_type = "array<struct<upto:bigint,content:string>>", "array<struct<need:bigint,cost:bigint,text:string>>"
+    none = lambda kind: F.lit(None).cast(kind)
+
+    staged = told.where(~F.col("route").isin("json", "passthrough"))
+    once = _fragments(staged.withColumn("doc_id", F.struct("group_id", "position", "room")), F.col("route"))
     running = F.sum("cost").over(Window.partitionBy("doc_id").orderBy(F.coalesce("idx", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0))
-    pieces = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct(F.col("running").alias("upto"), "content"))))
-    per = once.withColumn("running", running).groupBy("doc_id", "original_tokens").agg(F.sum("filtered").alias("f"), F.sum("cost").alias("d"), pieces.alias("pieces"))
-    heads = keyed.select("doc_id", "label", "reference", "header", count_heuristic(F.concat("header", F.lit("\n"))).alias("head"))
-    rows = per.join(heads, "doc_id").select(F.col("doc_id.group_id").alias("group_id"), F.struct(F.col("doc_id.position").alias("position"), "label", "reference", "header", "head", "original_tokens", "f", "d", "pieces").alias("s"))
-    grouped = rows.groupBy("group_id").agg(F.array_sort(F.collect_list("s"), lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0)).alias("rows"))
+    held = F.when(F.col("content").isNotNull() & (F.col("running") <= F.col("doc_id.room")), F.struct(F.col("running").alias("upto"), "content"))
+    by_doc = once.withColumn("running", running).groupBy("doc_id", "by_line", "original_tokens").agg(F.sum("filtered").alias("f"), F.sum("cost").alias("d"), F.array_sort(F.collect_list(held)).alias("pieces"))
+    saved = ((F.col("original_tokens") - F.col("f")).alias("filtering"), (F.col("f") - F.col("d")).alias("deduplication"), F.lit(0).cast("long").alias("compression"))
+    by_doc = by_doc.select(F.struct("doc_id.group_id", "doc_id.position").alias("doc_id"), "original_tokens", "by_line", *saved, "pieces", none(choices_type).alias("choices"))
+
+    zero = [F.lit(0).cast("long").alias(c) for c in ("filtering", "deduplication")]
+    rest = (F.lit(True).alias("by_line"), *zero)
+    json_docs = json_choices(told.where("route = 'json'").select("doc_id", "text"))
+    by_json = json_docs.select("doc_id", "original_tokens", *rest, (F.col("original_tokens") - F.coalesce("compact", "original_tokens")).alias("compression"), none(pieces_type).alias("pieces"), F.col("choices").cast(choices_type).alias("choices"))
+    n = count_heuristic(F.col("text"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("need"), n.alias("cost"), F.col("text").alias("text")))
+    passed = told.where("route = 'passthrough'").select("doc_id", n.alias("original_tokens"), *rest, F.lit(0).cast("long").alias("compression"), none(pieces_type).alias("pieces"), whole.alias("choices"))
+    per = by_doc.unionByName(by_json).unionByName(passed)
+
+    heads = told.select("doc_id", "label", "reference", "header", "head", "room", F.col("route").alias("optimizer"))
+    near = F.when((F.col("room") > 0) | (F.size("choices") <= 1), F.col("choices")).otherwise(F.slice("choices", -1, 1))
+    section = F.struct("doc_id.position", "label", "reference", "header", "head", "optimizer", "original_tokens", "by_line", "filtering", "deduplication", "compression", "pieces", near.alias("choices"))
+    ordered = F.array_sort(F.collect_list("s"), lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0))
+    grouped = per.join(heads, "doc_id").select("doc_id.group_id", section.alias("s")).groupBy("group_id").agg(ordered.alias("rows"))
 
     def step(acc, r):
         room = F.greatest(acc["left"] - r["head"], F.lit(0).cast("long"))
-        used = F.coalesce(F.array_max(F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= room), lambda p: p["upto"])), F.lit(0).cast("long"))
-        return F.struct(F.greatest(acc["left"] - r["head"] - used, F.lit(0).cast("long")).alias("left"), F.concat(acc["used"], F.array(used)).alias("used"))
-
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("used"))
-    told = grouped.withColumn("used", F.aggregate("rows", start, step, lambda a: a["used"]))
-    part = lambda r, u: F.when(u > 0, F.concat(r["header"], F.lit("\n"), F.array_join(F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= u), lambda p: p["content"]), "\n\n"), F.lit("\n")))
-    whole = F.array_join(F.array_compact(F.zip_with("rows", "used", part)), "\n")
-    total = lambda value: F.aggregate(F.zip_with("rows", "used", value), F.lit(0).cast("long"), lambda a, x: a + x)
-    section = lambda r, u: F.struct(r["position"].alias("position"), r["label"].alias("label"), r["reference"].alias("reference"), r["original_tokens"].alias("original_tokens"), u.alias("optimized_tokens"))
-    return told.withColumn("text", whole).select(
+        prefix = F.coalesce(F.array_max(F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= room), lambda p: p["upto"])), F.lit(0).cast("long"))
+        used = F.when(r["choices"].isNull(), prefix).otherwise(chosen(r["choices"], room)["cost"])
+        return F.struct(F.greatest(acc["left"] - r["head"] - used, F.lit(0).cast("long")).alias("left"), F.concat(acc["out"], F.array(F.struct(room.alias("room"), used.alias("used")))).alias("out"))
+
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<room:bigint,used:bigint>>").alias("out"))
+    done = grouped.withColumn("out", F.aggregate("rows", start, step, lambda a: a["out"]))
+
+    def part(r, o):
+        said = F.transform(F.filter(r["pieces"], lambda p: p["upto"] <= o["used"]), lambda p: p["content"])
+        joined = F.when(r["by_line"], F.array_join(said, "\n")).otherwise(F.array_join(said, "\n\n"))
+        text = F.when(r["choices"].isNotNull(), chosen(r["choices"], o["room"])["text"]).when(F.size(said) > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit(""))
+        return F.when(~T.is_blank(text), F.concat(r["header"], F.lit("\n"), text))
+
+    total = lambda value: F.aggregate(F.zip_with("rows", "out", value), F.lit(0).cast("long"), lambda a, x: a + x)
+    of = lambda c: lambda r, o: r[c]
+    cost = lambda r, o: r["original_tokens"] - r["filtering"] - r["deduplication"] - r["compression"] - o["used"]
+    said = lambda r, o: F.struct(r["position"].alias("position"), r["label"].alias("label"), r["reference"].alias("reference"), r["optimizer"].alias("optimizer"), r["original_tokens"].alias("original_tokens"), o["used"].alias("optimized_tokens"))
+    return done.withColumn("text", F.array_join(F.array_compact(F.zip_with("rows", "out", part)), "\n")).select(
         "group_id",
         "text",
-        total(lambda r, u: r["original_tokens"]).alias("original_tokens"),
+        total(lambda r, o: r["original_tokens"]).alias("original_tokens"),
         count_heuristic(F.col("text")).alias("optimized_tokens"),
-        total(lambda r, u: r["original_tokens"] - r["f"]).alias("filtering"),
-        total(lambda r, u: r["f"] - r["d"]).alias("deduplication"),
-        F.lit(0).cast("long").alias("compression"),
-        total(lambda r, u: r["d"] - u).alias("selection"),
-        F.zip_with("rows", "used", section).alias("sections"),
+        *[total(of(c)).alias(c) for c in ("filtering", "deduplication", "compression")],
+        total(cost).alias("selection"),
+        F.zip_with("rows", "out", said).alias("sections"),
     )

