@@ -51,25 +51,37 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def holds(words: list[str]):
+    """Whether a place of w, counted from 1, begins these words."""
+    return lambda at: F.slice("w", at, len(words)) == F.array(*[F.lit(x) for x in words])
+
+
 def equals(term: str):
     return lambda word: word == F.lit(term)
 
 
+def bm25_score(tf: list[Column], df: list[Column], dl: Column, n: Column, avgdl: Column) -> Column:
+    """The sum over terms; a term that a document lacks adds nothing."""
+    total = F.lit(0.0)
+    for t, d in zip(tf, df, strict=True):
+        idf = F.log1p((n - d + 0.5) / (d + 0.5))
+        total = total + F.when(t > 0, idf * t * (K1 + 1) / (t + K1 * (1 - B + B * dl / avgdl))).otherwise(0.0)
+    return total
+
+
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, relevance) of documents that hold a term. Documents are read once: the query's terms are counted in each
-    text, so no posting of another word is made or shuffled; statistics are corpus-wide."""
-    words = terms_of(F.col(text_col))
-    counted = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).select(
-        "doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
-    )
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    both = counted.where(F.greatest(F.lit(0), *[F.col(f"tf{k}") for k in range(len(terms))]) > 0).join(F.broadcast(stats), F.lit(True))
-    total = F.lit(0.0)
-    for k in range(len(terms)):
-        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log1p((F.col("n") - df + 0.5) / (df + 0.5))
-        total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    return both.select("doc_id", total.alias("relevance"))
+    text, so no posting of another word is made or shuffled; statistics are corpus-wide. A term of several words is a
+    phrase, whose words stand side by side. For many searches of one corpus see textindex."""
+    phrases = [re.findall(r"[^\W_]+", t.lower()) for t in terms]
+    ks = range(len(phrases))
+    counted = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("w"))
+    some = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+    times = [F.size(F.filter("w", equals(p[0]))) if len(p) == 1 else F.size(F.filter(some, holds(p))) if p else F.lit(0) for p in phrases]
+    counted = counted.select("doc_id", F.size("w").alias("dl"), *[t.alias(f"tf{k}") for k, t in enumerate(times)])
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in ks])
+    both = counted.where(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{k}") for k in ks]) > 0).join(F.broadcast(stats), F.lit(True))
+    return both.select("doc_id", bm25_score([F.col(f"tf{k}") for k in ks], [F.col(f"df{k}") for k in ks], F.col("dl"), F.col("n"), F.col("avgdl")).alias("relevance"))
 
 
 def top_text(docs: DataFrame, query: str, limit: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
-from ..operators.metrics import replace, rollup
+from ..operators.metrics import rollup
+from ..operators.tables import BUCKETS, Table
 
 #: Events that wait to be written, and events that a slow subscriber can still read.
 PENDING, SLOTS = 4_096, 256
@@ -27,22 +28,27 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_each_batch(events: DataFrame, path: str, checkpoint: str, granularity: str = "hourly"):
-    """Recomputes the buckets that a batch touches and replaces them; a batch that is played again changes nothing."""
+ROLLUP_KEYS = ["granularity", "bucket", "project", "operation"]
+
+
+def rollup_table(spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS) -> Table:
+    return Table(spark, path, schema, ROLLUP_KEYS, buckets)
+
+
+def added(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rollups of the same key as one: sums added, the greatest kept."""
+    sums = [c for c in new.columns if c not in (*ROLLUP_KEYS, "max_duration_ms")]
+    return old.unionByName(new).groupBy(*ROLLUP_KEYS).agg(*[F.sum(c).alias(c) for c in sums], F.max("max_duration_ms").alias("max_duration_ms")).select(*new.columns)
+
+
+def refresh_each_batch(events: DataFrame, path: str, checkpoint: str, granularity: str = "hourly", buckets: int = BUCKETS, keep: int = 3):
+    """Adds each batch's rollups to a keyed table at path, of which only the buckets of the batch's own keys are rewritten; a
+    batch that is played again changes nothing. Read it by rollup_table."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = rollup(batch, granularity)
-        try:
-            old = spark.read.parquet(f"{path}/v{batch_id - 1}")
-        except Exception as e:
-            if batch_id > 0 or "PATH_NOT_FOUND" not in str(e):  # only the first batch has nothing before it
-                raise
-            old = new.limit(0)
-        keys = ["granularity", "bucket", "project", "operation"]
-        same = old.join(new.select(*keys), keys, "left_semi").unionByName(new)
-        sums = [c for c in new.columns if c not in (*keys, "max_duration_ms")]
-        joined = same.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.max("max_duration_ms").alias("max_duration_ms")).select(*new.columns)
-        replace(old, joined).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        table = rollup_table(batch.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields), buckets)
+        table.merge(new, version=batch_id, joined=added)
+        table.expire(keep)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

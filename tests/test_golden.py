@@ -436,7 +436,8 @@ def test_streaming_rollup_and_replay(spark, small, tmp_path):
     raw.repartition(3).write.parquet(f"{tmp_path}/in")
     events = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     stream.refresh_each_batch(events, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/v2").select("bucket", "operation", "operations", "input_tokens")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in metrics.rollup(raw, "hourly").schema.fields)
+    got = stream.rollup_table(spark, f"{tmp_path}/out", schema).read().select("bucket", "operation", "operations", "input_tokens")
     want = metrics.rollup(raw, "hourly").select("bucket", "operation", "operations", "input_tokens")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
