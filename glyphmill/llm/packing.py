@@ -9,8 +9,10 @@ pieces of each class take the patterns' places in order. The classes round lengt
 
 A null text is empty and is one piece of the end id alone. A row with a null doc_id is packed too. Repeated rows are
 packed one by one, and ranked apart by the partition they came in, so a row that is a third of the table is in no one
-task's window; which sequence a piece gets therefore depends on the partitions. An empty table gives an empty result,
-further columns are not read.
+task's window; which sequence a piece gets therefore depends on the partitions. Ties, pieces of one class, take places in
+order of id, start and crc. Texts of any length are encoded whole; a task holds a slice of rows and their ids at a time. What
+spells one of the tokenizer's own special tokens becomes that token's id, as the tokenizer does by itself. An empty table
+gives an empty result, further columns are not read.
 """
 
 from __future__ import annotations
@@ -48,9 +50,7 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.bare = Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)

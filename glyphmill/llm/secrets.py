@@ -7,11 +7,15 @@ value is owner-specific and no base span covers them.
 
 A null text is empty. A null repository or owner is a value of its own. Repeated rows are scanned one by one; their
 equal owners count once. An empty table gives an empty result; further columns are not read. Positions are code points,
-ends exclusive. The work is linear in the text: places are prefix sums in blocks, never a list that grows by copying.
+ends exclusive. Of spans that begin alike the first-named kind comes first. The work on a text grows as its length and its
+spans do (but for sorting them): places are prefix sums in blocks, overlaps are counts in one sorted list, and marks go
+between pieces of blocks, so no list grows by copying.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +37,58 @@ KINDS = ("assign", "access", "hex", *FURTHER)
 MAX_OWNERS = 3
 #: So many repositories for each allowed owner still count as that owner's own use.
 REPOS_AN_OWNER = 10
-BLOCK = 512
+BLOCK = 128
+#: Code points of the blocks that a text is cut into where spans are put as marks.
+PIECE = 2048
 
 
-def starts(lengths: Column) -> Column:
-    """Exclusive prefix sums of an array of lengths, by blocks: block sums first, then the part within a block."""
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array what join makes of all values before it (zero: of none), by blocks: what whole blocks come
+    to first, then the part within a block."""
 
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, zero, join)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(
-        let(
+    def summed(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(vs, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(
             blocks,
             lambda bs: let(
-                F.transform(bs, lambda _, b: total(F.slice(bs, F.lit(1), b))),
-                lambda before: F.transform(lengths, lambda _, i: F.get(before, F.floor(i / BLOCK).cast("int")) + total(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))),
+                F.transform(bs, lambda _, b: fold(F.slice(bs, F.lit(1), b))),
+                lambda before: F.transform(vs, lambda _, i: join(F.get(before, F.floor(i / BLOCK).cast("int")), fold(F.slice(vs, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))),
             ),
         )
-    )
+
+    # values are computed once, not anew for each place
+    return let(values, lambda vs: F.when(F.size(vs) == 0, F.array().cast("array<bigint>")).otherwise(summed(vs)))
+
+
+def starts(lengths: Column) -> Column:
+    """Exclusive prefix sums of an array of lengths."""
+    return running(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def counted(points: Column, asked: Column, before: bool) -> Column:
+    """For each of asked (places in a text) how many of points lie before it, or (not before) at it as well: both are sorted
+    together, and points are summed up to each place asked for. In the order of asked."""
+    marks = F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(1 if before else 0).alias("turn"), F.lit(0).alias("k"), F.lit(1).cast("long").alias("n")))
+    asks = F.transform(asked, lambda p, k: F.struct(p.alias("at"), F.lit(0 if before else 1).alias("turn"), k.alias("k"), F.lit(0).cast("long").alias("n")))
+    ask = 0 if before else 1
+
+    def told(events: Column) -> Column:
+        sums = starts(F.transform(events, lambda e: e["n"]))
+        both = F.zip_with(events, sums, lambda e, s: F.struct(e["turn"].alias("turn"), e["k"].alias("k"), s.alias("s")))
+        return F.transform(F.array_sort(F.transform(F.filter(both, lambda x: x["turn"] == ask), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s")))), lambda x: x["s"])
+
+    return let(F.array_sort(F.concat(marks, asks)), told)
+
+
+def free_of(xs: Column, base: Column) -> Column:
+    """The spans of xs that overlap none of base: as many of base begin before its end as end by its start."""
+    begun = counted(F.transform(base, lambda b: b["start"]), F.transform(xs, lambda x: x["end"]), True)
+    ended = counted(F.transform(base, lambda b: b["end"]), F.transform(xs, lambda x: x["start"]), False)
+    clear = F.zip_with(begun, ended, lambda a, b: a == b)
+    return F.when((F.size(xs) == 0) | (F.size(base) == 0), xs).otherwise(let(clear, lambda c: F.filter(xs, lambda x, i: F.get(c, i))))
 
 
 def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
@@ -94,7 +131,7 @@ def found(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text",
     further = F.concat(F.when(t.contains("gh"), github).otherwise(F.array()), F.when(t.contains("eyJ"), jwt).otherwise(F.array()), F.filter(opaque, lambda x: mixed(x["value"])))
     hashed = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash")))
     scanned = scanned.withColumn("base", F.sort_array(base_spans(t))).withColumn("further", further)
-    free = F.filter("further", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = free_of(F.col("further"), F.col("base"))
     kept = scanned.select("doc_id", "repo", "owner", hashed(F.col("base")).alias("base"), hashed(free).alias("further"))
     return cut(kept).withColumn("row", F.monotonically_increasing_id())
 
@@ -147,19 +184,32 @@ def digest(scanned: DataFrame) -> DataFrame:
 BROADCAST_SPANS = 200_000
 
 
+def in_blocks(text: Column) -> Column:
+    """A text cut every PIECE code points, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def piece(blocks: Column, a: Column, b: Column) -> Column:
+    """The text from a to b; it costs what it is long and no more than two blocks beside."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    part = lambda k, at, n: F.substring(F.coalesce(F.get(blocks, k), F.lit("")), (at + 1).cast("int"), n.cast("int"))
+    between = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    return F.when(i == j, part(i, a % PIECE, b - a)).otherwise(F.concat(part(i, a % PIECE, F.lit(PIECE)), between, part(j, F.lit(0), b % PIECE)))
+
+
 def put_marks(text: Column, xs: Column, mark: str) -> Column:
     """text with each of the sorted spans xs, or run of overlapping ones, put as mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        parts = F.when(x["start"] >= acc["at"], F.concat(acc["parts"], F.array(piece, F.lit(mark)))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), parts.alias("parts"))
+    def marked(blocks: Column, spans_: Column, reached: Column) -> Column:
+        runs = F.zip_with(spans_, reached, lambda x, r: F.when(x["start"] >= r, F.concat(piece(blocks, r, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        last = F.greatest(F.element_at(reached, -1), F.element_at(spans_, -1)["end"])
+        return F.concat(F.array_join(runs, ""), piece(blocks, last, F.length(text).cast("long")))
 
-    def closed(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def over(spans_: Column) -> Column:
+        reached = running(F.transform(spans_, lambda x: x["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
+        return let(in_blocks(text), lambda blocks: let(reached, lambda r: marked(blocks, spans_, r)))
 
-    return F.when(F.size(xs) > 0, F.aggregate(xs, start, step, closed)).otherwise(text)
+    return let(xs, lambda spans_: F.when(F.size(spans_) > 0, over(spans_)).otherwise(text))
 
 
 def redacted(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -175,7 +225,7 @@ def redacted(docs: DataFrame, repo: Column, owner: Column, text_col: str = "text
     told = named.join(F.broadcast(spans_of) if small else spans_of, "_key", "left")
     text = F.coalesce("_text", F.lit(""))
     plain = lambda xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    agreed = F.filter("_more", lambda x: F.sha2(F.substring(F.col("_text"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")), 256) == x["hash"])
+    agreed = F.when(F.size("_more") > 0, let(in_blocks(text), lambda blocks: F.filter("_more", lambda x: F.sha2(piece(blocks, x["start"], x["end"]), 256) == x["hash"])))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     told = told.withColumn("_spans", F.sort_array(F.concat(plain(base_spans(text)), F.coalesce(plain(agreed), none))))
     changed = F.when(F.col("_text").isNotNull(), put_marks(F.col("_text"), F.col("_spans"), mark))

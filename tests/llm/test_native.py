@@ -1,7 +1,9 @@
 """Secret scans, sharding and quality rules against brute force."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,3 +152,36 @@ def test_slot_map_versions_and_edits(spark, tmp_path):
     assert max(third.loads(weights)) - min(third.loads(weights)) <= 101
     grown = [(a, b) for a, b in zip(second.shard_of, third.shard_of, strict=True) if a != b]
     assert grown and sum(b == 4 for _, b in grown) >= 0.9 * len(grown)
+
+
+def test_marks_and_overlaps_as_by_hand(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        t = "".join(rng.choice("ab🙂é\n") for _ in range(rng.choice((0, 5, 900, 6000))))
+        span = lambda n=len(t): sorted((lambda a: (a, rng.randrange(3), min(n, a + rng.randrange(1, 60))))(rng.randrange(max(1, n))) for _ in range(rng.choice((0, 1, 4, 700)) if n else 0))
+        rows.append((k, t, span(), span()))
+    kind = "array<struct<start:bigint,kind:int,end:bigint>>"
+    df = spark.createDataFrame(rows, f"id long, t string, xs {kind}, base {kind}")
+    got = df.select("id", secrets.put_marks(F.col("t"), F.col("xs"), "#").alias("m"), F.transform(secrets.free_of(F.col("xs"), F.col("base")), lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("f")).collect()
+    for r in got:
+        _, t, xs, base = rows[r["id"]]
+        out, at = "", 0
+        for a, _, b in xs:
+            out += t[at:a] + "#" if a >= at else ""
+            at = max(at, b)
+        assert r["m"] == out + t[at:]
+        assert [tuple(x) for x in r["f"]] == [x for x in xs if not any(a < x[2] and x[0] < b for a, _, b in base)]
+
+
+def test_twice_the_secrets_take_twice_the_time(spark):
+    def spent(n):
+        text = "\n".join(f"{i:032x} Abcdefghij{i:014d}Xyz" for i in range(n))
+        docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+        at = time.time()
+        assert secrets.redacted(docs, F.col("source"), F.col("source")).first()["text"].count("[SECRET]") == 2 * n
+        assert secrets.digest(secrets.scan(docs, F.col("source"), F.col("source"))).first()["n_hex"] == n
+        return time.time() - at
+
+    spent(100)
+    assert spent(32_000) < 3 * max(2.0, spent(16_000))

@@ -12,7 +12,6 @@ from .helpers import empty, odd
 
 def check_packed(docs, got, fill=None):
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     want = Counter()
     for r in docs:
         ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -52,7 +51,6 @@ def test_one_row_as_a_third_of_the_table(spark):
 
 def test_words_the_fast_way_misses():
     coder, t = packing.WordIds(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     texts = ["don't we'll \x1c x\x1fy İstanbul ΣΑΣ éé 12,5 <|endoftext|> a b", "plain words. More, of them!!", "ß ŒUVRE Ünï|", ""]
     for _ in range(2):
         got = [np.frombuffer(x, dtype="<u4").tolist() for x in coder.of(texts)]
