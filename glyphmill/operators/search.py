@@ -51,13 +51,12 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def holds(words: list[str]):
-    """Whether a place of w, counted from 1, begins these words."""
-    return lambda at: F.slice("w", at, len(words)) == F.array(*[F.lit(x) for x in words])
-
-
-def equals(term: str):
-    return lambda word: word == F.lit(term)
+def occurrences(w: Column, phrase: list[str]) -> Column:
+    """How often the words of a phrase stand side by side in an array of words."""
+    first = F.filter(F.transform(w, lambda x, k: F.when(x == F.lit(phrase[0]), k)), lambda k: k.isNotNull())
+    if len(phrase) == 1:
+        return F.size(first)
+    return F.size(F.filter(first, lambda k: F.slice(w, k + 1, F.lit(len(phrase))) == F.array(*[F.lit(x) for x in phrase])))
 
 
 def bm25_score(tf: list[Column], df: list[Column], dl: Column, n: Column, avgdl: Column) -> Column:
@@ -75,10 +74,9 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     phrase, whose words stand side by side. For many searches of one corpus see textindex."""
     phrases = [re.findall(r"[^\W_]+", t.lower()) for t in terms]
     ks = range(len(phrases))
-    counted = docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("w"))
-    some = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
-    times = [F.size(F.filter("w", equals(p[0]))) if len(p) == 1 else F.size(F.filter(some, holds(p))) if p else F.lit(0) for p in phrases]
-    counted = counted.select("doc_id", F.size("w").alias("dl"), *[t.alias(f"tf{k}") for k, t in enumerate(times)])
+    # the words are made once for all that is counted in them
+    times = lambda w: F.struct(F.size(w).alias("dl"), *[(occurrences(w, p) if p else F.lit(0)).alias(f"tf{k}") for k, p in enumerate(phrases)])
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.element_at(F.transform(F.array(terms_of(F.col(text_col))), times), 1).alias("x")).select("doc_id", "x.*")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in ks])
     both = counted.where(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{k}") for k in ks]) > 0).join(F.broadcast(stats), F.lit(True))
     return both.select("doc_id", bm25_score([F.col(f"tf{k}") for k in ks], [F.col(f"df{k}") for k in ks], F.col("dl"), F.col("n"), F.col("avgdl")).alias("relevance"))

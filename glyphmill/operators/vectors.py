@@ -1,20 +1,20 @@
-"""Vectors: hashed embeddings, nearest neighbours, greedy collapse and diverse selection."""
+"""Vectors: hashed embeddings, their bytes, greedy collapse and the dense form of diverse selection."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from . import blocks
+
 WORD_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 1.0, 0.3, 0.5
 MAX_FEATURES = 20_000
 THRESHOLD = 0.92
-#: Query vectors that a task multiplies with its vectors at a time.
-QUERIES = 1024
 
 
 def fnv1a(data: bytes) -> int:
@@ -98,62 +98,33 @@ def decode(data: bytes) -> np.ndarray | None:
     return v if np.isfinite(v).all() else None
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], floor: float, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity) of the k nearest of each query at floor or above. The queries are a given list that
-    each task multiplies with its vectors at once and cuts to its own k before anything is shuffled."""
-    ids, q = [i for i, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
-    kind = vectors.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == q.shape[1])]
-            if len(pdf):
-                sim = np.clip(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ q.T, -1, 1)
-                row, col = np.nonzero(sim >= floor)
-                new = pd.DataFrame({"query_id": np.array(ids, dtype=np.int64)[col], "id": pdf["id"].to_numpy()[row], "similarity": np.round(sim[row, col], 6)})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    near = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, f"query_id long, id {kind}, similarity double")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def nearest_of_all(vectors: DataFrame, queries: list[tuple[int, list[float]]], floor: float, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """nearest() for any number of queries: blocks of QUERIES at a time, each of which reads the vectors once."""
-    parts = [nearest(vectors, queries[at : at + QUERIES], floor, k, id_col, vector_col) for at in range(0, len(queries), QUERIES)]
-    return reduce(DataFrame.unionByName, parts or [nearest(vectors.where("false"), [(0, [0.0])], floor, k, id_col, vector_col)])
-
-
 def collapse(v: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[int], list[int]]:
     """Greedy: each vector is compared with those kept so far; the first that is near enough takes it. Gives the kept
     rows and, for every row, the kept row it belongs to."""
-    kept: list[int] = []
-    owner = []
+    held, kept, owner = np.empty_like(v), [], []
     for i in range(len(v)):
-        near = np.flatnonzero(v[kept] @ v[i] >= threshold) if kept else []
-        if len(near):
-            owner.append(kept[near[0]])
-        else:
+        near = np.flatnonzero(held[: len(kept)] @ v[i] >= threshold)
+        if not len(near):
+            held[len(kept)] = v[i]
             kept.append(i)
-            owner.append(i)
+        owner.append(kept[near[0]] if len(near) else i)
     return kept, owner
 
 
 def collapse_redundant(vectors: DataFrame, group_col: str, order_col: str, vector_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(group, id, kept_id) by greedy collapse within each group. Groups are single documents' fragments, in order."""
+    """(grp, id, kept_id) by greedy collapse within each group. Groups of at most a block's rows are folded in one task;
+    larger ones by rounds over pairs of blocks, with the same result."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         _, owner = collapse(np.stack(pdf["v"].to_numpy()).astype(np.float64), threshold)
         return pd.DataFrame({"grp": pdf["grp"], "id": pdf["id"], "kept_id": pdf["id"].to_numpy()[owner]})
 
     narrow = vectors.select(F.col(group_col).cast("long").alias("grp"), F.col(order_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    return narrow.groupBy("grp").applyInPandas(run, "grp long, id long, kept_id long")
+    sizes = narrow.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct(F.size("v")).alias("kinds"), F.count("v").alias("some"))
+    large = cut(sizes.where((F.col("n") > blocks.ROWS) | (F.col("kinds") > 1) | (F.col("some") < F.col("n"))).select("grp"))
+    few = F.broadcast(large) if large.count() <= blocks.BROADCAST_ROWS else large
+    small = narrow.join(few, "grp", "left_anti").groupBy("grp").applyInPandas(run, "grp long, id long, kept_id long")
+    return small.unionByName(blocks.collapse(narrow.join(few, "grp", "left_semi"), threshold))
 
 
 def diverse(v: np.ndarray, relevance: np.ndarray, k: int, weight: float = 0.25) -> list[int]:
@@ -166,13 +137,3 @@ def diverse(v: np.ndarray, relevance: np.ndarray, k: int, weight: float = 0.25)
         gain[chosen] = -np.inf
         chosen.append(len(gain) - 1 - int(gain[::-1].argmax()))
     return chosen
-
-
-def select_diverse(candidates: DataFrame, k: int, weight: float = 0.25) -> DataFrame:
-    """(query_id, id, position) for candidates (query_id, id, relevance, v) of each query."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        order = diverse(np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["relevance"].to_numpy(), k, weight)
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[order], "id": pdf["id"].iloc[order], "position": range(len(order))})
-
-    return candidates.groupBy("query_id").applyInPandas(run, "query_id long, id long, position long")

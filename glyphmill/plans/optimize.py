@@ -10,8 +10,6 @@ import json
 import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,24 +50,22 @@ def _fragments(docs: DataFrame, route: Column, lines: bool = False, profile: Col
     once = once.select("doc_id", "route", "by_line", "original_tokens", "filtered", "n", F.col("f.idx").alias("idx"), F.when(F.col("key").isNotNull(), said).alias("content"))
     once = once.withColumn("apart", content.isNotNull())
     if near is not None:
-        alike = once.where((r == "text") & content.isNotNull()).groupBy("doc_id").applyInPandas(_collapsed(near, once.schema), once.schema)
+        alike = _collapsed(once.where((r == "text") & content.isNotNull()), near)
         once = once.where((r != "text") | content.isNull()).unionByName(alike)
     return once.withColumn("cost", F.when(content.isNotNull(), count_heuristic(content) + 1).otherwise(0))
 
 
-def _collapsed(threshold: float, schema):
-    """For one document's fragments in order: those that say the same as an earlier one lose their content, and that one
-    says how many went. Documents are the groups, as likeness is only looked for within one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        _, owner = vectors.collapse(np.stack([vectors.embed(x) for x in pdf["content"]]).astype(np.float64), threshold)
-        n = np.bincount(owner, minlength=len(pdf))
-        own = [o == k for k, o in enumerate(owner)]
-        pdf["content"] = [x if o and m == 1 else f"{x}\n\n({m - 1} more alike)" if o else None for x, o, m in zip(pdf["content"], own, n, strict=True)]
-        return pdf[schema.names]
-
-    return run
+def _collapsed(once: DataFrame, threshold: float) -> DataFrame:
+    """Fragments that say the same as an earlier one of their document lose their content, and that one says how many went.
+    Documents are the groups, as likeness is only looked for within one; each gets a number, as its id may be anything."""
+    rows = cut(once)
+    numbers = cut(rows.select("doc_id").distinct().withColumn("grp", F.monotonically_increasing_id()))
+    numbered = rows.join(numbers, "doc_id")
+    owned = cut(vectors.collapse_redundant(numbered.select("grp", F.col("idx").cast("long").alias("idx"), vectors.embedder()("content").alias("v")), "grp", "idx", "v", threshold))
+    alike = owned.groupBy("grp", F.col("kept_id").alias("idx")).agg((F.count("*") - 1).alias("_more"))
+    told = numbered.join(alike, ["grp", "idx"], "left")
+    said = F.when(F.col("_more") > 0, F.concat("content", F.lit("\n\n("), F.col("_more").cast("string"), F.lit(" more alike)"))).otherwise(F.col("content"))
+    return told.withColumn("content", F.when(F.col("_more").isNotNull(), said)).select(*once.columns)
 
 
 def _measured(docs: DataFrame, route: Column, budget: int | None, lines: bool = False, profile: Column | None = None, near: float | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -12,8 +13,10 @@ from .functions import detect as D
 from .functions import scores as C
 from .functions import text as T
 from .functions import tokens as N
-from .lineage import ready
-from .operators import code, fragments, graph, index, metrics, search, store, vectors
+from .lineage import cut, ready, shared_path
+from .operators import blocks, code, fragments, graph, index, metrics, search, store, vectors
+from .operators.tables import Table
+from .operators.textindex import TextIndex
 from .plans import optimize as P
 from .sources import files as S
 from .streaming import changes as G
@@ -284,7 +287,7 @@ def p1_log_pipeline(spark, d):
 
 @query(
     _pipeline_sql(
-        _TOOL, "SELECT doc_id, l_orderkey * 10 + l_linenumber AS idx, line AS content FROM src WHERE l_linenumber % 5 IN (2, 3)", KEY, True, 500, "tool",
+        _TOOL, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber, line) AS idx, line AS content FROM src WHERE l_linenumber % 5 IN (2, 3)", KEY, True, 500, "tool",
         f"SELECT doc_id, {tok('text')} AS n FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY l_orderkey, l_linenumber) AS text FROM src GROUP BY doc_id)",
     )
 )
@@ -682,8 +685,7 @@ def jn9_expand(spark, d):
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_inner_product(list_transform(q, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS similarity FROM q, embeddings) SELECT query_id, id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE similarity >= 0.15) WHERE rank <= 10")
 def jn10_nearest(spark, d):
     rows = table(spark, d, "embeddings")
-    queries = [(r["vec_id"], list(r["embedding"])) for r in rows.where("vec_id % 50 = 0").orderBy("vec_id").collect()]
-    return vectors.nearest_of_all(rows, queries, 0.15, 10)
+    return blocks.nearest(rows, rows.where("vec_id % 50 = 0"), 0.15, 10)
 
 
 @query("SELECT label, count(*) AS n, round(sum(list_inner_product(embedding, embedding)), 3) AS total FROM embeddings GROUP BY label")
@@ -700,7 +702,7 @@ def jn11_collapse(spark, d):
 @query()
 def w5_diverse(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.abs(F.get("embedding", F.lit(0))).cast("double").alias("relevance"))
-    return vectors.select_diverse(rows, 5)
+    return blocks.diverse(rows, 5)
 
 
 @query()
@@ -1084,9 +1086,8 @@ def p14_apply_changes(spark, d):
 @query()
 def p16_similar(spark, d):
     """Benchmark items that are like each item with an id, by hashed embeddings."""
-    items = table(spark, d, "benchmark").select("item_id", vectors.embedder(128)("text").alias("vector"))
-    asked = [(r["item_id"], vectors.embed(r["text"] or "", 128).tolist()) for r in table(spark, d, "benchmark").where("item_id IS NOT NULL").orderBy("item_id").collect()]
-    return vectors.nearest_of_all(items, asked, 0.15, 5, "item_id", "vector")
+    items = cut(table(spark, d, "benchmark").select("item_id", vectors.embedder(128)("text").alias("vector")))
+    return blocks.nearest(items, items.where("item_id IS NOT NULL"), 0.15, 5, "item_id", "vector")
 
 
 @query("SELECT doc_id, text AS content FROM documents WHERE doc_id IN (3, 5)")
@@ -1099,3 +1100,77 @@ def p21_retrieve_original(spark, d):
 @query()
 def p10_settings_fingerprint(spark, d):
     return spark.range(1).select(store.settings_fingerprint(budget=32000, tokenizer="heuristic", near=False).alias("fingerprint"))
+
+
+# Stored forms: keyed tables and the text index, in the shared folder
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 10 IN (1, 3) THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -doc_id - 1, lang, n_chars FROM documents WHERE doc_id % 10 = 0")
+def s10_stored_table(spark, d):
+    """A table of all documents after a batch that changes, adds and takes away some of them, played twice."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    kept = Table(spark, shared_path(spark, "documents"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), ["doc_id"], 64)
+    kept.merge(rows, version=0)
+    changed = rows.where("doc_id % 10 IN (1, 3)").withColumn("n_chars", F.col("n_chars") + 1)
+    added = rows.where("doc_id % 10 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    for _ in range(2):
+        kept.merge(changed.unionByName(added), rows.where("doc_id % 10 = 7"), version=1)
+    return kept.read()
+
+
+_AFTER = "(SELECT doc_id, CASE WHEN doc_id % 10 IN (1, 3) THEN reverse(text) || ' open license version' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
+
+
+@query(_bm25(["nach", "license", "version"]).replace("FROM documents", f"FROM {_AFTER}"))
+def s14_stored_search(spark, d):
+    """A search of the stored index of all documents after a batch that replaces some of them and takes some away."""
+    rows = docs(spark, d).select("doc_id", "text")
+    index_ = TextIndex(spark, shared_path(spark, "text-index"), rows.schema["doc_id"].dataType.simpleString(), 64)
+    index_.apply(rows, version=0)
+    changed = rows.where("doc_id % 10 IN (1, 3)").select("doc_id", F.concat(F.reverse("text"), F.lit(" open license version")).alias("text"))
+    for _ in range(2):
+        index_.apply(changed, rows.where("doc_id % 10 = 7"), version=1)
+    return index_.bm25(["nach", "license", "version"]).select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(_bm25(["of the", "von der"]).replace("len(list_filter(w, lambda x: x = 'of the'))", "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))").replace("len(list_filter(w, lambda x: x = 'von der'))", "len(list_filter(range(1, len(w)), lambda i: w[i] = 'von' AND w[i + 1] = 'der'))"))
+def a14_bm25_phrases(spark, d):
+    return search.bm25(docs(spark, d), list(search.Query.parse('"of the" "von der"').terms)).select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
+# Sources: each document's text within comments, strings and templates of a source in one of five languages
+
+_SOURCES = (
+    ("rs", "/* {c} */\nuse crate::m{i}::Item;\npub struct S{i} { a: u8 }\nimpl S{i} {\n    pub(crate) fn get{i}(&self) -> u8 { self.load{i}(\"{\") }\n}\n"),
+    ("ts", "const t{i} = `{c}`;\nimport { a } from './m{i}';\nexport class C{i} extends B { run{i}(x: string): void { this.go{i}(x); } }\nexport const f{i} = (\n  a: string\n) => { call{i}(a); };\n"),
+    ("py", '"""{c}"""\nfrom .m{i} import x\nclass P{i}:\n    def do{i}(self):\n        return use{i}(self)\n'),
+    ("go", 'package p\nvar t = `{c}`\nimport "m{i}"\ntype G{i} struct { a int }\nfunc (g *G{i}) Do{i}() { run{i}() }\n'),
+    ("js", '/* {c} */\nexport function h{i}(a) { return /["{]/g.test(a) && k{i}(a); }\n'),
+)
+#: What those sources hold: language, what, kind, owner, name, first and last line behind the text's own line feeds.
+_HELD = (
+    (0, "import", "imports", None, "crate::m{i}::Item", 2, 2), (0, "symbol", "struct", None, "S{i}", 3, 3), (0, "symbol", "class", None, "S{i}", 4, 6), (0, "symbol", "function", None, "get{i}", 5, 5), (0, "call", "calls", "get{i}", "load{i}", 5, 5),
+    (1, "import", "imports", None, "./m{i}", 2, 2), (1, "symbol", "class", None, "C{i}", 3, 3), (1, "symbol", "method", None, "run{i}", 3, 3), (1, "call", "calls", "run{i}", "go{i}", 3, 3), (1, "symbol", "function", None, "f{i}", 4, 6), (1, "call", "calls", None, "call{i}", 6, 6),
+    (2, "import", "imports", None, ".m{i}", 2, 2), (2, "symbol", "class", None, "P{i}", 3, 5), (2, "symbol", "function", None, "do{i}", 4, 5), (2, "call", "calls", "do{i}", "use{i}", 5, 5),
+    (3, "import", "imports", None, "m{i}", 3, 3), (3, "symbol", "struct", None, "G{i}", 4, 4), (3, "symbol", "method", None, "Do{i}", 5, 5), (3, "call", "calls", "Do{i}", "run{i}", 5, 5),
+    (4, "symbol", "function", None, "h{i}", 2, 2), (4, "call", "calls", "h{i}", "test", 2, 2), (4, "call", "calls", "h{i}", "k{i}", 2, 2),
+)
+_HIDDEN = '*/`$\\"\r'
+
+
+def _held_sql() -> str:
+    told = lambda x: "CAST(NULL AS VARCHAR)" if x is None else f"replace('{x}', '{{i}}', CAST(doc_id AS VARCHAR))"
+    exts = " ".join(f"WHEN {k} THEN '{e}'" for k, (e, _) in enumerate(_SOURCES))
+    parts = (f"SELECT path, '{w}' AS what, '{kind}' AS kind, {told(o)} AS from_symbol, {told(n)} AS name, CAST(k + {a} AS INTEGER) AS start_line, CAST(k + {b} AS INTEGER) AS end_line FROM d WHERE doc_id % 5 = {lang}" for lang, w, kind, o, n, a, b in _HELD)
+    return f"WITH d AS (SELECT doc_id, 'src/' || doc_id || '.' || CASE doc_id % 5 {exts} END AS path, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS k FROM documents WHERE doc_id IS NOT NULL) " + " UNION ALL ".join(parts)
+
+
+@query(_held_sql())
+def c2_symbols_of_sources(spark, d):
+    """Symbols, imports, calls and their owners in sources of five languages that hide the documents' texts."""
+    hidden, source, ext = F.translate(F.coalesce("text", F.lit("")), _HIDDEN, ""), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (e, form) in enumerate(_SOURCES):
+        made = F.concat(*[{"{c}": hidden, "{i}": F.col("doc_id").cast("string")}.get(x, F.lit(x)) for x in re.split(r"(\{[ci]\})", form)])
+        source, ext = F.when(F.col("doc_id") % 5 == k, made).otherwise(source), F.when(F.col("doc_id") % 5 == k, e).otherwise(ext)
+    files = docs(spark, d).where("doc_id IS NOT NULL").select(F.lit("r").alias("root"), F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), source.alias("content"))
+    return code.intelligence(files).drop("root", "language")
