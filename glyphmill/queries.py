@@ -860,7 +860,7 @@ def x25_affected_paths(spark, d):
     "WITH e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS root, CAST(event_id AS VARCHAR) AS path, CASE event_id % 3 WHEN 0 THEN 'departed' WHEN 1 THEN 'modified' ELSE 'arrived' END AS kind, ts, event_id AS seq FROM events), "
     "m AS (SELECT *, lag(kind) OVER w AS pk, lag(path) OVER w AS pp, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 AS waited, lead(kind) OVER w AS nk, epoch_us(lead(ts) OVER w) // 1000 - epoch_us(ts) // 1000 AS waits FROM e WHERE kind <> 'modified' WINDOW w AS (PARTITION BY root ORDER BY ts, seq)) "
     "SELECT root, path, seq, kind, CAST(NULL AS VARCHAR) AS from_path FROM e WHERE kind = 'modified' UNION ALL SELECT root, path, seq, CASE WHEN kind = 'departed' THEN 'deleted' WHEN pk = 'departed' AND waited <= 3600000 THEN 'renamed' ELSE 'created' END, CASE WHEN kind = 'arrived' AND pk = 'departed' AND waited <= 3600000 THEN pp END "
-    "FROM m WHERE NOT coalesce(kind = 'departed' AND nk = 'arrived' AND waits <= 3600000, false)"
+    "FROM m WHERE NOT coalesce(kind = 'departed' AND waits <= 3600000, false)"
 )
 def jn12_pair_renames(spark, d):
     k = F.col("event_id") % 3

@@ -9,12 +9,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import is_ignored
 
 QUIET_MS, LONGEST_MS, RENAME_MS = 300, 5_000, 200
+#: Rename times that a span of time is long in which a root's moves meet.
+SPANS = 50
+#: Shards of the paths that wait in a debounced stream.
+SHARDS = 64
 
 
 def merged(first: Column, then: Column) -> Column:
@@ -93,52 +97,148 @@ def translated(events: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
 
 def pair_renames(events: DataFrame, within_ms: int = RENAME_MS) -> DataFrame:
     """Departures and arrivals in order of time, whatever else happens between them: one departure waits at a time, the
-    next arrival takes it, and is a rename if that is within the time. A departure that no arrival takes in time, or that
-    another one overtakes, is a deletion; other arrivals are creations. Only departures and arrivals meet in windows. Events
-    of one seq go by place, if they have one; other changes keep their from_path."""
-    moves = events.where(F.col("kind").isin("departed", "arrived"))
-    w = Window.partitionBy("root").orderBy("ts", "seq", *(["place"] if "place" in events.columns else []))
-    last = F.lag(F.struct("kind", "path", "ts")).over(w)
-    after = F.lead(F.struct("kind", "ts")).over(w)
+    next arrival takes it, and is a rename if that is within the time. A departure that no move follows within the time is
+    a deletion; one that another departure overtakes while it waits is forgotten; other arrivals are creations. Events of
+    one seq go by place, if they have one; other changes keep their from_path.
+
+    Only moves within the time of each other matter to each other, so they meet in spans of time: a root's moves of one
+    span, and those just outside of it, are a window, and a busy root is many."""
+    span = max(SPANS * within_ms, 60_000)
+    ms = F.unix_millis("ts")
+    at = F.floor(ms / span)
+    beside = F.when(ms % span <= within_ms, at - 1).when(ms % span >= span - within_ms, at + 1)
+    moves = events.where(F.col("kind").isin("departed", "arrived")).withColumn("_at", at)
+    dealt = moves.withColumn("_span", F.explode(F.array_compact(F.array("_at", beside))))
+    w = Window.partitionBy("root", "_span").orderBy("ts", "seq", *(["place"] if "place" in events.columns else []))
     near = lambda a, b: (F.unix_millis(b) - F.unix_millis(a)) <= within_ms
-    tagged = moves.withColumn("_last", last).withColumn("_next", after)
+    tagged = dealt.withColumn("_last", F.lag(F.struct("kind", "path", "ts")).over(w)).withColumn("_next", F.lead(F.struct("kind", "ts")).over(w)).where("_span = _at")
     arrived = F.coalesce((F.col("kind") == "arrived") & (F.col("_last.kind") == "departed") & near(F.col("_last.ts"), F.col("ts")), F.lit(False))
-    taken = F.coalesce((F.col("kind") == "departed") & (F.col("_next.kind") == "arrived") & near(F.col("ts"), F.col("_next.ts")), F.lit(False))
+    followed = F.coalesce((F.col("kind") == "departed") & near(F.col("ts"), F.col("_next.ts")), F.lit(False))
     kind = F.when(arrived, "renamed").when(F.col("kind") == "arrived", "created").otherwise("deleted")
-    paired = tagged.where(~taken).select("root", "path", kind.alias("kind"), F.when(arrived, F.col("_last.path")).alias("from_path"), "ts", "seq")
+    paired = tagged.where(~followed).select("root", "path", kind.alias("kind"), F.when(arrived, F.col("_last.path")).alias("from_path"), "ts", "seq")
     others = events.where(~F.coalesce(F.col("kind").isin("departed", "arrived"), F.lit(False)))
     return paired.unionByName(others.select("root", "path", F.coalesce("kind", F.lit("created")).alias("kind"), (F.col("from_path") if "from_path" in events.columns else F.lit(None).cast("string").alias("from_path")), "ts", "seq"))
 
 
-def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:
-    """A streaming frame that lets a path's change out after a quiet time or when longest_ms have passed, by state and
-    processing-time timers."""
+def paired(stream: DataFrame, lateness: str = "10 seconds", within_ms: int = RENAME_MS) -> DataFrame:
+    """pair_renames as a stream of events (root, path, kind, from_path, ts, seq): a root's state is its one waiting departure,
+    and a timer, which fires when the watermark has passed its time, tells it as a deletion. Other changes pass as they
+    come. Events of a batch are taken in order of time; a departure still waits when its batch ends. Events that are older
+    than the watermark are dropped, so lateness bounds how long one may be under way."""
     from pyspark.sql.streaming import StatefulProcessor
 
+    shape = "root string, path string, kind string, from_path string, ts timestamp, seq long"
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"ts": "datetime64[ns]", "seq": "int64"}).astype({c: object for c in ("root", "path", "kind", "from_path")})
+
+    class Pairing(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.waiting = handle, handle.getValueState("waiting", "path string, ms long, seq long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            out: list[tuple] = []
+            held = self.waiting.get() if self.waiting.exists() else None
+            for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
+                ms = r.ts.value // 1_000_000
+                if r.kind not in ("departed", "arrived"):
+                    out.append((key[0], r.path, r.kind, r.from_path, r.ts, r.seq))
+                    continue
+                alive = held is not None and ms - held[1] <= within_ms
+                if held is not None and not alive:
+                    out.append((key[0], held[0], "deleted", None, pd.Timestamp(held[1], unit="ms"), held[2]))
+                if r.kind == "arrived":
+                    out.append((key[0], r.path, "renamed" if alive else "created", held[0] if alive else None, r.ts, r.seq))
+                held = (r.path, ms, r.seq) if r.kind == "departed" else None
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if held is None:
+                self.waiting.clear()
+            else:
+                self.waiting.update(held)
+                self.handle.registerTimer(held[1] + within_ms + 1)
+            yield frame(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.waiting.exists():
+                path, ms, seq = self.waiting.get()
+                self.waiting.clear()
+                yield frame([(key[0], path, "deleted", None, pd.Timestamp(ms, unit="ms"), seq)])
+
+        def close(self) -> None:
+            pass
+
+    known = stream.select("root", "path", F.coalesce("kind", F.lit("created")).alias("kind"), (F.col("from_path") if "from_path" in stream.columns else F.lit(None).cast("string").alias("from_path")), "ts", "seq")
+    return known.withWatermark("ts", lateness).groupBy("root").transformWithStateInPandas(Pairing(), shape, "append", "eventTime")
+
+
+def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS, shards: int = SHARDS) -> DataFrame:
+    """A streaming frame that lets a path's change out after a quiet time or when longest_ms have passed since its first, by
+    state and processing-time timers: path, kind, changes, first_ms and last_ms, of each release the latest touched first,
+    then by path. A change of kind `drain` is the end mark of a shutdown: everything that waits is let out at once, settled
+    or not. Paths wait in shards, each a map of its own and one timer for its next deadline; the end mark goes to all."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    shape = {"path": object, "kind": object, "changes": "int64", "first_ms": "int64", "last_ms": "int64"}
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(sorted(rows, key=lambda r: (-r[4], r[0])), columns=list(shape)).astype(shape)
+
     class Debounce(StatefulProcessor):
         def init(self, handle) -> None:
-            self.handle = handle
-            self.held = handle.getValueState("held", "kind string, first long, last long, n long")
+            self.handle, self.held = handle, handle.getMapState("held", "path string", "kind string, first long, last long, n long")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            now = timers.getCurrentProcessingTimeInMs()
-            kind, first, last, n = self.held.get() if self.held.exists() else (None, now, now, 0)
-            for pdf in rows:
-                for k in pdf.sort_values("ts")["kind"]:
-                    kind, n = merged_kind(kind, k) if kind else k, n + 1
+        def due(self, first: int, last: int) -> int:
+            return min(last + quiet_ms, first + longest_ms)
+
+        def release(self, now: int | None) -> list[tuple]:
+            """What is due by now (None: all) leaves; a timer waits for the next of the rest."""
+            out, rest = [], []
+            for (path,), (kind, first, last, n) in list(self.held.iterator()):
+                if now is None or self.due(first, last) <= now:
+                    out.append((path, kind, n, first, last))
+                else:
+                    rest.append(self.due(first, last))
+            for row in out:
+                self.held.removeKey((row[0],))
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.held.update((kind, first, now, n))
-            self.handle.registerTimer(min(now + quiet_ms, first + longest_ms))
-            yield pd.DataFrame({"path": [], "kind": [], "changes": []}).astype({"path": str, "kind": str, "changes": "int64"})
+            if rest:
+                self.handle.registerTimer(min(rest))
+            return out
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-            if self.held.exists():
-                kind, _, _, n = self.held.get()
-                self.held.clear()
-                yield pd.DataFrame({"path": [key[0]], "kind": [kind], "changes": [n]})
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            now, ended = timerValues.getCurrentProcessingTimeInMs(), False
+            for pdf in rows:
+                for path, change in pdf.sort_values("ts")[["path", "kind"]].itertuples(index=False):
+                    if change == "drain":
+                        ended = True
+                        continue
+                    kind, first, _, n = self.held.getValue((path,)) if self.held.containsKey((path,)) else (None, now, now, 0)
+                    self.held.updateValue((path,), (merged_kind(kind, change) if kind else change, first, now, n + 1))
+            yield frame(self.release(None if ended else now))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield frame(self.release(timerValues.getCurrentProcessingTimeInMs()))
 
         def close(self) -> None:
             pass
 
-    return stream.groupBy("path").transformWithStateInPandas(Debounce(), "path string, kind string, changes long", "update", "processingTime")
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    dealt = stream.select("path", "kind", "ts", F.explode(F.when(F.col("kind") == "drain", every).otherwise(F.array(F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")))).alias("shard"))
+    return dealt.groupBy("shard").transformWithStateInPandas(Debounce(), "path string, kind string, changes long, first_ms long, last_ms long", "update", "processingTime")
+
+
+def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """path, kind, first_ms, last_ms and changes of what a debounced stream holds back, from its checkpoint."""
+    rows = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    v = F.col("user_map_value")
+    return rows.select(F.col("user_map_key.path").alias("path"), v["kind"].alias("kind"), v["first"].alias("first_ms"), v["last"].alias("last_ms"), v["n"].alias("changes"))
+
+
+def next_deadline(held: DataFrame, now_ms: int, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:
+    """(wait_ms): how long until something of held is ready, 0 if something is; null if nothing waits."""
+    due = F.least(F.col("last_ms") + quiet_ms, F.col("first_ms") + longest_ms)
+    return held.agg(F.min(F.greatest(due - now_ms, F.lit(0))).alias("wait_ms"))
