@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
 import tempfile
@@ -110,6 +111,13 @@ def kept(key: str, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of what earlier operators kept in this worker; they make it again when they need it."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def share(spark: SparkSession, value: object) -> Callable[[Callable[[object], object]], object]:
     """Send value to the workers: a function that gives make(value) there, made once in each."""
     sent, key = spark.sparkContext.broadcast(pickle.dumps(value)), uuid.uuid4().hex

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, with_facts
+from .common import cut, forget, slices, with_facts
 
 U = np.uint64
 #: Words whose hashes a worker keeps.
@@ -130,6 +130,7 @@ def digests(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
     """A row for each row of docs: doc_id, n_shingles, set_key (of the whole set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # tokenizers and models of other stages
         signer = Signer(settings)
         for rows in slices(batches):
             n, keys, sigs = [], [], []
@@ -143,6 +144,7 @@ def digests(docs: DataFrame, settings: Settings, id_col: str, text_col: str) ->
                 names=["doc_id", "n_shingles", "set_key", "sig"],
             )
         _HASHES.clear()  # workers go on to other stages
+        forget()
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
