@@ -38,6 +38,8 @@ LEAST_SHARE = 0.1
 INSIDE = 0x5BD1E9955BD1E995
 #: Up to so many template hashes are sent to every executor; more are joined by host.
 BROADCAST_HASHES = 500_000
+#: Parts that a host's pages are dealt in where hashes are joined.
+HOST_SALTS = 64
 
 #: Kinds of counted subtrees.
 OUTSIDE, WITHIN, BARE = 0, 1, 2
@@ -61,6 +63,16 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert comment comments disqus respond reply replies "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social newsletter subscribe subscription signup login related recommended popup modal overlay skip toolbar widget pagination pager".split()
 )
+# Words among them that articles use of themselves too; there such an element goes where it recurs or is no prose.
+WEAK = frozenset("alert banner login menu notice notices promotion recommended related share sharing signup skip subscription widget".split())
+# Words among them for what is never the page's frame.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus respond reply replies newsletter subscribe".split())
+# Words in class or id that name the text.
+POSITIVE = frozenset("article body content entry main post story text".split())
+#: Prose has so many words outside of links, and no more than this share within.
+PROSE_WORDS, LINKED = 12, 0.4
+#: Text outside articles that names itself the text counts instead if it is so many times theirs.
+OUTWEIGHS = 4
 #: A quote groups only behind =, and the end of the text ends any tag, so no start is scanned twice.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)", re.I)
@@ -145,36 +157,102 @@ def hashed(root: Node) -> None:
             node.hash = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
+def words_in(node: Node) -> list[str]:
+    """The parts of the node's class and id."""
+    values = re.findall(r"(?:class|id)=([^=]*)(?=\s\S+=|$)", node.marks)
+    return [w for x in values for w in re.split(r"[\s_-]+", x)]
+
+
 def named(node: Node) -> bool:
     """Whether class or id name what is no main text."""
-    values = re.findall(r"(?:class|id)=([^=]*)(?=\s\S+=|$)", node.marks)
-    return any(w in NAMES for x in values for w in re.split(r"[\s_-]+", x))
+    return any(w in NAMES for w in words_in(node))
+
+
+def length(node: Node, linked: bool = True) -> int:
+    """Characters of text below a node that are no white space, elements that never count left out; linked: also in links."""
+    n, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += len("".join(x.split()))
+        elif x.tag not in NEVER and (linked or x.tag != "a"):
+            todo += x.children
+    return n
+
+
+def prose(node: Node) -> bool:
+    """Running text: words enough outside of links."""
+    words, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            words += len(x.split())
+        elif x.tag not in NEVER and x.tag != "a":
+            todo += x.children
+    return words >= PROSE_WORDS and length(node, False) >= (1 - LINKED) * length(node)
 
 
-def unwanted(node: Node, inside: bool) -> bool:
-    """Whether a node is, by its kind or marks, no part of the main text. inside: within the article."""
+def unwanted(node: Node, inside: bool, whole: int | None = None) -> bool:
+    """Whether a node is, by its kind or marks, no part of the main text. inside: within the article. whole: how much text
+    there is in all; a frame that holds more than half of it does not go for its name."""
     if node.tag in NEVER or (node.tag == "header" and not inside):
         return True
     if node.marks:
-        if re.search(r"(?:^|\s)hidden=(?:\s|$)|aria-hidden=true|display\s*:\s*none|role=(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", node.marks):
+        if re.search(r"(?:^|\s)hidden=|aria-hidden=true|display\s*:\s*none|role=(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", node.marks):
             return True
         # a paragraph of the article goes for its name only where it recurs, as a template
-        return node.tag not in ("article", "main", "body", "html") and not (inside and node.tag in TEXTUAL) and named(node)
+        if node.tag in ("article", "main", "body", "html") or (inside and node.tag in TEXTUAL) or not named(node):
+            return False
+        if inside and all(w in WEAK for w in words_in(node) if w in NAMES) and prose(node):
+            return False
+        return whole is None or 2 * length(node) <= whole or not may_wrap(node)
     return False
 
 
-def articles(root: Node) -> list[Node]:
-    """The outermost article and main elements in page order; those named as comments or the like only if all are."""
-    found, todo = [], [root]
+def may_wrap(node: Node) -> bool:
+    """Whether a node that holds most of the text may be the page's frame in spite of its names: it holds a main element or
+    heading, or is not named for what readers and advertisers write."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            if x.tag in ("article", "main", "h1"):
+                return True
+            todo += x.children
+    return not any(w in OTHERS for w in words_in(node))
+
+
+def articles(root: Node, whole: int) -> list[Node]:
+    """The outermost article and main elements in page order; those named as comments or the like only if all are. None if
+    they are empty, or if what names itself the text beside them outweighs them."""
+    found, beside, todo = [], 0, [root]
     while todo:
         node = todo.pop()
-        if node is not root and unwanted(node, False):
+        if node is not root and unwanted(node, False, whole):
             continue
         if node.tag in ("article", "main"):
             found.append(node)
         else:
+            if node.tag != "body" and node.marks and any(w in POSITIVE for w in words_in(node)):
+                held = length(node) - sum(length(a) for a in outermost(node))
+                beside = max(beside, held)
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return [a for a in found if not named(a)] or found
+    chosen = [a for a in found if not named(a)] or found
+    own = sum(map(length, chosen))
+    return chosen if own and OUTWEIGHS * own >= beside else []
+
+
+def outermost(root: Node) -> list[Node]:
+    """The article and main elements below root that are in no other."""
+    found, todo = [], list(root.children)
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node):
+            if node.tag in ("article", "main"):
+                found.append(node)
+            else:
+                todo += node.children
+    return found
 
 
 def template(node: Node, templates: frozenset[int], inside: bool, bare: bool) -> bool:
@@ -183,7 +261,7 @@ def template(node: Node, templates: frozenset[int], inside: bool, bare: bool) ->
     return node.hash in templates and node.tag in HASHED
 
 
-def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = False) -> list[str]:
+def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = False, whole: int | None = None) -> list[str]:
     """The texts of the blocks below root in page order, without unwanted and template subtrees; bare: nor, inside,
     recurring paragraphs without class or id."""
     out: list[str] = []
@@ -205,7 +283,7 @@ def blocks(root: Node, templates: frozenset[int], inside: bool, bare: bool = Fal
             run.append(references.unescape(x))  # each on its own: a reference ends where a tag begins
         elif x.tag == "br":
             run.append(" ")
-        elif x is root or not (unwanted(x, inside) or (templates and template(x, templates, inside, bare))):
+        elif x is root or not (unwanted(x, inside, whole) or (templates and template(x, templates, inside, bare))):
             if x.tag in BLOCKS:
                 close()
                 todo.append(None)
@@ -220,14 +298,15 @@ def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     root = parse(html or "")
     if templates:
         hashed(root)
-    chosen = articles(root)
+    size = length(root)
+    chosen = articles(root, size)
     if not chosen:
-        return "\n\n".join(blocks(root, templates, False))
+        return "\n\n".join(blocks(root, templates, False, whole=size))
     out: list[str] = []
     for a in chosen:
-        whole = blocks(a, frozenset(), True)
-        left = blocks(a, templates, True) if templates else whole
-        copied = left != whole and 2 * sum(map(len, blocks(a, templates, True, True))) < sum(map(len, whole))
+        whole = blocks(a, frozenset(), True, whole=size)
+        left = blocks(a, templates, True, whole=size) if templates else whole
+        copied = left != whole and 2 * sum(map(len, blocks(a, templates, True, True, size))) < sum(map(len, whole))
         out += whole if copied else left
     return "\n\n".join(out)
 
@@ -240,15 +319,16 @@ def occurrences(html: str | None) -> set[tuple[int, int, int]]:
     """(hash, kind, of): the subtrees of a page and the digest of the page or article they are in; hash 0 is that itself."""
     root = parse(html or "")
     hashed(root)
-    chosen = articles(root)
-    texts = ["\n\n".join(blocks(a, frozenset(), True)) for a in chosen] or ["\n\n".join(blocks(root, frozenset(), False))]
+    size = length(root)
+    chosen = articles(root, size)
+    texts = ["\n\n".join(blocks(a, frozenset(), True, whole=size)) for a in chosen] or ["\n\n".join(blocks(root, frozenset(), False, whole=size))]
     page = digest("\n\n".join(texts))
     own = {id(a): digest(t) for a, t in zip(chosen, texts, strict=False)}
     found: set[tuple[int, int, int]] = {(0, OUTSIDE, page)}
     todo: list[tuple[Node, int | None]] = [(root, None)]
     while todo:
         node, of = todo.pop()
-        if node.tag in ("article", "main"):
+        if node.tag in ("article", "main") and chosen:
             if of is None and id(node) not in own:
                 continue
             of = own.get(id(node), node.hash)
@@ -317,5 +397,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             yield made(batch, [frozenset(x or ()) for x in batch.column("hashes").to_pylist()])
 
-    lists = found.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
-    return narrow.join(lists, "host", "left").mapInArrow(far, schema)
+    # a host's pages are dealt over salts, each of which has the host's hashes: no host is one key
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))).alias("_salt")
+    lists = found.groupBy("host").agg(F.collect_set("hash").alias("hashes")).select("host", "hashes", salts)
+    dealt = narrow.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(HOST_SALTS)).cast("int"))
+    return dealt.join(lists, ["host", "_salt"], "left").drop("_salt").mapInArrow(far, schema)

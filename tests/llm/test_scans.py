@@ -247,3 +247,33 @@ def test_pages_against_their_articles(spark, small):
         want = [re.sub(r" ", "", b) for b in blocks if b]
         assert [re.sub(r" ", "", b) for b in got[i]["text"].split("\n\n") if b] == want
         assert got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_names_alone_take_no_text_away():
+    """Frames named for a menu, sections that only share a word with what is no text, empty and small main elements."""
+    inner = "<p>One two three four five six.</p><p>More text of the page here.</p>"
+    text = "One two three four five six.\n\nMore text of the page here."
+    assert html.main_text(f'<div class="page nav-open">{inner}</div>') == text
+    assert html.main_text(f'<div class="has-comments"><article>{inner}</article></div>') == text
+    assert html.main_text(f'<div id="sidebar">{inner}</div><div class="c">{inner * 2}</div>') == f"{text}\n\n{text}"
+    prose = "<p>Other people have done much the same thing before us in many ways, and said so.</p>"
+    links = '<div class="share"><a href=x>Share</a> <a href=y>Tweet</a></div>'
+    assert html.main_text(f'<article>{inner}<section id="related-work">{prose}</section>{links}</article>') == f"{text}\n\n{prose[3:-4]}"
+    assert html.main_text(f"<main></main><div>{inner}</div>") == text
+    assert html.main_text(f'<article class="teaser"><p>Short.</p></article><div class="post">{inner * 4}</div>').count(text) == 4
+    assert html.main_text(f'<article>{inner}</article><div class="post"><p>Less.</p></div>') == text
+    assert html.main_text(f'<article>{inner}<div class="comments">{prose * 3}</div></article>') == text
+    assert html.main_text('<article><p>Seen.</p><p hidden="hidden">Not.</p><div hidden>Nor this.</div><p aria-hidden="false">This.</p></article>') == "Seen.\n\nThis."
+
+
+def test_templates_change_pages_and_no_host_is_one_key(spark, monkeypatch):
+    """A recurring block with a neutral class in and beside articles goes from every page, also where hashes are joined."""
+    body = lambda k: f"<p>Page {k} says {k * 7919 % 1000} things of its own, and goes on for a while about the {k + 1}th of them.</p>"
+    more = '<div class="box">The same words on every page of this site.</div>'
+    rows = [(k, f"http://h{k % 3 // 2}.org/{k}", f"<html><body><div>{more}</div><article>{body(k)}{more}</article></body></html>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hashes", F.lit(1)).withColumn("_salt", F.lit("x"))
+    plain = {k: html.main_text(h) for k, _, h in rows}
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert sum(got[k] != plain[k] for k in got) == 60 and all(got[k] == body(k)[3:-4] for k in got)
+    monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == got
