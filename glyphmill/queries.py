@@ -1174,3 +1174,17 @@ def c2_symbols_of_sources(spark, d):
         source, ext = F.when(F.col("doc_id") % 5 == k, made).otherwise(source), F.when(F.col("doc_id") % 5 == k, e).otherwise(ext)
     files = docs(spark, d).where("doc_id IS NOT NULL").select(F.lit("r").alias("root"), F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), source.alias("content"))
     return code.intelligence(files).drop("root", "language")
+
+
+@query(
+    "SELECT 'r' || c_custkey AS root, CASE c_custkey % 5 WHEN 0 THEN 'rust' WHEN 1 THEN 'go' WHEN 2 THEN 'python' ELSE 'javascript,typescript' END AS languages, CASE c_custkey % 5 WHEN 3 THEN 'react' ELSE '' END AS frameworks, "
+    "CASE c_custkey % 5 WHEN 0 THEN 'cargo' WHEN 1 THEN 'go' WHEN 2 THEN 'uv' ELSE 'yarn' END AS package_manager, c_custkey % 5 = 0 AS git FROM customer WHERE c_custkey % 5 <> 4"
+)
+def s20_describe_projects(spark, d):
+    """A project for each customer, by the files at its root; what lies deeper tells nothing."""
+    held = (("Cargo.toml", ".git/HEAD"), ("go.mod",), ("pyproject.toml", "uv.lock"), ("package.json", "yarn.lock"), ("src/Cargo.toml",))
+    kinds = F.array(*[F.array(*map(F.lit, x)) for x in held])
+    paths = table(spark, d, "customer").select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("root"), F.explode(F.get(kinds, (F.col("c_custkey") % 5).cast("int"))).alias("path"))
+    manifest = '{"dependencies": {"react": "18"}, "devDependencies": {"typescript": "5"}}'
+    told = S.describe_projects(paths.withColumn("content", F.when(F.col("path") == "package.json", manifest)))
+    return told.select("root", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "package_manager", "git")
