@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,9 +78,11 @@ def t2_bpe_tokens_by_lang(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.sum(count("text")).alias("tokens"))
 
 
-@query("SELECT name FROM (VALUES ('heuristic')) AS t(name)")
+@query(f"SELECT name, lang, CAST(sum(t) AS BIGINT) AS tokens FROM (VALUES ('heuristic')) AS v(name), (SELECT lang, {tok('text')} AS t FROM documents) GROUP BY name, lang")
 def t3_tokenizers(spark, d):
-    return spark.createDataFrame([(n,) for n in N.available()], "name string")
+    """Every tokenizer that is known by name, over all documents."""
+    each = [docs(spark, d).select(F.lit(n).alias("name"), "lang", N.tokenizer(n)(F.col("text")).alias("t")) for n in N.available()]
+    return reduce(DataFrame.unionByName, each).groupBy("name", "lang").agg(F.sum("t").alias("tokens"))
 
 
 @query(f"SELECT doc_id, t <= 400 AS fits, greatest(400 - t, 0) AS remaining, CAST(floor(t * 0.25) AS BIGINT) AS quarter FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
@@ -295,7 +298,25 @@ def p5_tool_pipeline(spark, d):
     return P.tool(tool_output(spark, d), 500).drop("text")
 
 
-@query()
+def _json_sql(budget: int) -> str:
+    """Compact JSON of each order's lines, and what each step of the ladder makes of it."""
+    item = """'{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_quantity":' || l_quantity || '}'"""
+    steps = [k for k, _ in P.LADDER]
+    heads = ", ".join(f"string_agg(item, ',' ORDER BY r) FILTER (WHERE r <= {k}) AS h{k}" for k in steps)
+    whole = lambda inner: f"'{{\"order\":' || doc_id || ',\"lines\":[' || {inner} || ']}}'"
+    cut_at = lambda k: whole(f"h{k} || CASE WHEN n > {k} THEN ',\"' || (n - {k}) || ' more items omitted\"' ELSE '' END")
+    texts = ", ".join(f"{cut_at(k)} AS t{k}" for k in steps)
+    costs = ", ".join(f"{tok(f't{k}')} AS c{k}" for k in steps)
+    pick = lambda what, last: f"CASE WHEN c + 1 <= {budget} THEN {what('')} " + " ".join(f"WHEN c{k} <= {budget} THEN {what(k)}" for k in steps) + f" ELSE {what(last)} END"
+    return (
+        f"WITH l AS (SELECT l_orderkey AS doc_id, {item} AS item, row_number() OVER w AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)), "
+        f"g AS (SELECT doc_id, max(n) AS n, string_agg(item, ',' ORDER BY r) AS h, {heads} FROM l GROUP BY doc_id), t AS (SELECT doc_id, {whole('h')} AS t, {texts} FROM g), c AS (SELECT *, {tok('t')} AS c, {costs} FROM t), "
+        f"p AS (SELECT doc_id, c, {pick(lambda k: f'c{k} + 1', steps[-1])} AS used, {pick(lambda k: f't{k}', steps[-1])} AS said FROM c) "
+        "SELECT doc_id, 'json' AS optimizer, c AS original_tokens, CAST(0 AS BIGINT) AS filtering, CAST(0 AS BIGINT) AS deduplication, CAST(-1 AS BIGINT) AS compression, CAST(c + 1 - used AS BIGINT) AS selection, CAST(used AS BIGINT) AS optimized_tokens, said || chr(10) AS text FROM p"
+    )
+
+
+@query(_json_sql(120))
 def p2_json_pipeline(spark, d):
     orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.to_json(F.struct(F.col("l_orderkey").alias("order"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))).alias("text"))
     return P.json_text(orders, 120)
@@ -328,7 +349,12 @@ def p8_analyze(spark, d):
     return P.analyze(docs(spark, d))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, {tok('text')} AS tokens, {tok("'=== memory' || CASE WHEN coalesce(role, '') <> '' THEN ' (' || role || ')' ELSE '' END || ' ==='")} AS header FROM conversations), "
+    "s AS (SELECT conv_id, turn, i, greatest(200 - header, 0) AS allowance, least(greatest(200 - header, 0), tokens) AS used, greatest(200 - header - least(greatest(200 - header, 0), tokens), 0) AS room FROM t WHERE i = 1 "
+    "UNION ALL SELECT t.conv_id, t.turn, t.i, greatest(s.room - header, 0), least(greatest(s.room - header, 0), tokens), greatest(s.room - header - least(greatest(s.room - header, 0), tokens), 0) FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1) "
+    "SELECT conv_id AS group_id, turn AS position, CAST(allowance AS BIGINT) AS allowance, CAST(used AS BIGINT) AS used FROM s"
+)
 def p9_compile_sections(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("position"), N.count_heuristic(F.col("text")).alias("tokens"), T.section_header(F.lit("memory"), F.col("role")).alias("header"))
     return P.compile_sections(turns, 200, N.count_heuristic(F.col("header")))
@@ -694,12 +720,26 @@ def x5_unit_vectors(spark, d):
     return table(spark, d, "embeddings").select("label", C.similarity(u, u).alias("s")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("s"), 3).alias("total"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT CAST(label AS BIGINT) AS grp, CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), "
+    "s AS (SELECT grp, id, id AS kept_id, i, [{'id': id, 'v': v}] AS kept FROM e WHERE i = 1 UNION ALL SELECT grp, id, coalesce(near, id), i, CASE WHEN near IS NULL THEN list_append(kept, {'id': id, 'v': v}) ELSE kept END "
+    "FROM (SELECT e.grp, e.id, e.i, e.v, s.kept, list_filter(s.kept, lambda k: list_inner_product(k.v, e.v) >= 0.5)[1].id AS near FROM s JOIN e ON e.grp = s.grp AND e.i = s.i + 1)) SELECT grp, id, kept_id FROM s"
+)
 def jn11_collapse(spark, d):
     return vectors.collapse_redundant(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.5)
 
 
-@query()
+def _diverse_sql(k: int, weight: float = 0.25) -> str:
+    """Round by round: the candidate of the best gain, of equals that of the greatest id, and what it leaves of the others'."""
+    parts = ["m0 AS (SELECT CAST(label AS BIGINT) AS q, CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(abs(embedding[1]) AS DOUBLE) AS rel, CAST(-2 AS DOUBLE) AS closest FROM embeddings)"]
+    for n in range(k):
+        gain = "rel" if n == 0 else f"{1 - weight} * rel - {weight} * closest"
+        parts.append(f"c{n} AS (SELECT q, id, v FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {gain} DESC, id DESC) AS r FROM m{n}) WHERE r = 1)")
+        parts.append(f"m{n + 1} AS (SELECT m.q, m.id, m.v, rel, greatest(closest, list_inner_product(m.v, c.v)) AS closest FROM m{n} m JOIN c{n} c ON m.q = c.q AND m.id <> c.id)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT q AS query_id, id, CAST({n} AS BIGINT) AS position FROM c{n}" for n in range(k))
+
+
+@query(_diverse_sql(5))
 def w5_diverse(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.abs(F.get("embedding", F.lit(0))).cast("double").alias("relevance"))
     return blocks.diverse(rows, 5)
@@ -1097,9 +1137,12 @@ def p21_retrieve_original(spark, d):
     return contexts.join(asked.distinct(), "id", "left_semi").where("doc_id IN (3, 5)").select("doc_id", "content")
 
 
-@query()
+@query("SELECT doc_id, sha256('budget=' || CASE WHEN lang = 'en' THEN '32000' ELSE '500' END || '|near=False|tokenizer=heuristic') AS fingerprint FROM documents")
 def p10_settings_fingerprint(spark, d):
-    return spark.range(1).select(store.settings_fingerprint(budget=32000, tokenizer="heuristic", near=False).alias("fingerprint"))
+    """The key under which each document's optimisation is remembered, where budgets go by language."""
+    of = lambda budget: store.settings_fingerprint(budget=budget, tokenizer="heuristic", near=False)
+    return docs(spark, d).select("doc_id", F.when(F.col("lang") == "en", of(32000)).otherwise(of(500)).alias("fingerprint"))
+
 
 
 # Stored forms: keyed tables and the text index, in the shared folder
