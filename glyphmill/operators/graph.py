@@ -41,3 +41,19 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             break
         seen = cut(seen.unionByName(frontier))
     return seen.join(start, "node", "left_anti")
+
+
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """(node, neighbour) in either direction, once."""
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(edges.select("dst", "src")).distinct()
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    """Every node that an edge touches."""
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def of_files(relationships: DataFrame, files: DataFrame, resolved: bool = False) -> DataFrame:
+    """relationships (file_id and more) with their files' paths; resolved: those alone whose target is a known file."""
+    rows = relationships.where(F.col("target_path").isNotNull()) if resolved else relationships
+    return rows.join(files, "file_id")

@@ -71,3 +71,19 @@ def deduplicate_symbols(symbols: DataFrame) -> DataFrame:
 
 def deduplicate_relationships(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["file_id", "kind", "from_symbol", "target", "line"])
+
+
+def gone(stored: DataFrame, walked: DataFrame) -> DataFrame:
+    """What is stored and no longer there, once each."""
+    return stored.subtract(walked)
+
+
+def known(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates that are known files, once each."""
+    return candidates.intersect(files)
+
+
+def counts(files: DataFrame, symbols: DataFrame, relationships: DataFrame) -> DataFrame:
+    """How many files, symbols and relationships an index holds, as one row."""
+    one = lambda df, n: df.agg(F.count("*").alias(n))
+    return one(files, "files").join(one(symbols, "symbols"), F.lit(True)).join(one(relationships, "relationships"), F.lit(True))

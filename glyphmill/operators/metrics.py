@@ -150,3 +150,8 @@ def in_window(rows: DataFrame, column: str, start: Column | None = None, end: Co
 
 def recent(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+
+
+def bounds(rows: DataFrame, column: str = "ts") -> DataFrame:
+    """(earliest, latest): from where rollups begin, and how far they reach."""
+    return rows.agg(F.min(column).alias("earliest"), F.max(column).alias("latest"))

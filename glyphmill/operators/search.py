@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,21 @@ def symbol_search(symbols: DataFrame, files: DataFrame, term: str, root: str | N
     return hits.withColumn("rank", order).orderBy("rank", F.length("name"), "path", "line").limit(limit)
 
 
+def candidates(*found: DataFrame) -> DataFrame:
+    """Paths that any of the ways to find them gave, once."""
+    return reduce(DataFrame.union, [f.select("path") for f in found]).distinct()
+
+
+def merge_hits(*found: DataFrame) -> DataFrame:
+    """One row a path of what each way found, 0 where it found nothing."""
+    return reduce(lambda a, b: a.join(b, "path", "full_outer"), found).na.fill(0)
+
+
+def with_similarity(rows: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """rows with the similarity that near has for their key, else 0."""
+    return rows.join(near.select(key, "similarity"), key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
 def expand(found: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     """(node, hops, source) of what is found and of its neighbours in either direction, at their least distance; the
     least source explains a neighbour."""

@@ -21,6 +21,7 @@ from .operators.textindex import TextIndex
 from .plans import optimize as P
 from .sources import files as S
 from .streaming import changes as G
+from .streaming import metrics as feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -569,7 +570,7 @@ def s22_window(spark, d):
 
 @query(f"SELECT strftime(min(ts), '%Y-%m-%d %H') AS earliest, strftime(max(ts), '%Y-%m-%d %H') AS latest FROM ({_EVENTS})")
 def a11_watermark(spark, d):
-    return metric_events(spark, d).agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH").alias("earliest"), F.date_format(F.max("ts"), "yyyy-MM-dd HH").alias("latest"))
+    return metrics.bounds(metric_events(spark, d)).select(*[F.date_format(c, "yyyy-MM-dd HH").alias(c) for c in ("earliest", "latest")])
 
 
 @query(f"SELECT operation, operations, input_tokens FROM ({_sums('operation', '1')}) ORDER BY operations DESC, operation LIMIT 3")
@@ -795,8 +796,7 @@ def a10_embedding_state(spark, d):
 
 @query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM lineitem) AS relationships")
 def a9_index_counts(spark, d):
-    one = lambda t, n: table(spark, d, t).agg(F.count("*").alias(n))
-    return one("documents", "files").join(one("part", "symbols"), F.lit(True)).join(one("lineitem", "relationships"), F.lit(True))
+    return index.counts(*[table(spark, d, t) for t in ("documents", "part", "lineitem")])
 
 
 # Incremental index
@@ -947,17 +947,17 @@ def st5_streaming_hourly(spark, d):
 def u1_union_candidates(spark, d):
     s = docs(spark, d)
     pick = lambda x: s.where(F.col("lang") == x).select(F.col("source").alias("path"))
-    return pick("de").union(pick("fr")).distinct()
+    return search.candidates(pick("de"), pick("fr"))
 
 
 @query("SELECT o_custkey AS node FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
 def u4_except(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("node")).subtract(table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")))
+    return index.gone(table(spark, d, "orders").select(F.col("o_custkey").alias("node")), table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")))
 
 
 @query("SELECT o_custkey AS node FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
 def u5_intersect(spark, d):
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("node")).intersect(table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")))
+    return index.known(table(spark, d, "orders").select(F.col("o_custkey").alias("node")), table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node")))
 
 
 @query("SELECT DISTINCT l_orderkey AS file_id, l_shipmode_ AS kind, CAST(NULL AS VARCHAR) AS from_symbol, CAST(l_suppkey AS VARCHAR) AS target, l_linenumber AS line FROM (SELECT l_orderkey, l_returnflag AS l_shipmode_, l_suppkey, l_linenumber FROM lineitem)")
@@ -1029,13 +1029,12 @@ def s23_replace_rollups(spark, d):
 
 @query("SELECT event_id AS seq, event_type AS level FROM (SELECT * FROM events WHERE event_type IN ('error', 'purchase') AND event_id > 100 ORDER BY event_id DESC LIMIT 40) ORDER BY event_id")
 def o6_log_page(spark, d):
-    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase") & (F.col("event_id") > 100))
-    return rows.orderBy(F.desc("event_id")).limit(40).orderBy("event_id").select(F.col("event_id").alias("seq"), F.col("event_type").alias("level"))
+    return feed.page(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("level")), ("error", "purchase"), 100, 40)
 
 
 @query("SELECT 'u' || user_id AS path, max(event_id) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, path LIMIT 100")
 def o7_change_batch(spark, d):
-    return changes(spark, d).groupBy("path").agg(F.max("seq").alias("last_seen")).orderBy(F.desc("last_seen"), "path").limit(100)
+    return G.batch_order(changes(spark, d), "seq", 100)
 
 
 @query("SELECT root, path, target FROM (SELECT lang AS root, CAST(doc_id AS VARCHAR) AS path, 't' || doc_id AS target, EXISTS (SELECT 1 FROM documents b WHERE b.lang = a.lang AND b.doc_id IN (a.doc_id + 1, a.doc_id + 2)) AS found FROM documents a) WHERE NOT found ORDER BY root, path, target")
@@ -1046,31 +1045,29 @@ def o8_unresolved_imports(spark, d):
 @query("SELECT l_orderkey AS file_id, l_returnflag AS kind, o_orderpriority AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'")
 def jn3_relationships_of_files(spark, d):
     rows = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("kind"))
-    return rows.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("path")), "file_id")
+    return graph.of_files(rows, table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("path")))
 
 
 @query("SELECT coalesce(a.source, b.source) AS path, coalesce(a.n, 0) AS text_hits, coalesce(b.n, 0) AS symbol_hits FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY source) a FULL OUTER JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source) b USING (source)")
 def jn7_merge_hits(spark, d):
     hits = lambda lang, n: docs(spark, d).where(F.col("lang") == lang).groupBy(F.col("source").alias("path")).agg(F.count("*").alias(n))
-    return hits("fr", "text_hits").join(hits("en", "symbol_hits"), "path", "full_outer").na.fill(0)
+    return search.merge_hits(hits("fr", "text_hits"), hits("en", "symbol_hits"))
 
 
 @query("SELECT d.doc_id, coalesce(round(e.embedding[1], 5), 0.0) AS similarity FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id * 2")
 def jn8_similarities(spark, d):
     near = table(spark, d, "embeddings").select((F.col("vec_id") * 2).alias("doc_id"), F.round(F.get("embedding", F.lit(0)), 5).cast("double").alias("similarity"))
-    return docs(spark, d).select("doc_id").join(near, "doc_id", "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), 5))
+    return search.with_similarity(docs(spark, d).select("doc_id"), near, "doc_id").withColumn("similarity", F.round("similarity", 5))
 
 
 @query("SELECT src AS node, dst AS neighbour FROM e UNION SELECT dst, src FROM e".replace("FROM e", f"FROM ({_EDGES})"))
 def u2_neighbours(spark, d):
-    e = edges(spark, d)
-    return e.select(F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(e.select("dst", "src")).distinct()
+    return graph.neighbour_pairs(edges(spark, d))
 
 
 @query(f"SELECT src AS node FROM ({_EDGES}) UNION SELECT dst FROM ({_EDGES})")
 def u3_nodes(spark, d):
-    e = edges(spark, d)
-    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return graph.nodes(edges(spark, d))
 
 
 @query()

@@ -75,6 +75,12 @@ def affected_paths(changes: DataFrame) -> DataFrame:
     return changes.select(F.explode(F.array_compact(F.array("from_path", "path"))).alias("path")).distinct()
 
 
+def batch_order(changes: DataFrame, at: str = "ts", limit: int | None = None) -> DataFrame:
+    """(path, last_seen): a batch's paths, the latest touched first, then by path; so what is being edited is done first."""
+    rows = changes.groupBy("path").agg(F.max(at).alias("last_seen")).orderBy(F.desc("last_seen"), "path")
+    return rows if limit is None else rows.limit(limit)
+
+
 def translated(events: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
     """events: root, event, paths, ts, seq, as a watcher of files tells them. (root, path, kind, from_path, ts, seq,
     place) for pair_renames: paths that rules ignore go first, so half of a rename into an ignored place is a plain

@@ -86,6 +86,11 @@ class Collector:
             self.dropped += 1
 
 
+def page(records: DataFrame, levels: tuple[str, ...], after: int, limit: int) -> DataFrame:
+    """The newest records (seq, level) of some levels behind seq after, in order."""
+    return records.where(F.col("level").isin(*levels) & (F.col("seq") > after)).orderBy(F.desc("seq")).limit(limit).orderBy("seq")
+
+
 def since(events: DataFrame, seen: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """What a subscriber that has read up to seq seen gets, in order: of the newest slots events those it does not know;
     and (lost), how many it will never see."""
