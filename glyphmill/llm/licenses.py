@@ -32,6 +32,8 @@ TRIGGER = r"(?i)licen[cs]e|copyright|warrant(?:y|ies)|redistribut|public domain|
 GAP = 8
 LONG_LINE = 300
 #: The least share of a template's own bytes that it saves, and the least share of its words that a block holds.
+#: The head of a license's full text, whose version stands on the next line.
+HEADING = r"(?i)\W*gnu [a-z ]*licen[cs]e\W*"
 LEAST_SAVED = 0.3
 LEAST_HELD = 0.85
 #: Words that a matched stretch may have beyond twice its template's, and words behind it that may bar it.
@@ -89,6 +91,7 @@ VERSIONED = (
     ("EUPL-1.1", "European Union Public Licence 1.1"),
     ("EUPL-1.2", "European Union Public Licence 1.2"),
 )
+GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2", "2.1", "3"), "AGPL": ("3",)}
 SPELLED = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
 #: Heads of notices that may list several licenses, and words that part them.
 HEADS = (("licensed", "under"), ("released", "under"), ("distributed", "under"), ("available", "under"), ("spdx", "license", "identifier"))
@@ -116,11 +119,17 @@ def all_templates() -> tuple[Template, ...]:
         Template("CC0-1.0", _CC0, ("cc0",)),
     ]
     for code, name, gnu, bars in (("GPL", "General Public License", ("gnu", "general", "public", "license"), ("lesser", "affero")), ("LGPL", "Lesser General Public License", ("gnu", "lesser", "general", "public", "license"), ()), ("AGPL", "Affero General Public License", ("gnu", "affero", "general", "public", "license"), ())):
-        for version in ("2", "2.1", "3"):
+        for version in GNU_VERSIONS[code]:
             spdx = f"{code}-{version if '.' in version else version + '.0'}"
             out.append(Template(spdx, _gnu(name) % version, (*gnu, "version", version), bars))
             out.append(Template(spdx, f"This work is licensed under the GNU {name}, version {version}.", (*gnu, version), bars))
-            out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", spdx.split("-")[0].lower(), spdx.split("-")[1])))
+            out.append(Template(spdx, f"GNU {name} Version {version}", (*gnu, "version", version), bars))
+            out.append(Template(spdx, f"Licensed under {code}v{version}.", (f"{code.lower()}v{version}",)))
+            out.append(Template(spdx, f"Licensed under {code} v{version}.", (code.lower(), f"v{version}")))
+            number = spdx.split("-")[1]
+            out.append(Template(spdx, f"SPDX-License-Identifier: {spdx}", ("spdx", "license", "identifier", code.lower(), number), ("later", "only")))
+            for more in ("or-later", "only"):
+                out.append(Template(f"{spdx}-{more}", f"SPDX-License-Identifier: {spdx}-{more}", ("spdx", "license", "identifier", code.lower(), number, *more.split("-"))))
     for code in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         parts = tuple(code.lower().split("-"))
         bars = tuple(x for x in ("nc", "sa", "nd") if x not in parts)
@@ -166,8 +175,9 @@ def alternatives(ws: list[str]) -> list[list[str]]:
         size = next(len(h) for h in HEADS if tuple(ws[at : at + len(h)]) == h)
         part: list[str] = []
         parts = [part]
-        for w in ws[at + size : end]:
-            if w in PARTS:
+        own = ws[at + size : end]
+        for w, then in zip(own, [*own[1:], ""], strict=True):
+            if w in PARTS and then != "later":
                 part = []
                 parts.append(part)
             else:
@@ -265,6 +275,8 @@ class Scanner:
                     last += 1
                 yield pieces[hits[k]][0], pieces[last][1]
             for h in hits[k : j + 1]:
+                if h + 1 < len(pieces) and re.fullmatch(HEADING, text[slice(*pieces[h])]):
+                    yield pieces[h][0], pieces[h + 1][1]
                 yield pieces[h]
             k = j + 1
 

@@ -277,3 +277,16 @@ def test_templates_change_pages_and_no_host_is_one_key(spark, monkeypatch):
     assert sum(got[k] != plain[k] for k in got) == 60 and all(got[k] == body(k)[3:-4] for k in got)
     monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
     assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == got
+
+
+def test_gnu_names_heads_and_ids():
+    scanner = licenses.Scanner()
+    told = lambda text: sorted({x[2] for x in scanner.scan(text)})
+    assert told("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007") == ["GPL-3.0"]
+    assert told("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n") == ["LGPL-2.1"]
+    assert told("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007") == ["AGPL-3.0"]
+    assert told("Licensed under GPLv3.") == ["GPL-3.0"] and told("Licensed under LGPL v2.1.") == ["LGPL-2.1"]
+    assert told("// SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0-or-later"] and told("# SPDX-License-Identifier: LGPL-2.1-only") == ["LGPL-2.1-only"]
+    assert told("SPDX-License-Identifier: GPL-2.0") == ["GPL-2.0"] and told("SPDX-License-Identifier: GPL-2.0 OR MIT") == ["GPL-2.0", "MIT"]
+    assert told("SPDX-License-Identifier: GPL-2.0-or-later OR MIT") == ["GPL-2.0-or-later", "MIT"]
+    assert not {"AGPL-2.0", "AGPL-2.1", "GPL-2.1"} & {t.license for t in licenses.all_templates()}
