@@ -39,17 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, rows without an id and repeated rows each by their own text; a null or empty
+    text holds none and stays. Texts of any length are searched whole; clashing columns of docs are carried, not read."""
     return decontam.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is put as a mark; no document goes. Spans come in order, so the text is rebuilt in one fold."""
+    """Every secret is put as a mark; no document goes. Null texts stay null. Of overlapping spans one mark stays. Rows of one
+    id share what further kinds were found live, where the value stands at the same place; a text of any length is rebuilt
+    from pieces of blocks, in time linear in its spans."""
     return secrets.redacted(docs, repo=F.col("source"), owner=F.col("source"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets; a null text is one piece, its end id. See packing."""
     return packing.pack(docs, queries.tokenizer_path())
 
 
@@ -63,7 +66,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result is written as Parquet and read again."""
+    """The stages in order over documents; each result is written as Parquet and read again, so a lost executor costs no
+    earlier stage. No document, or none that passes, gives an empty result."""
     docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
