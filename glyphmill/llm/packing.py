@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 1
 STEP = 8
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 #: Ranks are counted by class and salt; the number of salts follows the pieces between these bounds.
 SALTS = (16, 512)
 ROWS_A_SALT = 50_000
@@ -50,7 +50,11 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # only words that spell a special token need the search for them
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True
         self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
@@ -73,11 +77,13 @@ class WordIds:
                 self.parts[part] = np.array(e.ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        plain, other = [], []
+        plain, other, special = [], [], []
         for w in words:
             m = _PLAIN.fullmatch(w)
             if m:
                 plain.append((w, m[1].lower(), m[2]))
+            elif any(x in w for x in self.special):
+                special.append(w)
             else:
                 other.append(w)
         if len(self.parts) > WORDS_KEPT:
@@ -86,9 +92,12 @@ class WordIds:
             self.learn_parts(list(new))
         for w, letters, end in plain:
             self.kept[w] = self.parts[letters] + self.parts[end]
-        if other:
-            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for some, as_text in ((other, True), (special, False)):
+            if some:
+                self.tokenizer.encode_special_tokens = as_text
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.tokenizer.encode_special_tokens = True
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""

@@ -2,7 +2,8 @@
 
 The measures of a text are columns of plain Spark functions; every rule of the table compares one of them with a
 bound, and all rules together are one Boolean expression. A null text has no words. Rows are judged one by one, so
-repeated rows get the same verdict each, an empty table gives an empty result, and other columns pass unread.
+repeated rows get the same verdict each, an empty table gives an empty result, and other columns pass unread. A measure
+that ties with its bound passes. Texts of any length count whole: their words and lines are arrays within the row's task.
 """
 
 from __future__ import annotations

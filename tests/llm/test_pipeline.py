@@ -1,7 +1,7 @@
 """The pipeline: every stage against brute force over what the stage before it kept."""
 
 import corpus_pipeline
-from glyphmill.llm import secrets
+from glyphmill.llm import neardup, queries, secrets
 from pyspark.sql import functions as F
 
 from .helpers import empty, odd
@@ -61,3 +61,16 @@ def test_redaction_keeps_other_text(spark):
     docs = odd(spark).where("doc_id = 6").withColumn("text", F.lit("é a password = 'abcdefghijklmnop' b"))
     assert corpus_pipeline.secret_scan(spark, docs, "").first()["text"] == "é a [SECRET]' b"
     assert secrets.KINDS[:3] == ("assign", "access", "hex")
+
+
+def test_beyond_every_broadcast_bound_nothing_changes(spark, small, monkeypatch):
+    """Ids, spans and nodes that are joined by shuffle instead: the same rows."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(odd(spark))
+    source = F.col("source")
+    marked = lambda: sorted((tuple(r) for r in secrets.redacted(docs, source, source).select("doc_id", "text").collect()), key=str)
+    near = lambda: sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, small).select("doc_id", "text").collect()), key=str)
+    found = lambda: sorted((tuple(r) for r in queries.op5_minhash_near_dup(spark, small).collect()), key=str)
+    want = marked(), near(), found()
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", -1)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", -1)
+    assert (marked(), near(), found()) == want
