@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, numbered, share
 
 #: Documents and counts that a block holds at most; a single document may hold as many counts as there are buckets.
-BLOCK_ROWS, BLOCK_COUNTS = 256, 1 << 20
+BLOCK_ROWS, BLOCK_COUNTS = 64, 1 << 16
+#: Blocks are read a row group at a time, unpacked: so row groups are small, whatever a task's share of the table is. Their
+#: size is looked at after so many blocks at first.
+GROUP_BYTES, GROUP_LOOK = 1 << 20, 16
 WORDS_KEPT = 500_000
 
 #: Upper case of ASCII to lower; what is no word to a blank. Bytes from 0x80 on belong to words.
@@ -94,7 +97,7 @@ def write_matrix(docs: DataFrame, path: str, settings: Settings, id_col: str | N
                     yield pa.RecordBatch.from_arrays([whole(ids.slice(at, len(ends))), whole(words), whole(ends, pa.int32()), whole(buckets, pa.int32()), whole(counts)], names=names)
                     at, words, ends, buckets, counts = k + 1, [], [], [], []
 
-    narrow.mapInArrow(run, f"ids array<{kind}>, words array<long>, ends array<int>, buckets array<int>, counts array<long>").write.parquet(path)
+    narrow.mapInArrow(run, f"ids array<{kind}>, words array<long>, ends array<int>, buckets array<int>, counts array<long>").write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": GROUP_LOOK}).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

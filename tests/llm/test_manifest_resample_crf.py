@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from glyphmill.llm import common, crf, merkle, queries, resample
 from pyspark.sql import functions as F
@@ -72,6 +73,16 @@ def test_resampling_as_by_hand(spark, small, longest, monkeypatch):
     assert sorted((tuple(r) for r in got), key=key) == want
 
 
+def test_blocks_lie_in_small_row_groups(spark, tmp_path):
+    """A row group is what a reader unpacks at once, whatever a task's share of the matrix is."""
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda k: F.concat(F.lit("w"), (k + F.col("id") * 17).cast("string"))), " ")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), words.alias("text")).coalesce(1)
+    resample.write_matrix(docs, str(tmp_path / "m"), resample.Settings())
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "m").glob("*.parquet")]
+    sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 4 << 20
+
+
 def test_resampling_of_nothing(spark):
     nothing = empty(spark).select("text")
     assert resample.resample(empty(spark), odd(spark).select("text")).count() == 0
