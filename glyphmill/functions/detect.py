@@ -36,7 +36,7 @@ def looks_like_json(text: Column) -> Column:
 def by_lines(text: Column) -> Column:
     """log, markdown, code or plain_text by the shares of the first 200 lines that look so; blank lines don't count. The
     lines are split and trimmed once for all three shares."""
-    lines = F.filter(F.transform(F.slice(F.split(text, r"\r?\n"), 1, 200), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(F.split(text, r"\r?\n"), 1, 200), lambda x: F.trim(x)), lambda x: x != "")
     hit = lambda x, p: F.when(x.rlike(p), 1).otherwise(0)
     start = F.struct(*[F.lit(0).alias(c) for c in ("n", "log", "markdown", "code")])
     step = lambda a, x: F.struct((a["n"] + 1).alias("n"), *[(a[c] + hit(x, p)).alias(c) for c, p in (("log", LOG_LINE), ("markdown", MARKDOWN_LINE), ("code", CODE_LINE))])
