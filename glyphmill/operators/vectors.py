@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from . import blocks
 WORD_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 1.0, 0.3, 0.5
 MAX_FEATURES = 20_000
 THRESHOLD = 0.92
+#: Vectors that a task makes before it gives them out.
+EMBED_ROWS = 512
 
 
 def fnv1a(data: bytes) -> int:
@@ -86,6 +90,24 @@ def embedder(dims: int = 256):
     return run
 
 
+def embed_batches(batches: Iterator[pa.RecordBatch], text_col: str, dims: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most EMBED_ROWS rows with a vector in the place of their text, so what is held is the batch that came
+    and few vectors."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, EMBED_ROWS):
+            part = batch.slice(at, EMBED_ROWS)
+            flat = np.concatenate([embed(t or "", dims) for t in part.column(text_col).to_pylist()])
+            made = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dims), pa.array(flat, pa.float32()))
+            rest = [n for n in part.schema.names if n != text_col]
+            yield pa.RecordBatch.from_arrays([*map(part.column, rest), made], names=[*rest, "v"])
+
+
+def embedded(rows: DataFrame, text_col: str, dims: int = 256) -> DataFrame:
+    """rows with v, their text's vector, in the place of the text."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text_col]
+    return rows.mapInArrow(lambda batches: embed_batches(batches, text_col, dims), ", ".join([*kinds, "v array<float>"]))
+
+
 def encode(vector) -> bytes:
     return np.asarray(vector, dtype="<f4").tobytes()
 

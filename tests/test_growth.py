@@ -3,8 +3,11 @@
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from glyphmill import queries as q
 from glyphmill.functions import tokens
+from glyphmill.operators import vectors
+from glyphmill.plans import optimize as P
 
 
 def test_edges_come_in_parts_by_rows(spark, small, monkeypatch):
@@ -21,3 +24,25 @@ def test_ids_of_one_text_at_a_time(monkeypatch):
     monkeypatch.setattr(tokens, "_coder", lambda path, pattern: SimpleNamespace(encode_ordinary=ids))
     count = tokens.bpe_counter("x", "y")
     assert count.func(pd.Series(["a b c", None, "d"])).tolist() == [3, 0, 1]
+
+
+def test_vectors_are_given_out_in_small_parts(monkeypatch):
+    texts = [f"word number {k}" if k % 7 else None for k in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(texts)], names=["id", "t"])
+    parts = list(vectors.embed_batches(iter([batch]), "t"))
+    assert max(p.num_rows for p in parts) <= vectors.EMBED_ROWS and sum(p.num_rows for p in parts) == 1300
+    assert [v for p in parts for v in p.column("v").to_pylist()] == [vectors.embed(t or "").tolist() for t in texts]
+
+
+def test_a_fragment_is_embedded_once(spark, tmp_path, monkeypatch):
+    made, embed = spark.sparkContext.accumulator(0), vectors.embed_batches
+
+    def told(batches, *more):
+        for batch in embed(batches, *more):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(vectors, "embed_batches", told)
+    docs = spark.createDataFrame([(1, "a b c\n\nc b a\n\nother words here"), (2, "one")], "doc_id long, text string")
+    assert P.text(docs, near=0.9).count() == 2
+    assert made.value == 4
