@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from .tables import BUCKETS, Folder, Table
 _POSTINGS = "term string, doc_id {kind}, gen int, dl long, at array<int>"
 #: Dead writings that are sent to every task; more are joined by shuffle.
 BROADCAST_DEAD = 1_000_000
+#: Words that a task inverts at a time.
+WORDS = 1 << 19
 
 
 def words_of(term: str) -> list[str]:
@@ -68,16 +73,16 @@ class TextIndex:
         given = self.spark.createDataFrame([], schema) if texts is None else texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         new = cut(given.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).withColumn("words", search.terms_of(F.col("text"))).select("doc_id", "words"))
         left = self.spark.createDataFrame([], f"doc_id {self.kind}") if gone is None else gone.select(F.col(id_col).alias("doc_id"))
-        lengths = new.select("doc_id", F.lit(version).alias("gen"), F.size("words").cast("long").alias("dl"))
-        changed = cut(new.select("doc_id").unionByName(left).distinct())
+        lengths = cut(new.select("doc_id", F.lit(version).alias("gen"), F.size("words").cast("long").alias("dl")))
+        changed = cut(lengths.select("doc_id").unionByName(left).distinct())
         former = cut(self.documents.near(changed, below=version).join(changed, "doc_id", "left_semi"))
         former.select("doc_id", "gen").write.mode("overwrite").parquet(f"{self.path}/dead/v{version}")
-        placed = new.select("doc_id", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("place", "term"))
-        rows = placed.groupBy("term", "doc_id", "dl").agg(F.array_sort(F.collect_list("place")).alias("at"))
+        buckets = self.buckets
+        rows = new.mapInArrow(lambda batches: invert(batches, buckets), f"term string, doc_id {self.kind}, dl long, at array<int>")
         self._write(rows.select("term", "doc_id", F.lit(version).alias("gen"), "dl", "at"), version)
         sums = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         plus, minus = sums(lengths), sums(former)
-        self.documents.merge(lengths, left.join(new.select("doc_id"), "doc_id", "left_anti"), version)
+        self.documents.merge(lengths, left.join(lengths.select("doc_id"), "doc_id", "left_anti"), version)
         dead = [*was["dead"], version] if minus[0] else was["dead"]
         return self._commit({"version": version, "deltas": [*was["deltas"], version], "dead": dead, "n": was["n"] + plus[0] - minus[0], "length": was["length"] + plus[1] - minus[1]})
 
@@ -138,6 +143,33 @@ class TextIndex:
         self.documents.expire(keep)
 
 
+def invert(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """term, doc_id, dl, at of documents (doc_id, words). A document's words lie in one row, so its postings are made there
+    and no word is shuffled before they are; documents of at most WORDS words together, or one, are inverted at a time. They
+    come by bucket, term and place of the document, which leaves the later sort runs to merge."""
+    for batch in batches:
+        lists = batch.column("words")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, side="right")) - 1)
+            starts, n = ends[first:last], ends[first + 1 : last + 1] - ends[first:last]
+            words = lists.values.slice(ends[first], ends[last] - ends[first]).dictionary_encode()
+            doc = np.repeat(np.arange(last - first), n)
+            place = np.arange(len(doc), dtype=np.int64) - (starts - ends[first])[doc]
+            known = [(zlib.crc32(t) % buckets, t) for t in words.dictionary.cast(pa.binary()).to_pylist()]
+            rank = np.empty(len(known), dtype=np.int64)
+            rank[sorted(range(len(known)), key=known.__getitem__)] = np.arange(len(known))
+            key = rank[words.indices.to_numpy()] * (last - first) + doc
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            own = doc[order[heads]]
+            term = words.dictionary.take(words.indices.take(pa.array(order[heads])))
+            yield pa.RecordBatch.from_arrays([term, batch.column("doc_id").take(pa.array(own + first)), pa.array(n[own], pa.int64()), at], names=["term", "doc_id", "dl", "at"])
+            first = last
+
+
 def occurrences(at: Column, phrase: list[str]) -> Column:
     """How often the words of a phrase stand side by side, by a map of their places."""
     none, places = F.array().cast("array<int>"), []

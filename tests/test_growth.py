@@ -1,12 +1,13 @@
 """What a task holds does not grow with its tables."""
 
+import random
 from types import SimpleNamespace
 
 import pandas as pd
 import pyarrow as pa
 from glyphmill import queries as q
 from glyphmill.functions import tokens
-from glyphmill.operators import vectors
+from glyphmill.operators import textindex, vectors
 from glyphmill.plans import optimize as P
 
 
@@ -46,3 +47,23 @@ def test_a_fragment_is_embedded_once(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c\n\nc b a\n\nother words here"), (2, "one")], "doc_id long, text string")
     assert P.text(docs, near=0.9).count() == 2
     assert made.value == 4
+
+
+def test_a_documents_postings_are_made_in_its_row(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = [(f"d{k}", [rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 5, 40]))]) for k in range(60)]
+    want = {(t, i, len(w), tuple(k for k, x in enumerate(w) if x == t)) for i, w in docs for t in w}
+    whole = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([w for _, w in docs], pa.list_(pa.string()))], names=["doc_id", "words"])
+    for words in (1, 7, 64, 1 << 19):
+        monkeypatch.setattr(textindex, "WORDS", words)
+        parts = list(textindex.invert(iter([whole.slice(0, 0), whole.slice(0, 11), whole.slice(11)]), 4))
+        got = [(t, i, n, tuple(at)) for p in parts for t, i, n, at in zip(*(p.column(c).to_pylist() for c in ("term", "doc_id", "dl", "at")), strict=True)]
+        assert len(got) == len(want) and set(got) == want
+        assert all(sum(map(len, p.column("at").to_pylist())) <= max(words, 40) for p in parts)
+
+
+def test_no_word_is_shuffled_before_its_postings(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(textindex.TextIndex, "_write", lambda self, rows, version: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    textindex.TextIndex(spark, f"{tmp_path}/i", buckets=4).apply(spark.createDataFrame([(1, "a b a")], "doc_id long, text string"))
+    assert "Aggregate" not in plans[0]
