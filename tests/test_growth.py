@@ -9,6 +9,7 @@ from glyphmill import queries as q
 from glyphmill.functions import tokens
 from glyphmill.operators import textindex, vectors
 from glyphmill.plans import optimize as P
+from pyspark.sql import functions as F
 
 
 def test_edges_come_in_parts_by_rows(spark, small, monkeypatch):
@@ -67,3 +68,18 @@ def test_no_word_is_shuffled_before_its_postings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(textindex.TextIndex, "_write", lambda self, rows, version: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()))
     textindex.TextIndex(spark, f"{tmp_path}/i", buckets=4).apply(spark.createDataFrame([(1, "a b a")], "doc_id long, text string"))
     assert "Aggregate" not in plans[0]
+
+
+def test_documents_of_lines_are_not_made_whole(spark, small):
+    """The same as of their texts, and no text is collected."""
+    rng = random.Random(9)
+    said = ["Compiling a", "test a ... ok", "test b ... FAILED", "error  in  b", "error in b", "\x1b[31mfailed\x1b[0m 3 ", "  ", "one, two: thirteen"]
+    rows = [(k % 3, k, rng.choice(said), "cargo test") for k in range(90)] + [(7, 1, "Compiling a", "cargo test"), (8, 1, "x", "cargo test"), (8, 2, None, "cargo test")]
+    lines = spark.createDataFrame(rows, "doc_id long, k long, line string, command string")
+    ordered = F.array_sort(F.collect_list(F.struct("k", "line")))
+    docs = lines.where("line IS NOT NULL").groupBy("doc_id", "command").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    for budget in (None, 0, 12, 30, 500):
+        want = sorted(map(tuple, P.tool(docs, budget).drop("text").collect()))
+        assert sorted(map(tuple, P.tool_lines(lines, ["k", "line"], budget).collect())) == want
+    for query in (q.p5_tool_pipeline, q.p5_tool_pipeline_in_order):
+        assert "collect_list" not in query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
