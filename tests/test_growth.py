@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from glyphmill import queries as q
 from glyphmill.functions import tokens
-from glyphmill.operators import textindex, vectors
+from glyphmill.operators import search, textindex, vectors
 from glyphmill.plans import optimize as P
 from pyspark.sql import functions as F
 
@@ -83,3 +83,25 @@ def test_documents_of_lines_are_not_made_whole(spark, small):
         assert sorted(map(tuple, P.tool_lines(lines, ["k", "line"], budget).collect())) == want
     for query in (q.p5_tool_pipeline, q.p5_tool_pipeline_in_order):
         assert "collect_list" not in query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_ranked_texts_are_counted(spark, small, monkeypatch):
+    counted = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        counted.add(1)
+        return 1
+
+    want = search.bm25(q.docs(spark, small), ["license", "version"]).count()
+    monkeypatch.setattr(tokens, "count_heuristic", F.udf(told, "long"))
+    assert q.w3_rank_budget(spark, small).count() == counted.value == want < q.docs(spark, small).count()
+
+
+def test_scores_cut_only_texts_that_may_hold_a_term(spark):
+    """And find the same: words inside others, capitals, phrases, texts without words."""
+    texts = ["A licensed one", "LICENSE of the", "of license the", "of  the; end", None, "", "\u0130 license", "nothing", "ofthe of", "License, license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = search.bm25(docs, ["license", "of the", "!"])
+    assert {r["doc_id"] for r in got.collect()} == {1, 2, 3, 6, 9}
+    assert search.bm25(docs, ["!"]).count() == search.bm25(docs, []).count() == 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Contains(lower(text") == 3
