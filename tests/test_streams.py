@@ -5,8 +5,11 @@ import os
 import random
 import shutil
 import time
+from collections import Counter
 
+import duckdb
 import pytest
+from glyphmill import queries as q
 from glyphmill.streaming import changes
 from pyspark.sql import functions as F
 
@@ -85,6 +88,30 @@ def test_pairing_in_spans_is_pairing_in_order(spark, monkeypatch):
     assert sorted((r["seq"], r["path"], r["kind"], r["from_path"]) for r in got) == sorted(want, key=lambda x: x[:3])
 
 
+def test_moves_without_time_or_seq_and_before_1970_are_as_in_sql(spark, tmp_path):
+    """A move without a time is told by itself, one without a seq goes last of its time, and spans meet before 1970 too."""
+    hour = 3_600_000_000
+    span = 50 * hour  # of jn12_pair_renames
+    rows = [(3, None, 1), (5, None, 1), (4, None, 1), (None, None, 1)]
+    rows += [(6, 10 * span, 2), (None, 10 * span, 2), (9, 20 * span, 2), (11, 20 * span + hour, 2)]
+    rows += [(12, -3 * span - 1_000, 3), (14, -3 * span + 1_000, 3), (15, -5 * span - hour, 3), (17, -5 * span, 3), (18, -hour // 2, 3), (20, hour // 2, 3), (21, -9 * span - hour - 1_500, 3), (23, -9 * span - 1_000, 3), (24, -7 * span - hour - 1_000, 3), (26, -7 * span - 900, 3)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::BIGINT AS user_id WHERE false")
+    con.executemany("INSERT INTO events VALUES (?, make_timestamp(?::BIGINT), ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute("SELECT root, path, seq, kind, from_path FROM (" + q.SQL["jn12_pair_renames"] + ")").fetchall()
+    got = q.QUERIES["jn12_pair_renames"](spark, str(tmp_path)).select("root", "path", "seq", "kind", "from_path").collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    assert {r[4] for r in want} == {None, "6", "9", "12", "15", "18", "21"} and sum(r[0] == "1" for r in want) == 4
+
+
+def test_an_overtaken_departure_alone_is_left_out(spark):
+    """Every departure but the overtaken is told: as a rename's origin or as a deletion."""
+    kinds = [("a", "departed", 0), ("b", "departed", 200), ("c", "departed", 401), ("d", "arrived", 601), ("e", "departed", 700), ("f", "arrived", 901), ("g", "departed", 1000)]
+    got = changes.pair_renames(frame(spark, [("r", p, k, None, ms) for p, k, ms in kinds])).orderBy("seq").collect()
+    assert [(r["kind"], r["path"], r["from_path"]) for r in got] == [("deleted", "b", None), ("renamed", "d", "c"), ("deleted", "e", None), ("created", "f", None), ("deleted", "g", None)]
+
+
 def test_draining_releases_everything_unsettled(rocks, tmp_path):
     feed = lambda *rows: frame(rocks, [("r", p, k, None, ms) for p, k, ms in rows]).select("path", "kind", "ts")
     rocks.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers keep such a run alive
